@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from risewatch.catalog import series  # noqa: F401
+from risewatch.catalog import scoring, series  # noqa: F401
 from risewatch.catalog.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -8,19 +8,25 @@ from risewatch import bindings as B
 from risewatch.catalog.registry import CITATIONS, COUNTS, DENSE, MENTIONS, query
 from risewatch.operators import bursts, citations, lifecycle, series
 from risewatch.operators.fusion import rank_normalize
+from risewatch.session import durable
 
 
-def counts(spark, d):
+def lazy_counts(spark, d):
     return series.bin_counts(B.mentions(spark, d))
 
 
+def counts(spark, d):
+    """Counts stored once per query: the mentions are scanned a single time."""
+    return durable(lazy_counts(spark, d))
+
+
 def r6(c: str):
     return F.round(c, 6).alias(c)
 
 
 @query("agg_01_concept_bin_counts", f"WITH {COUNTS} SELECT entity, bin, cnt FROM counts")
 def _(spark, d):
-    return counts(spark, d)
+    return lazy_counts(spark, d)
 
 
 @query(
@@ -44,12 +50,12 @@ def _(spark, d):
 
 @query("agg_03_bin_totals", f"WITH {COUNTS} SELECT bin, sum(cnt)::BIGINT AS total FROM counts GROUP BY 1")
 def _(spark, d):
-    return series.bin_totals(counts(spark, d))
+    return series.bin_totals(lazy_counts(spark, d))
 
 
 @query("agg_03_entity_totals", f"WITH {COUNTS} SELECT entity, sum(cnt)::BIGINT AS total FROM counts GROUP BY 1")
 def _(spark, d):
-    return series.entity_totals(counts(spark, d))
+    return series.entity_totals(lazy_counts(spark, d))
 
 
 @query(
@@ -257,7 +263,7 @@ def _(spark, d):
       / (count(*) OVER () - 1)::DOUBLE, 6) AS scaled FROM t""",
 )
 def _(spark, d):
-    totals = series.entity_totals(counts(spark, d)).select("entity", F.col("total").cast("double").alias("score"))
+    totals = series.entity_totals(lazy_counts(spark, d)).select("entity", F.col("total").cast("double").alias("score"))
     return rank_normalize(totals).select("entity", "score", r6("scaled"))
 
 
@@ -267,7 +273,7 @@ def _(spark, d):
     SELECT entity, total, row_number() OVER (ORDER BY total DESC, entity)::INT AS pos FROM t ORDER BY total DESC, entity LIMIT 20""",
 )
 def _(spark, d):
-    return series.top_active(counts(spark, d), 20)
+    return series.top_active(lazy_counts(spark, d), 20)
 
 
 @query(
@@ -380,12 +386,12 @@ dense AS (SELECT e.entity, b.bin, b.ord, b.n, coalesce(c.cnt, 0)::DOUBLE AS x
     f"WITH {CITE_DENSE} SELECT entity, bin, (sum(x) OVER (PARTITION BY entity ORDER BY ord))::BIGINT AS cum FROM dense",
 )
 def _(spark, d):
-    return citations.cumulative_citations(facts(spark, d), per_bin=50)
+    return citations.cumulative_citations(facts(spark, d), per_bin=50).select("entity", "bin", "cum")
 
 
 @query("win_23_citation_stages", f"WITH {CITE_DENSE}{STAGES} SELECT entity, total::BIGINT AS total, stage FROM stages")
 def _(spark, d):
-    return lifecycle.concept_stages(citations.kept_counts(facts(spark, d), per_bin=50))
+    return lifecycle.concept_stages(durable(citations.kept_counts(facts(spark, d), per_bin=50)))
 
 
 @query(
@@ -433,7 +439,7 @@ def _(spark, d):
 def _(spark, d):
     from risewatch.operators.extract import drop_concepts
 
-    return drop_concepts(counts(spark, d), ["cold rod", "new ring"])
+    return drop_concepts(lazy_counts(spark, d), ["cold rod", "new ring"])
 
 
 @query(

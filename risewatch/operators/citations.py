@@ -10,6 +10,7 @@ from risewatch.functions.dates import time_bin
 from risewatch.functions.text import blank_to_null
 from risewatch.operators.core import attach, global_rank
 from risewatch.operators.series import cumulate
+from risewatch.session import durable
 
 
 def forward_citations(backward: DataFrame, min_time: str | None = None, max_time: str | None = None) -> DataFrame:
@@ -73,14 +74,14 @@ def sample_patents(
 
 def kept_counts(facts: DataFrame, mode: str = "month", min_citations: int = 2, **sampling) -> DataFrame:
     """Sparse citation counts of the sampled patents."""
-    counts = citation_counts(facts, mode)
+    counts = durable(citation_counts(facts, mode))
     kept = sample_patents(cited_totals(counts, min_citations), **sampling)
     return counts.join(kept.select("entity"), "entity", "left_semi")
 
 
 def cumulative_citations(facts: DataFrame, mode: str = "month", min_citations: int = 2, **sampling) -> DataFrame:
     """Running citation count per sampled patent over every kept bin."""
-    return cumulate(kept_counts(facts, mode, min_citations, **sampling)).select("entity", "bin", "cum")
+    return cumulate(durable(kept_counts(facts, mode, min_citations, **sampling))).select("entity", "bin", "cum")
 
 
 def keep_top_cited(facts: DataFrame, n: int) -> DataFrame:

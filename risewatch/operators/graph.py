@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from risewatch.operators.core import attach, global_rank, total
 from risewatch.schemas import DIRECTED_TYPES, DOC_TYPES, EDGE_RELATIONS, NODE_TYPES, PAIR_RELATIONS
+from risewatch.session import durable
 
 HUB_SIZE = 256  # a document with more distinct concepts than this takes the hub path
 SALTS = 16
@@ -115,8 +116,8 @@ def project_cooccurrence(
     hub_size: int = HUB_SIZE,
 ) -> DataFrame:
     """Document-concept quads to dated concept-concept facts, one per direction and document."""
-    docs = doc_concepts(triples, doc_types, max_time)
-    kept = cap_entities(pair_support(docs, min_cooccur, hub_size), max_entities)
+    docs = durable(doc_concepts(triples, doc_types, max_time))
+    kept = durable(cap_entities(durable(pair_support(docs, min_cooccur, hub_size)), max_entities))
     return pair_facts(docs, kept, relation, hub_size)
 
 

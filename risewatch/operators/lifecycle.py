@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from risewatch.operators.core import attach, quantiles
 from risewatch.operators.series import bin_axis, indexed
+from risewatch.session import durable
 
 STAGES = ("emerging", "growth", "mature", "declining")
 
@@ -56,7 +57,7 @@ def concept_stages(
     by: Sequence[str] = (),
 ) -> DataFrame:
     """Stage of every entity; entities below the given quantile of end totals are emerging."""
-    points = stage_points(counts, growth_window, by)
+    points = durable(stage_points(counts, growth_window, by))
     cut = quantiles(points, "total", {"threshold": emerging_quantile}, by).select(*by, "threshold")
     return stage_of(attach(points, cut, by), min_history).select(*by, "entity", "total", "stage")
 

@@ -1,5 +1,8 @@
 """Entity activity over observed time bins.
 
+Most operators read their counts twice (once for the bin axis), so pass a stored table or a ``durable`` one:
+the counts are far smaller than the mentions they come from.
+
 A table of counts holds one row per ``(entity, bin)`` with ``cnt > 0``; absent cells are zeros. Every feature
 below is computed from the sparse rows (zeros contribute through closed forms), so the entity x bin grid is
 never built unless a caller asks for it with :func:`densify`. ``by`` is a list of extra grouping columns such
@@ -18,6 +21,7 @@ from risewatch.functions.dates import time_bin
 from risewatch.functions.numeric import log1p_safe, logistic
 from risewatch.functions.text import tail_id
 from risewatch.operators.core import attach, order_stats, top_k
+from risewatch.session import durable
 
 # Default feature weights of the share-momentum score.
 SHARE_WEIGHTS = {
@@ -41,9 +45,13 @@ def mention_rows(works: DataFrame) -> DataFrame:
 
 def bin_counts(mentions: DataFrame, mode: str = "month", by: Sequence[str] = ()) -> DataFrame:
     """Mentions per entity and bin; a concept repeated in one document counts each time."""
+    # The explicit null test on the bin keeps this plan identical on both sides of a join with its own axis,
+    # so the shuffle is computed once and reused.
     return (
-        mentions.where(F.col("entity").isNotNull() & F.col("time").isNotNull() & (F.col("time") != ""))
-        .groupBy(*by, "entity", time_bin(F.col("time"), mode).alias("bin"))
+        mentions.where(F.col("time") != "")
+        .select(*by, "entity", time_bin(F.col("time"), mode).alias("bin"))
+        .where(F.col("entity").isNotNull() & F.col("bin").isNotNull())
+        .groupBy(*by, "entity", "bin")
         .agg(F.count(F.lit(1)).alias("cnt"))
     )
 
@@ -274,7 +282,8 @@ def share_momentum(
     scale = sum(weights.values())
     if scale <= 0:
         raise ValueError("feature weights must sum to a positive number")
-    feats = share_features(counts, by, holdout, axis=axis, **options)
+    # One row per entity, read several times by the normalisation below: computed once.
+    feats = durable(share_features(counts, by, holdout, axis=axis, **options))
     normed = robust_normalize(feats, list(weights), by)
     score = sum(F.col(f"{k}_norm") * w for k, w in weights.items()) / scale
     return normed.select(*by, "entity", score.alias("score"))
