@@ -1,10 +1,11 @@
-"""The activity analysis as one lazy plan."""
+"""The activity analysis; the pivot and two later tables are stored because they are read several times."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
 from risewatch.operators import activity as A
+from risewatch.session import durable
 
 
 def activity_chain(
@@ -17,8 +18,9 @@ def activity_chain(
 ) -> DataFrame:
     """Clean, pivot, tag, drop dead rows, fill, standardise, smooth and extend with repository totals."""
     ok, _ = A.split_failed(records)
-    tagged = A.tag_anomalies(A.activity_pivot(ok))
+    tagged = durable(A.tag_anomalies(durable(A.activity_pivot(ok))))
     kept, _ = A.drop_anomalous(tagged)
     cols = A.count_columns(kept)
-    out = A.smooth(A.standardize(A.fill_windows(kept, windows, fill, cols), method, cols), 3, smoothing, cols)
+    filled = durable(A.fill_windows(kept, windows, fill, cols))
+    out = A.smooth(A.standardize(filled, method, cols), 3, smoothing, cols)
     return A.extend_pivot(out, signals) if signals is not None else out
