@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from risewatch.catalog import activity, scoring, series  # noqa: F401
+from risewatch.catalog import activity, graphs, records, scoring, series  # noqa: F401
 from risewatch.catalog.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -94,10 +94,8 @@ def filter_patents(
     df: DataFrame, prefixes: Sequence[str], from_date: str | None = None, limit: int | None = None
 ) -> DataFrame:
     """Any class starting with a prefix, published on or after the date (undated pass); ``limit`` oldest first."""
-    hit = F.lit(False)
-    for p in prefixes:
-        hit = hit | F.exists("cpc", lambda c, p=p: c.startswith(p))
-    out = df.where(hit)
+    wanted = F.array(*[F.lit(p) for p in prefixes])
+    out = df.where(F.exists("cpc", lambda c: F.exists(wanted, lambda p: F.startswith(c, p))))
     if from_date:
         date = F.coalesce("publication_date", F.lit(""))
         out = out.where((date == "") | (date >= from_date))
