@@ -7,10 +7,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from risewatch.functions.dates import month_add
-from risewatch.operators import links, metrics
+from risewatch.operators import citations, lifecycle, links, metrics, series
+from risewatch.operators import forecast as F_
 from risewatch.operators.bursts import burst_topk
 from risewatch.operators.core import top_k
 from risewatch.operators.series import bin_axis, share_momentum
+from risewatch.session import durable
 
 
 def rolling_origins(facts: DataFrame, n_splits: int = 5, test_months: int = 1, step_months: int = 1, col: str = "time") -> DataFrame:
@@ -192,5 +194,48 @@ def regression_origins(axis: DataFrame, horizon: int = 6, n_splits: int = 5, ste
     return n.select("n_bins", F.posexplode(kept).alias("fold", "t0"))
 
 
+def backtest_regression(
+    counts: DataFrame,
+    horizon: int = 6,
+    min_history: int = 12,
+    k: int = 100,
+    lag: int = 6,
+    gap: int = 6,
+    n_splits: int = 5,
+    step: int = 1,
+    max_iter: int = 50,
+    past_only: bool = True,
+) -> DataFrame:
+    """MAE, RMSE and MAPE per forecast start. One model is fitted per fold, so the few folds run in turn."""
+    origins = regression_origins(bin_axis(counts), horizon, n_splits, step).collect()  # n_splits rows
+    out: DataFrame | None = None
+    for o in origins:
+        if o["n_bins"] < min_history + horizon or o["t0"] + horizon > o["n_bins"] or o["t0"] < lag:
+            continue
+        train, test = F_.regression_fold(counts, o["t0"], horizon, k, lag, gap, past_only)
+        if train.limit(2).count() < 2:
+            continue
+        pred = F_.fit_fold(train, test, max_iter)
+        row = metrics.regression_errors(pred).select(
+            F.lit(o["fold"]).alias("fold"), F.lit(o["t0"]).alias("t0"), "mae", "rmse", "mape"
+        )
+        out = row if out is None else out.unionByName(row)
+    if out is None:
+        return counts.sparkSession.createDataFrame([], "fold int, t0 int, mae double, rmse double, mape double")
+    return out
+
+
+def citation_report(facts: DataFrame, horizon: int = 6, max_iter: int = 50, **sampling):
+    """Cumulative citation series: regression folds when the span allows, stages and stage curves."""
+    kept = durable(citations.kept_counts(facts, **sampling))
+    stages = durable(lifecycle.concept_stages(kept))
+    bins = bin_axis(kept).count()  # calendar bins
+    folds = None
+    if bins >= horizon + 2:
+        cumulative = durable(series.cumulate(kept).select("entity", "bin", F.col("cum").alias("cnt")))
+        folds = backtest_regression(cumulative, horizon=horizon, max_iter=max_iter)
+    return folds, stages, lifecycle.stage_curves(kept, stages)
+
+
 def walk_forward_sizes(folds: DataFrame) -> DataFrame:
     return folds.groupBy("fold", "role").agg(F.count(F.lit(1)).alias("n"))
