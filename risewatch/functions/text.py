@@ -16,9 +16,7 @@ def blank_to_null(c: Column) -> Column:
 
 def tail_id(c: Column) -> Column:
     """Last path segment of a URL-like id; null and empty stay null."""
-    return F.when(
-        c.isNotNull() & (c != ""), F.element_at(F.split(F.regexp_replace(c, "/+$", ""), "/"), -1)
-    )
+    return F.when(c != "", F.substring_index(F.rtrim(c, F.lit("/")), "/", -1))
 
 
 def normalize_name(c: Column) -> Column:

@@ -20,6 +20,7 @@ from risewatch.operators.links import copy_history, known_tails
 from risewatch.session import durable
 
 BLOCK = 2048
+EPS = 1e-9  # logits closer than this are ties
 
 
 def fit_generate(train: DataFrame, dim: int = 32, seed: int = 42, max_iter: int = 10) -> tuple[DataFrame, DataFrame]:
@@ -151,27 +152,36 @@ def blend_ranks(
             for e, u, bs, b, rows in zip(pdf["entity"], pdf["vec"], pdf["bars"], pdf["_i"], pdf["items"]):
                 logits = np.sort(np.array([r["vec"] for r in rows], dtype=np.float64) @ np.asarray(u, dtype=np.float64))
                 bs = np.asarray(bs, dtype=np.float64)
-                yield pd.DataFrame({"head": e, "bar": bs, "block": b, "n": len(logits) - np.searchsorted(logits, bs + 1e-9, side="right")})
+                upto = np.searchsorted(logits, bs + EPS, side="right")
+                below = np.searchsorted(logits, bs - EPS, side="right")
+                yield pd.DataFrame({"head": e, "bar": bs, "block": b, "n": len(logits) - upto, "tie": upto - below})
 
-    counted = work.mapInPandas(above, "head string, bar double, block long, n long").groupBy("head", "bar", "block").agg(F.max("n").alias("n"))
-    counted = counted.groupBy("head", "bar").agg(F.sum("n").alias("above_all"))
+    counted = work.mapInPandas(above, "head string, bar double, block long, n long, tie long")
+    counted = counted.groupBy("head", "bar", "block").agg(F.max("n").alias("n"), F.max("tie").alias("tie"))
+    counted = counted.groupBy("head", "bar").agg(F.sum("n").alias("above_all"), F.sum("tie").alias("tie_all"))
     known = known_tails(train.select("head", "relation", "tail").unionByName(test.select("head", "relation", "tail")))
     logits = (
         known.join(users.toDF("head", "u"), "head").join(items.toDF("tail", "v"), "tail")
         .select("head", "relation", "tail", _dot("u", "v").alias("logit"))
     )
     # One ladder per (head, relation): known logits and query bars in order, running count of the known ones.
-    steps = logits.select("head", "relation", F.col("logit").alias("at"), F.lit(1).alias("k")).unionByName(
-        scored.select("head", "relation", (F.col("bar") + 1e-9).alias("at"), F.lit(0).alias("k")).distinct()
-    ).groupBy("head", "relation", "at").agg(F.sum("k").alias("k"))
+    marks = scored.select("head", "relation", F.explode(F.array(F.col("bar") + EPS, F.col("bar") - EPS)).alias("at"))
+    steps = (
+        logits.select("head", "relation", F.col("logit").alias("at"), F.lit(1).alias("k"))
+        .unionByName(marks.withColumn("k", F.lit(0)))
+        .groupBy("head", "relation", "at")
+        .agg(F.sum("k").alias("k"))
+    )
     higher = W.partitionBy("head", "relation").orderBy(F.desc("at")).rowsBetween(W.unboundedPreceding, -1)
-    ladder = steps.withColumn("known_above", F.coalesce(F.sum("k").over(higher), F.lit(0)))
+    ladder = steps.select("head", "relation", "at", F.coalesce(F.sum("k").over(higher), F.lit(0)).alias("known"))
     placed = (
         scored.join(counted, ["head", "bar"])
-        .withColumn("at", F.col("bar") + 1e-9)
-        .join(ladder.drop("k"), ["head", "relation", "at"])
+        .withColumns({"hi": F.col("bar") + EPS, "lo": F.col("bar") - EPS})
+        .join(ladder.toDF("head", "relation", "hi", "known_hi"), ["head", "relation", "hi"])
+        .join(ladder.toDF("head", "relation", "lo", "known_lo"), ["head", "relation", "lo"])
     )
+    others = F.col("tie_all") - (F.col("known_lo") - F.col("known_hi"))
     weights = test.groupBy("head", "relation", "tail").agg(F.count(F.lit(1)).alias("times"))
     return placed.join(weights, ["head", "relation", "tail"]).select(
-        "head", "relation", "tail", "times", "score", (F.col("above_all") - F.col("known_above") + 1.0).alias("rank")
+        "head", "relation", "tail", "times", "score", (F.col("above_all") - F.col("known_hi") + 1 + others / 2).alias("rank")
     )
