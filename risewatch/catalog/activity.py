@@ -108,15 +108,19 @@ def _(spark, d):
 
 @query(
     "agg_13_collection_report",
-    f"""WITH {RECORDS}, e AS (SELECT topic_id, source, error, count(*) AS times FROM rec WHERE error IS NOT NULL GROUP BY 1, 2, 3)
-    SELECT r.topic_id, r.source, r.topic_label, count(*) FILTER (WHERE collection_status = 'ok') AS ok,
-      count(*) FILTER (WHERE collection_status <> 'ok') AS failed,
-      coalesce((SELECT string_agg(e.error || ' x' || e.times, '; ' ORDER BY e.error) FROM e WHERE e.topic_id = r.topic_id AND e.source = r.source), '') AS errors
-    FROM rec r GROUP BY 1, 2, 3""",
+    f"""WITH {RECORDS} SELECT topic_id, source, topic_label, count(*) FILTER (WHERE collection_status = 'ok') AS ok,
+      count(*) FILTER (WHERE collection_status <> 'ok') AS failed FROM rec GROUP BY 1, 2, 3""",
 )
 def _(spark, d):
-    lines = F.transform("errors", lambda e: F.concat(e["error"], F.lit(" x"), e["times"].cast("string")))
-    return A.collection_report(B.records(spark, d)).withColumn("errors", F.array_join(lines, "; "))
+    return A.collection_report(B.records(spark, d))
+
+
+@query(
+    "agg_13_collection_errors",
+    f"WITH {RECORDS} SELECT topic_id, source, error, count(*) AS times FROM rec WHERE error IS NOT NULL GROUP BY 1, 2, 3",
+)
+def _(spark, d):
+    return A.collection_errors(B.records(spark, d))
 
 
 @query("agg_16_feature_matrix", f"WITH {RECORDS} SELECT topic_id, window_start, source, activity_count FROM rec")

@@ -6,10 +6,14 @@ from pyspark.sql import functions as F
 
 from risewatch import bindings as B
 from risewatch.catalog.registry import DIRECTED, MENTIONS, query
-from risewatch.catalog.series import r6
+from risewatch.catalog.series import MOMENTUM, counts, r6
+from risewatch.operators import forecast as FC
 from risewatch.operators import graph as G
 from risewatch.operators import links, rules
+from risewatch.operators.fusion import forecast_signal
 from risewatch.plans import backtest
+from risewatch.plans.collaborate import collaborate, link_scores
+from risewatch.plans.predict import baselines
 from risewatch.session import durable
 
 DOCS = MENTIONS + ", docs AS (SELECT 'doc:' || doc_id AS doc, entity AS concept, min(time) AS time FROM mentions GROUP BY 1, 2)"
@@ -292,3 +296,39 @@ def _(spark, d):
         "fold", "n_train", "n_test", "train_end", "test_start", "test_end",
         *[r6(c) for c in ("mrr", "hits_at_1", "hits_at_3", "hits_at_10")],
     )
+
+
+# Momentum against link history on the co-occurrence graph.
+LINK_VIEW = _kept(5000).replace("mentions AS", "RECURSIVE mentions AS", 1)
+MOMENTUM_VIEW = MOMENTUM[MOMENTUM.index("counts AS"):]
+COLLAB = LINK_VIEW + ", " + MOMENTUM_VIEW + """,
+fdays AS (SELECT time, count(*) AS c FROM facts GROUP BY 1),
+fcum AS (SELECT time, coalesce(sum(c) OVER (ORDER BY time ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(c) OVER () AS fn FROM fdays),
+froles AS (SELECT time, CASE WHEN before < greatest(1, floor(fn * 0.7::DOUBLE)) THEN 'train'
+  WHEN before < greatest(greatest(1, floor(fn * 0.7::DOUBLE)) + 1, floor(fn * (0.7::DOUBLE + 0.1::DOUBLE))) THEN 'val' ELSE 'test' END AS role FROM fcum),
+fs AS (SELECT f.*, r.role FROM facts f JOIN froles r ON r.time = f.time),
+past AS (SELECT DISTINCT head AS e FROM fs WHERE role <> 'test'),
+sh AS (SELECT head, tail, count(*) / sum(count(*)) OVER (PARTITION BY head) AS s FROM fs WHERE role = 'train' GROUP BY 1, 2),
+qh AS (SELECT DISTINCT head FROM fs WHERE role = 'test' AND head IN (FROM past)),
+link AS (SELECT e AS entity, coalesce((SELECT sum(s) FROM sh WHERE sh.tail = e AND sh.head IN (FROM qh)), 0) / (SELECT count(*) FROM qh) AS score FROM past),
+sr AS (SELECT entity, score, (count(*) OVER () - row_number() OVER (ORDER BY score DESC, entity)) / (count(*) OVER () - 1)::DOUBLE AS z FROM momentum),
+lr AS (SELECT entity, score, (count(*) OVER () - row_number() OVER (ORDER BY score DESC, entity)) / (count(*) OVER () - 1)::DOUBLE AS z FROM link)
+SELECT coalesce(a.entity, b.entity) AS entity, CASE WHEN coalesce(a.z, 0) >= 0.5 AND coalesce(b.z, 0) >= 0.5 THEN 'agree' WHEN coalesce(a.z, 0) >= 0.5 THEN 'signal_only'
+    WHEN coalesce(b.z, 0) >= 0.5 THEN 'tkg_only' ELSE 'neither' END AS verdict, round(a.score, 6) AS signal_score, round(b.score, 6) AS link_score
+FROM sr a FULL JOIN lr b ON b.entity = a.entity"""
+
+
+@query("rnk_10_momentum_against_links", f"WITH {COLLAB}")
+def _(spark, d):
+    out = collaborate(counts(spark, d), durable(facts(spark, d, max_entities=5000)))
+    return out.select("entity", "verdict", r6("signal_score"), r6("link_score"))
+
+
+@query("bt_07_fusion_baseline")
+def _(spark, d):
+    c = counts(spark, d)
+    tkg = link_scores(durable(facts(spark, d, max_entities=5000)))
+    signal = forecast_signal(FC.forecast(c, max_iter=5))
+    return baselines(c, rankings=("fusion",), tkg=durable(tkg), forecast=durable(signal)).select(
+        "ranking", r6("precision_at_k"), r6("recall_at_k")
+    )

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from risewatch import bindings as B
 from risewatch.catalog.registry import COUNTS, DENSE, MENTIONS, query
-from risewatch.catalog.series import MOMENTUM, counts, r6
+from risewatch.catalog.series import MOMENTUM, _tuned, counts, r6
 from risewatch.operators import fusion, metrics, series
 from risewatch.plans import backtest
 
@@ -395,3 +395,18 @@ def _(spark, d):
     return baselines(counts(spark, d), rankings=("share",)).select("ranking", r6("precision_at_k"), r6("recall_at_k"))
 
 
+
+
+@query(
+    "bt_07_burst_baseline",
+    f"""WITH {_tuned(2.0, 1.0).replace('dense d JOIN (SELECT entity, avg(x)', 'hd d JOIN (SELECT entity, avg(x)').replace('rate FROM dense GROUP', 'rate FROM hd GROUP').replace('FROM dense d JOIN vit', 'FROM hd d JOIN vit').replace('cost AS (', 'hd AS (SELECT entity, ord, n - 6 AS n, x FROM dense WHERE ord <= n - 6), cost AS (', 1)},
+    b AS (SELECT e.entity, coalesce(max(s.weight), 0) AS w FROM (SELECT DISTINCT entity FROM dense) e LEFT JOIN segs s ON s.entity = e.entity GROUP BY 1),
+    g AS (SELECT entity, avg(CASE WHEN ord > n - 6 THEN x END) - avg(CASE WHEN ord <= n - 6 THEN x END) AS growth FROM dense GROUP BY 1),
+    truth AS (SELECT entity FROM g ORDER BY growth DESC, entity LIMIT 10), r AS (SELECT entity FROM b ORDER BY w DESC, entity LIMIT 10)
+    SELECT 'burst' AS ranking, round(count(t.entity) / 10.0, 6)::DOUBLE AS precision_at_k, round(count(t.entity) / 10.0, 6)::DOUBLE AS recall_at_k
+    FROM r LEFT JOIN truth t ON t.entity = r.entity""",
+)
+def _(spark, d):
+    from risewatch.plans.predict import baselines
+
+    return baselines(counts(spark, d), rankings=("burst",)).select("ranking", r6("precision_at_k"), r6("recall_at_k"))

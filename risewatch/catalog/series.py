@@ -226,23 +226,28 @@ segs AS (
   WHERE st = '1' GROUP BY entity, grp)"""
 
 
+def _tuned(s: float, gamma: float) -> str:
+    """The same walk with other rates and switching costs."""
+    return BURSTS.replace("2 * r.rate", f"{s} * r.rate").replace("ln(d.n) AS tau", f"{gamma} * ln(d.n) AS tau")
+
+
 @query(
     "win_21_kleinberg_bursts",
-    f"""WITH {BURSTS} SELECT entity, s::INT AS "start", e::INT AS "end", weight FROM segs""",
+    f"""WITH {_tuned(1.25, 0.25)} SELECT entity, s::INT AS "start", e::INT AS "end", weight FROM segs""",
 )
 def _(spark, d):
-    return bursts.kleinberg_bursts(counts(spark, d))
+    return bursts.kleinberg_bursts(counts(spark, d), s=1.25, gamma=0.25)
 
 
 @query(
     "rnk_04_burst_topk",
-    f"""WITH {BURSTS} SELECT e.entity, coalesce(max(s.weight), 0)::DOUBLE AS weight, count(s.weight)::INT AS n_bursts,
+    f"""WITH {_tuned(1.25, 0.25)} SELECT e.entity, coalesce(max(s.weight), 0)::DOUBLE AS weight, count(s.weight)::INT AS n_bursts,
       row_number() OVER (ORDER BY coalesce(max(s.weight), 0) DESC, e.entity)::INT AS pos
     FROM (SELECT DISTINCT entity FROM dense) e LEFT JOIN segs s ON s.entity = e.entity
     GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10""",
 )
 def _(spark, d):
-    return bursts.burst_topk(counts(spark, d), 10)
+    return bursts.burst_topk(counts(spark, d), 10, s=1.25, gamma=0.25)
 
 
 @query(

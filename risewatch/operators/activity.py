@@ -38,19 +38,27 @@ def cleaning_log(records: DataFrame) -> DataFrame:
     )
 
 
+def _request_ok() -> Column:
+    return F.coalesce(F.col("collection_status"), F.lit("")) == "ok"
+
+
 def collection_report(records: DataFrame) -> DataFrame:
-    """Ok and failed requests per topic and source with a count per error text (repeats kept as counts)."""
-    ok = F.coalesce(F.col("collection_status"), F.lit("")) == "ok"
-    per_error = records.groupBy("topic_id", "source", F.when(~ok, F.coalesce("error", F.lit("unknown"))).alias("error")).agg(
-        F.max("topic_label").alias("topic_label"), F.count_if(ok).alias("ok"), F.count_if(~ok).alias("failed")
-    )
-    return per_error.groupBy("topic_id", "source").agg(
+    """Ok and failed requests per topic and source."""
+    return records.groupBy("topic_id", "source").agg(
         F.max("topic_label").alias("topic_label"),
-        F.sum("ok").alias("ok"),
-        F.sum("failed").alias("failed"),
-        F.array_sort(
-            F.collect_list(F.when(F.col("error").isNotNull(), F.struct("error", F.col("failed").alias("times"))))
-        ).alias("errors"),
+        F.count_if(_request_ok()).alias("ok"),
+        F.count_if(~_request_ok()).alias("failed"),
+    )
+
+
+def collection_errors(records: DataFrame) -> DataFrame:
+    """Error texts per topic and source with their number of occurrences.
+
+    A source may fail in very many ways, so the list stays in rows and is never gathered into one cell.
+    """
+    failed = records.where(~_request_ok())
+    return failed.groupBy("topic_id", "source", F.coalesce("error", F.lit("unknown")).alias("error")).agg(
+        F.count(F.lit(1)).alias("times")
     )
 
 

@@ -167,7 +167,7 @@ def directed_facts(
 def temporal_split(facts: DataFrame, train: float = 0.7, val: float = 0.1) -> DataFrame:
     """``role`` train / val / test by whole timestamps, no timestamp is split.
 
-    Only the per-day counts are ordered; days are bounded by the calendar, so the small table is broadcast.
+    Only the counts per timestamp are ordered; Spark broadcasts them when their measured size allows.
     """
     time = F.coalesce("time", F.lit(""))
     days = facts.groupBy(time.alias("_day")).agg(F.count(F.lit(1)).alias("_c"))
@@ -179,7 +179,7 @@ def temporal_split(facts: DataFrame, train: float = 0.7, val: float = 0.1) -> Da
     val_end = F.greatest(end + 1, F.floor(F.col("_n") * F.lit(train + val)))
     role = F.when(F.col("_before") < end, "train").when(F.col("_before") < val_end, "val").otherwise("test")
     roles = placed.select("_day", role.alias("role"))
-    return facts.withColumn("_day", time).join(F.broadcast(roles), "_day").drop("_day")
+    return facts.withColumn("_day", time).join(roles, "_day").drop("_day")
 
 
 def ordered_split(facts: DataFrame, ratio: float = 0.8) -> DataFrame:
