@@ -72,42 +72,33 @@ def extract_work_triples(works: DataFrame, max_concepts: int = 5, max_refs: int
     """
     w = _works(works)
 
+    shape = "array<struct<relation:string,raw:string,tail_type:string>>"
+
     def quads(items: Column, relation: str, tail_type: str) -> Column:
-        kept = F.filter(items, lambda t: t.isNotNull() & (t != ""))
-        return F.transform(
-            kept, lambda t: F.struct(F.lit(relation).alias("relation"), t.alias("tail"), F.lit(tail_type).alias("tail_type"))
+        rows = F.transform(
+            items, lambda t: F.struct(F.lit(relation).alias("relation"), t.alias("raw"), F.lit(tail_type).alias("tail_type"))
         )
+        return F.coalesce(rows, F.array().cast(shape))
 
-    none = F.array().cast("array<string>")
-    authors = F.transform("authorships", lambda a: tail_id(a["author"]["id"]))
-    places = F.flatten(
-        F.transform(
-            "authorships",
-            lambda a: F.coalesce(F.transform(a["institutions"], lambda i: tail_id(i["id"])), none),
-        )
-    )
-    concepts = F.transform(best_concepts(F.col("concepts"), max_concepts), lambda c: tail_id(c["id"]))
-    refs = F.transform(F.slice("referenced_works", 1, max_refs), lambda r: work_id(r))
+    places = F.flatten(F.transform("authorships", lambda a: F.coalesce(a["institutions"]["id"], F.array().cast("array<string>"))))
     every = F.concat(
-        *[
-            F.coalesce(quads(items, rel, typ), F.array().cast("array<struct<relation:string,tail:string,tail_type:string>>"))
-            for items, rel, typ in (
-                (concepts, "belongs_to", "Concept"),
-                (authors, "authored_by", "Author"),
-                (places, "affiliated_with", "Institution"),
-                (refs, "cites", "Paper"),
-            )
-        ]
+        quads(best_concepts(F.col("concepts"), max_concepts)["id"], "belongs_to", "Concept"),
+        quads(F.col("authorships.author.id"), "authored_by", "Author"),
+        quads(places, "affiliated_with", "Institution"),
+        quads(F.slice("referenced_works", 1, max_refs), "cites", "Paper"),
     )
-    return w.select("head", "time", "src", F.explode(every).alias("q")).select(
+    # Ids are cut after the explode, in generated code rather than inside the array functions.
+    rows = w.select("head", "time", "src", F.inline(every))
+    tail = F.when(F.col("relation") == "cites", work_id(F.col("raw"))).otherwise(tail_id(F.col("raw")))
+    return rows.select(
         "head",
         F.lit("Paper").alias("head_type"),
-        "q.relation",
-        "q.tail",
-        "q.tail_type",
+        "relation",
+        tail.alias("tail"),
+        "tail_type",
         "time",
         F.col("src").alias("source"),
-    )
+    ).where(F.col("tail") != "")
 
 
 def work_nodes(works: DataFrame, max_refs: int = 10) -> DataFrame:
