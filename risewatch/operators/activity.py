@@ -281,7 +281,7 @@ def standardize(pivot: DataFrame, method: str = "robust", cols: Sequence[str] |
         long = long.withColumn("value", F.log1p(F.greatest(F.col("value"), F.lit(0.0))))
     keys = ["window_start", "source"]
     if method == "robust":
-        stats = quantiles(long, "value", {"q1": 0.25, "med": 0.5, "q3": 0.75}, keys)
+        stats = quantiles(long, "value", {"q1": 0.25, "med": 0.5, "q3": 0.75}, keys, bounded=False)
         iqr = F.col("q3") - F.col("q1")
         std = F.when(iqr < 1e-9, 0.0).otherwise(F.round((F.col("value") - F.col("med")) / iqr, 4))
     elif method == "rank":
@@ -289,7 +289,7 @@ def standardize(pivot: DataFrame, method: str = "robust", cols: Sequence[str] |
         below = W.partitionBy(*keys).orderBy("value").rowsBetween(W.unboundedPreceding, -1)
         ranked = ties.withColumn("below", F.coalesce(F.sum("ties").over(below), F.lit(0)))
         sizes = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-        values = ranked.join(F.broadcast(sizes), keys).select(
+        values = ranked.join(sizes, keys).select(
             *keys,
             "value",
             F.when(F.col("n") <= 1, 0.5)
@@ -301,8 +301,7 @@ def standardize(pivot: DataFrame, method: str = "robust", cols: Sequence[str] |
         stats = long.groupBy(*keys).agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
         spread = F.col("hi") - F.col("lo")
         std = F.when(spread < 1e-9, 0.5).otherwise(F.round((F.col("value") - F.col("lo")) / spread, 4))
-    # six sources x the calendar's windows: a bounded summary
-    return _pivot_std(pivot, long.join(F.broadcast(stats), keys).withColumn("std", std), cols)
+    return _pivot_std(pivot, long.join(stats, keys).withColumn("std", std), cols)
 
 
 def _pivot_std(pivot: DataFrame, long: DataFrame, cols: Sequence[str]) -> DataFrame:

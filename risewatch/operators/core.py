@@ -11,14 +11,22 @@ from pyspark.sql import functions as F
 from risewatch.session import durable
 
 
-def attach(df: DataFrame, summary: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+BROADCAST_ROWS = 500_000
+
+
+def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Broadcast a stored table after counting it; beyond ``limit`` rows the join is left to Spark."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
+def attach(df: DataFrame, summary: DataFrame, by: Sequence[str] = (), bounded: bool = True) -> DataFrame:
     """Add the columns of a summary holding one row per ``by`` group (one row in all when ``by`` is empty).
 
-    ``by`` is only ever the fold, the time bin, or a fixed list of features, so the summary is bounded by
-    the number of folds or calendar bins and may be broadcast. Without ``by`` it becomes a scalar subquery.
+    ``bounded`` groups are folds and fixed feature lists, a handful of rows that may be broadcast. Without
+    ``by`` the summary becomes a scalar subquery.
     """
     if by:
-        return df.join(F.broadcast(summary), list(by))
+        return df.join(F.broadcast(summary) if bounded else summary, list(by))
     row = summary.select(F.struct(*summary.columns)).scalar()
     out = df.withColumn("_one", row)
     return out.select(*df.columns, *[F.col("_one")[c].alias(c) for c in summary.columns])
@@ -65,6 +73,7 @@ def order_stats(
     value: str,
     picks: Mapping[str, tuple[float, Callable[[Column], Column]]],
     by: Sequence[str] = (),
+    bounded: bool = True,
 ) -> DataFrame:
     """Exact values at given sorted positions, one row per ``by``, plus ``n``, ``low`` and ``high``.
 
@@ -87,7 +96,7 @@ def order_stats(
         F.percentile_approx("_v", probs, 10000).alias("_q"),
     )
     small = F.col("n") <= 5000
-    marked = attach(src, sketch, by).select(
+    marked = attach(src, sketch, by, bounded).select(
         *by,
         "_v",
         F.explode(
@@ -110,7 +119,7 @@ def order_stats(
         .agg(F.count(F.lit(1)).alias("_c"))
     )
     running = W.partitionBy(*by, "pick").orderBy(F.asc_nulls_first("_v"))
-    cum = attach(inside.withColumn("_cum", F.sum("_c").over(running)), sketch.drop("_q"), by)
+    cum = attach(inside.withColumn("_cum", F.sum("_c").over(running)), sketch.drop("_q"), by, bounded)
     hit = [
         F.min(
             F.when((F.col("pick") == i) & (F.col("_cum") > picks[k][1](F.col("n"))), F.col("_v"))
@@ -122,13 +131,15 @@ def order_stats(
     return cum.agg(F.first("n").alias("n"), F.first("low").alias("low"), F.first("high").alias("high"), *hit)
 
 
-def quantiles(df: DataFrame, value: str, probs: Mapping[str, float], by: Sequence[str] = ()) -> DataFrame:
+def quantiles(
+    df: DataFrame, value: str, probs: Mapping[str, float], by: Sequence[str] = (), bounded: bool = True
+) -> DataFrame:
     """Exact linearly interpolated quantiles, one row per ``by``."""
     picks: dict[str, tuple[float, Callable[[Column], Column]]] = {}
     for name, p in probs.items():
         picks[f"{name}_lo"] = (p, lambda n, p=p: F.floor((n - 1) * F.lit(p)))
         picks[f"{name}_hi"] = (p, lambda n, p=p: F.ceil((n - 1) * F.lit(p)))
-    stats = order_stats(df, value, picks, by)
+    stats = order_stats(df, value, picks, by, bounded)
     out = []
     for name, p in probs.items():
         h = (F.col("n") - 1) * F.lit(p)

@@ -167,19 +167,21 @@ def directed_facts(
 def temporal_split(facts: DataFrame, train: float = 0.7, val: float = 0.1) -> DataFrame:
     """``role`` train / val / test by whole timestamps, no timestamp is split.
 
-    Only the counts per timestamp are ordered; Spark broadcasts them when their measured size allows.
+    Days are ordered first (a calendar of them), timestamps only inside their day.
     """
     time = F.coalesce("time", F.lit(""))
-    days = facts.groupBy(time.alias("_day")).agg(F.count(F.lit(1)).alias("_c"))
-    before = F.coalesce(
-        F.sum("_c").over(W.orderBy("_day").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)
-    )
-    placed = attach(days.withColumn("_before", before), days.agg(F.sum("_c").alias("_n")))
+    times = facts.groupBy(time.alias("_time")).agg(F.count(F.lit(1)).alias("_c")).withColumn("_day", F.substring("_time", 1, 10))
+    days = times.groupBy("_day").agg(F.sum("_c").alias("_d"))
+    prior = W.rowsBetween(W.unboundedPreceding, -1)
+    earlier_days = F.coalesce(F.sum("_d").over(prior.orderBy("_day")), F.lit(0))
+    earlier_same_day = F.coalesce(F.sum("_c").over(prior.partitionBy("_day").orderBy("_time")), F.lit(0))
+    before = times.join(days.withColumn("_b", earlier_days), "_day").withColumn("_before", F.col("_b") + earlier_same_day)
+    placed = attach(before, days.agg(F.sum("_d").alias("_n")))
     end = F.greatest(F.lit(1), F.floor(F.col("_n") * F.lit(train)))
     val_end = F.greatest(end + 1, F.floor(F.col("_n") * F.lit(train + val)))
     role = F.when(F.col("_before") < end, "train").when(F.col("_before") < val_end, "val").otherwise("test")
-    roles = placed.select("_day", role.alias("role"))
-    return facts.withColumn("_day", time).join(roles, "_day").drop("_day")
+    roles = placed.select("_time", role.alias("role"))
+    return facts.withColumn("_time", time).join(roles, "_time").drop("_time")
 
 
 def ordered_split(facts: DataFrame, ratio: float = 0.8) -> DataFrame:

@@ -80,7 +80,7 @@ def stage_curves(counts: DataFrame, stages: DataFrame) -> DataFrame:
     order = F.create_map(*[x for i, s in enumerate(STAGES) for x in (F.lit(s), F.lit(i))])
     run = W.partitionBy("stage").orderBy("bin")
     return (
-        grid.join(F.broadcast(cells), ["stage", "bin"], "left")  # four stages x calendar bins
+        grid.join(cells, ["stage", "bin"], "left")
         .select(
             order[F.col("stage")].alias("stage_order"),
             "stage",

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from risewatch.operators.core import small
+from risewatch.session import durable
 
 SALTS = 16
 HUB_PATHS = 1_000_000  # two-hop paths through one node beyond which its edges are spread over several tasks
@@ -129,13 +131,13 @@ def score_candidates(queries: DataFrame, edges: DataFrame, rules: DataFrame, str
     ``transitivity[r, r2]``; the second edge must precede the query, the first one too when asked.
     Paths are counted per (query, candidate, rule) before confidences are attached.
     """
-    conf = rules.select("kind", "r1", "r2", "confidence")
+    conf = durable(rules.select("kind", "r1", "r2", "confidence"))
     first = queries.join(edges.withColumnRenamed("time", "t1").withColumnRenamed("tail", "y"), ["head", "relation"])
     one = (
         first.where("t1 < time")
         .groupBy("query", "relation", F.col("y").alias("candidate"))
         .agg(F.count(F.lit(1)).alias("paths"))
-        .join(F.broadcast(conf.where("kind = 'symmetry'").select(F.col("r1").alias("relation"), "confidence")), "relation")
+        .join(small(conf.where("kind = 'symmetry'").select(F.col("r1").alias("relation"), "confidence")), "relation")
     )
     start = first.where("t1 < time") if strict_first_hop else first
     hop = edges.select(F.col("head").alias("y"), F.col("relation").alias("r2"), F.col("tail").alias("z"), F.col("time").alias("t2"))
@@ -145,7 +147,7 @@ def score_candidates(queries: DataFrame, edges: DataFrame, rules: DataFrame, str
         .groupBy("query", "relation", "r2", F.col("z").alias("candidate"))
         .agg(F.count(F.lit(1)).alias("paths"))
         .join(
-            F.broadcast(conf.where("kind = 'transitivity'").select(F.col("r1").alias("relation"), "r2", "confidence")),
+            small(conf.where("kind = 'transitivity'").select(F.col("r1").alias("relation"), "r2", "confidence")),
             ["relation", "r2"],
         )
     )

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from risewatch.functions.dates import time_bin
 from risewatch.functions.numeric import log1p_safe, logistic
 from risewatch.functions.text import tail_id
-from risewatch.operators.core import attach, order_stats, top_k
+from risewatch.operators.core import attach, order_stats, small, top_k
 from risewatch.session import durable
 
 # Default feature weights of the share-momentum score.
@@ -67,9 +67,10 @@ def entity_totals(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def bin_axis(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Observed bins with their ordinal (from 1), the number of bins and the bin total.
 
-    Bins are calendar months or days, so this table stays small whatever the data volume.
+    Bins are calendar months or days, so this table stays small whatever the data volume; it is stored, and
+    joins check its size before they broadcast it.
     """
-    return (
+    return durable(
         bin_totals(counts, by)
         .withColumnRenamed("total", "bin_total")
         .withColumn("ord", F.row_number().over(W.partitionBy(*by).orderBy("bin")))
@@ -78,14 +79,14 @@ def bin_axis(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def indexed(counts: DataFrame, by: Sequence[str] = (), axis: DataFrame | None = None) -> DataFrame:
-    """Counts with the axis columns; the axis is bounded by the calendar, hence broadcast."""
+    """Counts with the axis columns."""
     axis = bin_axis(counts, by) if axis is None else axis
-    return counts.join(F.broadcast(axis), [*by, "bin"])
+    return counts.join(small(axis), [*by, "bin"])
 
 
-def densify(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def densify(counts: DataFrame, by: Sequence[str] = (), axis: DataFrame | None = None) -> DataFrame:
     """The zero-filled grid over observed bins, expanded entity by entity from one grouped row."""
-    axis = bin_axis(counts, by)
+    axis = bin_axis(counts, by) if axis is None else axis
     labels = axis.groupBy(*by).agg(F.array_sort(F.collect_list("bin")).alias("_bins")) if by else axis.agg(
         F.array_sort(F.collect_list("bin")).alias("_bins")
     )
@@ -149,7 +150,9 @@ def macd(counts: DataFrame, short: int = 3, long: int = 6, by: Sequence[str] = (
 
 def share_series(counts: DataFrame, laplace: float = 1.0, by: Sequence[str] = ()) -> DataFrame:
     """Smoothed share of every entity in every observed bin (the dense result is the feature here)."""
-    dense = densify(counts, by).join(F.broadcast(bin_totals(counts, by)), [*by, "bin"])
+    axis = bin_axis(counts, by)
+    totals = axis.select(*by, "bin", F.col("bin_total").alias("total"))
+    dense = densify(counts, by, axis).join(small(totals), [*by, "bin"])
     size = counts.groupBy(*by).agg(F.count_distinct("entity").alias("_n")) if by else counts.agg(
         F.count_distinct("entity").alias("_n")
     )
@@ -193,7 +196,7 @@ def share_features(
     own = W.partitionBy(*by, "entity").orderBy("ord")
     level = F.log1p(F.col("cnt"))
     stepped = (
-        counts.join(F.broadcast(axis.drop("n_bins", "bin_total", "_size")), [*by, "bin"])
+        counts.join(small(axis.drop("n_bins", "bin_total", "_size")), [*by, "bin"])
         .withColumn("_level", level)
         .withColumn("_prev", F.lag("ord").over(own))
         .withColumn("_prev_level", F.lag("_level").over(own))

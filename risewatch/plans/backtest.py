@@ -10,7 +10,7 @@ from risewatch.functions.dates import month_add
 from risewatch.operators import citations, lifecycle, links, metrics, series
 from risewatch.operators import forecast as F_
 from risewatch.operators.bursts import burst_topk
-from risewatch.operators.core import top_k
+from risewatch.operators.core import small, top_k
 from risewatch.operators.series import bin_axis, share_momentum
 from risewatch.session import durable
 
@@ -102,14 +102,14 @@ def backtest_ranking(
         .withColumn("m", F.sum(F.when(fut, 1).otherwise(0)).over(W.partitionBy("fold")))
         .where("n > 0 and m > 0")
     )
-    axis = shape.select("fold", "bin", "bin_total", "ord", "n_bins", "n", "m")
+    axis = durable(shape.select("fold", "bin", "bin_total", "ord", "n_bins", "n", "m"))
     base = rows.select("fold", "entity", "bin", "cnt")
     scores = share_momentum(base, by, axis=axis.drop("m"))
     ranked = top_k(scores, "score", k, by)
     hist_axis = axis.withColumn("n_bins", F.col("n")).drop("n", "m")
     bursts = burst_topk(base, k, s, gamma, by=by, axis=hist_axis)
     future = (
-        base.join(F.broadcast(axis), ["fold", "bin"])
+        base.join(small(axis), ["fold", "bin"])
         .groupBy("fold", "entity")
         .agg(
             (
