@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from risewatch.operators.core import attach
+from risewatch.session import durable
 
 
 def copy_history(train: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -37,10 +38,12 @@ def train_entities(train: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return train.select(*by, F.explode(F.array("head", "tail")).alias("entity")).distinct()
 
 
-def known_queries(test: DataFrame, train: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def known_queries(
+    test: DataFrame, train: DataFrame, by: Sequence[str] = (), entities: DataFrame | None = None
+) -> DataFrame:
     """Test facts whose ends and relation occur in train (of the same fold)."""
     by = list(by)
-    e = train_entities(train, by)
+    e = train_entities(train, by) if entities is None else entities
     return (
         test.join(e.withColumnRenamed("entity", "head"), [*by, "head"], "left_semi")
         .join(e.withColumnRenamed("entity", "tail"), [*by, "tail"], "left_semi")
@@ -64,10 +67,14 @@ def filtered_rank(
     by = list(by)
     hr = [*by, "head", "relation"]
     edge = [*hr, "tail"]
-    inside = known.join(entities.withColumnRenamed("entity", "tail"), [*by, "tail"], "left_semi").select(*edge).distinct()
+    inside = durable(
+        known.join(entities.withColumnRenamed("entity", "tail"), [*by, "tail"], "left_semi").select(*edge).distinct()
+    )
     positive = scores.where(F.col("score") > 0).select(*edge, "score")
-    free = positive.join(inside, edge, "left_anti").join(
-        entities.withColumnRenamed("entity", "tail"), [*by, "tail"], "left_semi"
+    free = durable(
+        positive.join(inside, edge, "left_anti").join(
+            entities.withColumnRenamed("entity", "tail"), [*by, "tail"], "left_semi"
+        )
     )
     n_known = inside.groupBy(*hr).agg(F.count(F.lit(1)).alias("n_known"))
     n_free = free.groupBy(*hr).agg(F.count(F.lit(1)).alias("n_free"))
@@ -75,7 +82,7 @@ def filtered_rank(
         F.count(F.lit(1)).alias("n_entities")
     )
     distinct_q = queries.groupBy(*edge).agg(F.count(F.lit(1)).alias("times"))
-    scored = (
+    scored = durable(
         distinct_q.join(positive, edge, "left")
         .withColumn("score", F.coalesce("score", F.lit(0.0)))
         .join(inside.withColumn("_in", F.lit(1)), edge, "left")
@@ -119,10 +126,10 @@ def evaluate_copy_only(
     by = list(by)
     edge = [*by, "head", "relation", "tail"]
     facts = train.select(*edge).unionByName(test.select(*edge)) if known is None else known
-    hist = copy_history(train, by).withColumn("score", F.col("share"))
-    return rank_metrics(
-        filtered_rank(known_queries(test, past, by), hist, known_tails(facts, by), train_entities(past, by), by), by
-    )
+    hist = durable(copy_history(train, by)).withColumn("score", F.col("share"))
+    entities = durable(train_entities(past, by))
+    queries = known_queries(test, past, by, entities)
+    return rank_metrics(filtered_rank(queries, hist, known_tails(facts, by), entities, by), by)
 
 
 def future_link_scores(history: DataFrame, test: DataFrame, train: DataFrame, relation: str | None = None) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from risewatch.functions.text import blank_to_null, fallback_id, normalize_name
 from risewatch.schemas import MATCH_TARGET
+from risewatch.session import durable
 
 ANCHOR_TYPES = ("Concept", "Institution", "Author")
 
@@ -169,8 +170,8 @@ def align_fuzzy(names: DataFrame, anchors: DataFrame, threshold: float = 0.90) -
 
 def resolve_names(nodes: DataFrame, threshold: float = 0.90) -> DataFrame:
     """Anchor of every unresolved name: exact first, fuzzy for the rest."""
-    anchors = anchor_index(nodes)
-    names = unresolved_names(nodes)
+    anchors = durable(anchor_index(nodes))
+    names = durable(unresolved_names(nodes))
     exact = align_exact(names, anchors)
     rest = names.join(anchors, ["type", "norm"], "left_anti")
     cols = ["type", "norm", "anchor_entity", "anchor_id", "score"]

@@ -113,7 +113,7 @@ def mine_transitivity(edges: DataFrame) -> DataFrame:
 
 
 def mine_rules(facts: DataFrame, min_support: int = 3, min_confidence: float = 0.05, max_len: int = 3) -> DataFrame:
-    edges = edge_first(facts)
+    edges = durable(edge_first(facts))
     every = mine_symmetry(edges).unionByName(mine_implication(edges)).unionByName(mine_transitivity(edges))
     return filter_rules(every, min_support, min_confidence, max_len)
 

@@ -92,7 +92,7 @@ def backtest_ranking(
 ) -> DataFrame:
     """Share-momentum and burst rankings against later growth and activity, one row per fold."""
     by = ["fold"]
-    origins = rolling_origins(counts, n_splits, test_months, step_months, "bin")
+    origins = durable(rolling_origins(counts, n_splits, test_months, step_months, "bin"))
     rows = _per_fold(counts, origins)
     hist, fut = F.col("bin") < F.col("test_start"), (F.col("bin") >= F.col("test_start")) & (F.col("bin") < F.col("test_end"))
     shape = (
@@ -104,8 +104,8 @@ def backtest_ranking(
     )
     axis = durable(shape.select("fold", "bin", "bin_total", "ord", "n_bins", "n", "m"))
     base = rows.select("fold", "entity", "bin", "cnt")
-    scores = share_momentum(base, by, axis=axis.drop("m"))
-    ranked = top_k(scores, "score", k, by)
+    scores = durable(share_momentum(base, by, axis=axis.drop("m")))
+    ranked = durable(top_k(scores, "score", k, by))
     hist_axis = axis.withColumn("n_bins", F.col("n")).drop("n", "m")
     bursts = burst_topk(base, k, s, gamma, by=by, axis=hist_axis)
     future = (
@@ -120,6 +120,7 @@ def backtest_ranking(
         )
         .withColumn("rel", F.coalesce("rel", F.lit(0.0)))
     )
+    future = durable(future)  # one row per fold and entity, read by every metric below
     truth = top_k(future.withColumn("growth", F.col("rel") - F.col("past")), "growth", k, by)
     relevance = future.select("fold", "entity", "rel")
     pr = metrics.precision_recall(ranked, truth, k, by).toDF("fold", "p_at_k", "r_at_k")
@@ -169,7 +170,8 @@ def backtest_links(
         )
         .where((F.col("n_train") >= min_train) & (F.col("n_test") > 0))
     )
-    used = folds.join(F.broadcast(sizes.select("fold")), "fold", "left_semi")
+    sizes = durable(sizes)
+    used = durable(folds.join(F.broadcast(sizes.select("fold")), "fold", "left_semi"))
     scored = links.evaluate_copy_only(used.where(train), used.where(test), by=by)
     return sizes.join(scored, "fold", "left")
 
