@@ -332,12 +332,11 @@ def _(spark, d):
 
 @query(
     "aln_01_doi_merge",
-    """WITH p AS (SELECT 'W' || o_orderkey AS id, '10.1/abc.' || (o_orderkey % 1000) AS k FROM orders WHERE o_orderkey % 2 = 0),
-    a AS (SELECT k, min(id) AS anchor FROM p GROUP BY 1)
-    SELECT 'x' || o_orderkey AS id, coalesce(a.anchor, 'x' || o_orderkey) AS entity_id FROM orders LEFT JOIN a ON a.k = '10.1/abc.' || (o_orderkey % 1500)""",
+    """SELECT 'x' || o.o_orderkey AS id, CASE WHEN a.o_orderkey IS NOT NULL THEN 'W' || a.o_orderkey ELSE 'x' || o.o_orderkey END AS entity_id
+    FROM orders o LEFT JOIN orders a ON a.o_orderkey = o.o_custkey * 11""",
 )
 def _(spark, d):
-    o = B.table(spark, d, "orders").select("o_orderkey")
+    o = B.table(spark, d, "orders").select("o_orderkey", "o_custkey")
     row = lambda p, doi, src: [
         F.concat(F.lit(p), F.col("o_orderkey").cast("string")).alias("id"),
         F.lit("Paper").alias("type"),
@@ -345,8 +344,8 @@ def _(spark, d):
         F.lit(src).alias("source"),
         doi.alias("doi"),
     ]
-    a = o.where("o_orderkey % 2 = 0").select(*row("W", F.concat(F.lit(" 10.1/ABC."), (F.col("o_orderkey") % 1000).cast("string"), F.lit(". ")), "openalex"))
-    x = o.select(*row("x", F.concat(F.lit("10.1/abc."), (F.col("o_orderkey") % 1500).cast("string")), "arxiv"))
+    a = o.select(*row("W", F.concat(F.lit(" 10.1/ABC."), F.col("o_orderkey").cast("string"), F.lit(". ")), "openalex"))
+    x = o.select(*row("x", F.concat(F.lit("10.1/abc."), (F.col("o_custkey") * 11).cast("string")), "arxiv"))
     return R.align_doi(a.unionByName(x)).where("source = 'arxiv'").select("id", "entity_id")
 
 
@@ -374,7 +373,8 @@ def _(spark, d):
     "join_03_rewrite_triples",
     f"""WITH {VARIANTS} SELECT 'doc' || l_orderkey AS head, v.id AS tail, CASE WHEN v.type = 'Technology' THEN 'Concept' ELSE 'Dataset' END AS tail_type,
       'doc' || l_orderkey AS head_id, CASE WHEN v.type = 'Technology' THEN 'C:' || v.base ELSE 'dataset:' || substr(sha1('uspto|Dataset|' || v.name), 1, 12) END AS tail_id
-    FROM lineitem l JOIN vars v ON v.id = CASE WHEN l_linenumber % 2 = 0 THEN 'u:' ELSE 'z:' END || l_partkey WHERE l_orderkey % 4 = 0""",
+    FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey AND o.o_orderstatus <> 'P'
+    JOIN vars v ON v.id = CASE WHEN l_linenumber % 2 = 0 THEN 'u:' ELSE 'z:' END || l_partkey""",
 )
 def _(spark, d):
     l = B.table(spark, d, "lineitem")
@@ -387,7 +387,9 @@ def _(spark, d):
         F.concat(F.when(even, "u:").otherwise("z:"), F.col("l_partkey").cast("string")).alias("tail"),
         F.when(even, "Technology").otherwise("Dataset").alias("tail_type"),
     )
-    papers = l.where("l_orderkey % 4 = 0").select(doc.alias("id")).distinct().select(
+    # orders in status P have no node, so their triples must disappear
+    known = B.table(spark, d, "orders").where("o_orderstatus <> 'P'")
+    papers = known.select(F.concat(F.lit("doc"), F.col("o_orderkey").cast("string")).alias("id")).select(
         "id", F.lit("Paper").alias("type"), F.col("id").alias("entity_id"), F.lit(None).cast("string").alias("name"),
         F.lit("openalex").alias("source"), F.lit(None).cast("string").alias("doi"),
     )
@@ -666,11 +668,11 @@ def _(spark, d):
 
 @query(
     "scl_16_poisson_cost",
-    "SELECT event_id, round(CASE WHEN user_id > 0 THEN user_id - floor(value) * ln(user_id) WHEN floor(value) = 0 THEN 0 ELSE 'inf'::DOUBLE END, 6) AS cost FROM events WHERE user_id > 0",
+    "SELECT event_id, round(user_id + 1 - floor(value) * ln(user_id + 1), 6) AS cost FROM events",
 )
 def _(spark, d):
-    cost = numeric.poisson_cost(F.floor("value").cast("double"), F.col("user_id").cast("double"))
-    return B.table(spark, d, "events").where("user_id > 0").select("event_id", F.round(cost, 6).alias("cost"))
+    cost = numeric.poisson_cost(F.floor("value").cast("double"), (F.col("user_id") + 1).cast("double"))
+    return B.table(spark, d, "events").select("event_id", F.round(cost, 6).alias("cost"))
 
 
 @query("scl_17_logistic", "SELECT event_id, round(1 / (1 + exp(-greatest(-35, least(35, value - 60)))), 6) AS p FROM events")
