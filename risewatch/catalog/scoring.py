@@ -235,14 +235,14 @@ FOLDS = ORIGINS + """, folds AS (SELECT o.fold, CASE WHEN substr(m.time, 1, 7) >
 
 def _facts(spark, d):
     return B.mentions(spark, d).select(
-        F.concat(F.lit("d"), (F.col("doc_id") % 500).cast("string")).alias("head"),
+        F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("head"),
         F.lit("belongs_to").alias("relation"),
         F.col("entity").alias("tail"),
         "time",
     )
 
 
-FACTS = MENTIONS + ", facts AS (SELECT 'd' || (doc_id % 500) AS head, 'belongs_to' AS relation, entity AS tail, time FROM mentions)"
+FACTS = MENTIONS + ", facts AS (SELECT 'd' || doc_id AS head, 'belongs_to' AS relation, entity AS tail, time FROM mentions)"
 
 
 @query(
@@ -288,13 +288,13 @@ def _(spark, d):
 
 @query(
     "set_04_new_test_entities",
-    f"""WITH {FACTS}, {FOLDS} SELECT DISTINCT tail AS entity, fold FROM folds WHERE role = 'test'
-    EXCEPT SELECT DISTINCT tail, fold FROM folds WHERE role = 'train'""",
+    f"""WITH {FACTS}, {FOLDS} SELECT DISTINCT head AS entity, fold FROM folds WHERE role = 'test'
+    EXCEPT SELECT DISTINCT head, fold FROM folds WHERE role = 'train'""",
 )
 def _(spark, d):
     facts = _facts(spark, d)
     folds = backtest.walk_forward(facts, backtest.rolling_origins(facts))
-    pick = lambda r: folds.where(F.col("role") == r).select(F.col("tail").alias("entity"), "fold").distinct()
+    pick = lambda r: folds.where(F.col("role") == r).select(F.col("head").alias("entity"), "fold").distinct()
     return pick("test").join(pick("train"), ["entity", "fold"], "left_anti")
 
 
