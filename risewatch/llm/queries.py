@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from risewatch.llm import bottom_k, byte_bpe, license_scan, skip_chain, spaced_seeds, tag_paths, toxicity
+from risewatch.llm import bottom_k, byte_bpe, license_scan, line_runs, prob_minhash, skip_chain, spaced_seeds, tag_paths, toxicity
 from risewatch.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +76,32 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages")
     return tag_paths.extract_pages(pages, "html").select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("bigint").alias("n_chars"))
+
+
+@query("op9_prob_minhash")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    found = prob_minhash.classes(table(spark, folder, "documents"), "doc_id", "text")
+    return found.select(F.col("id").alias("doc_id"), "class_id", "first")
+
+
+@query("op3_line_runs")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    done = line_runs.dedup_lines(docs, "doc_id", "text")
+    return done.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+#: Lines of documents with ``gone``: whether a later copy of a run of two lines, or of one of 40 characters, covers them.
+LINES_SQL = """
+split AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM docs),
+busy AS (SELECT *, trim(line, ' ') AS a, lead(trim(line, ' ')) OVER (PARTITION BY doc_id ORDER BY i) AS b FROM split WHERE trim(line, ' ') <> ''),
+placed AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY doc_id, i) > 1 AND length(a) >= 40 AS one,
+    b IS NOT NULL AND row_number() OVER (PARTITION BY a, b ORDER BY doc_id, i) > 1 AS two FROM busy),
+lost AS (SELECT doc_id, i, one OR two OR coalesce(lag(two) OVER (PARTITION BY doc_id ORDER BY i), false) AS gone FROM placed),
+marked AS (SELECT s.doc_id, s.line, s.i, coalesce(l.gone, false) AS gone FROM split s LEFT JOIN lost l ON l.doc_id = s.doc_id AND l.i = s.i)"""
+
+ORACLES["op3_line_runs"] = f"""
+WITH docs AS (SELECT doc_id, text FROM documents), {LINES_SQL}
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
+    sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id"""
