@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from risewatch.llm import bottom_k, byte_bpe, license_scan, line_runs, prob_minhash, skip_chain, spaced_seeds, tag_paths, toxicity
+from risewatch.llm import bottom_k, byte_bpe, license_scan, line_runs, prob_minhash, radix_windows, skip_chain, spaced_seeds, tag_paths, toxicity
 from risewatch.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,3 +105,9 @@ WITH docs AS (SELECT doc_id, text FROM documents), {LINES_SQL}
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
     sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id"""
+
+
+@query("op8_radix_windows")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    done = radix_windows.remove_repeats(table(spark, folder, "documents"), "doc_id", "text")
+    return done.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
