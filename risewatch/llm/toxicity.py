@@ -2,8 +2,8 @@
 
 Features of a text, all per word or per character: density and number of lexicon words, learned and fixed, alone and
 near a second person pronoun; share of capitals; punctuation marks; marks that stand for letters inside words
-(obfuscation); length. The lexicon is the fixed list below plus what labelled texts teach: words and word beginnings
-that are much likelier in toxic texts. Labelled rows are dealt to three disjoint parts by their id's checksum: lexicon,
+(obfuscation); length. The lexicon is the fixed list below plus what labelled texts teach: words and word beginnings,
+said once, twice or three times, that are much likelier in toxic texts. Labelled rows are dealt to three disjoint parts by their id's checksum: lexicon,
 trees, calibration, so that no part is fitted on what another part has memorised. Labels, language, source and id are
 never features.
 
@@ -17,6 +17,7 @@ score is the share of toxic labels (0 if there are none). Repeated rows get equa
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -43,7 +44,7 @@ SECOND = "you your yours yourself u du dich dir dein deine ihr euch tu te toi to
 _WORD = re.compile(r"[^\W_]+(?:[*@$!'’][^\W_]+)*")
 _MASKED = re.compile(r"[^\W_][*@$!#%&]+[^\W_]|(?<=[^\W\d_])[0-9]+(?=[^\W\d_])")
 _PLAIN = str.maketrans({"@": "a", "$": "s", "!": "i", "*": None, "0": "o", "1": "i", "3": "e", "4": "a", "5": "s"})
-FEATURES = ["lex", "lex_n", "stem", "stem_n", "fixed", "fixed_n", "near_you", "you", "capitals", "marks", "loud", "masked", "log_words"]
+FEATURES = ["lex", "lex_n", "lex_top", "stem", "stem_n", "stem_top", "fixed", "fixed_n", "near_you", "you", "capitals", "marks", "loud", "masked", "log_words"]
 
 
 def words(text: str) -> list[str]:
@@ -52,23 +53,37 @@ def words(text: str) -> list[str]:
 
 @dataclass
 class Model:
-    lexicon: dict[str, float]
-    stems: dict[str, float]
+    lexicon: dict[str, list[float]]
     trees: GBTClassificationModel | None
     knots: tuple[list[float], list[float]]
     prior: float
 
 
-def features(texts: pd.Series, lexicon: dict[str, float], stems: dict[str, float]) -> pd.DataFrame:
+def terms_of(found: list[str]) -> dict[str, int]:
+    """How often a text says each word, and each beginning (marked by a leading tab)."""
+    said = Counter(found)
+    stems: dict[str, int] = {}
+    for w, n in said.items():
+        for size in STEMS:
+            if len(w) > size:
+                key = "\t" + w[:size]
+                stems[key] = stems.get(key, 0) + n
+    return said | stems
+
+
+def features(texts: pd.Series, lexicon: dict[str, list[float]]) -> pd.DataFrame:
+    """``lexicon``: term -> weights of its first, second and third mention."""
     insults, second = frozenset(INSULTS), frozenset(SECOND)
+    starts = frozenset(t[1:] for t in lexicon if t[0] == "\t")
     rows = np.zeros((len(texts), len(FEATURES)))
     remembered: dict[str, tuple] = {}
 
     def kind(w: str) -> tuple:
+        """The lexicon's terms that a word says: itself, its unmasked form, its beginnings; insult; second person."""
         plain = w.translate(_PLAIN) if not w.isalpha() else w
-        own = max(lexicon.get(w, 0.0), lexicon.get(plain, 0.0))
-        stem = max((stems.get(w[:n], 0.0) for n in STEMS), default=0.0)
-        r = remembered[w] = (own, stem, float(w in insults or plain in insults), w in second)
+        own = tuple(t for t in {w, plain} if t in lexicon)
+        stems = tuple("\t" + w[:n] for n in STEMS if len(w) > n and w[:n] in starts)
+        r = remembered[w] = (own, stems, float(w in insults or plain in insults), w in second)
         if len(remembered) > 200_000:
             remembered.clear()
         return r
@@ -78,39 +93,50 @@ def features(texts: pd.Series, lexicon: dict[str, float], stems: dict[str, float
             continue
         found = words(text)
         n = max(1, len(found))
-        lex = lex_n = stem = stem_n = fixed = near = you = 0.0
-        last_you = last_hit = -(10**9)
+        said: dict[str, int] = {}
+        fixed = you = 0.0
+        hits, persons = set(), set()
         get = remembered.get
-        for at, w in enumerate(found):
-            own, beginning, insult, second_person = get(w) or kind(w)
-            if second_person:
-                you += 1
-                last_you = at
-                near += at - last_hit <= 5
-            if own or beginning or insult:
-                lex += own
-                lex_n += own > 0
-                stem += beginning
-                stem_n += beginning > 0
-                fixed += insult
-                last_hit = at
-                near += at - last_you <= 5
+        for w, times in Counter(found).items():
+            own, stems, insult, person = get(w) or kind(w)
+            for t in own + stems:
+                said[t] = said.get(t, 0) + times
+            fixed += insult * times
+            if person:
+                you += times
+                persons.add(w)
+            if own or stems or insult:
+                hits.add(w)
+        near = 0.0
+        if persons and hits:
+            last_you = last_hit = -(10**9)
+            for at, w in enumerate(found):
+                if w in persons:
+                    last_you = at
+                    near += at - last_hit <= 5
+                elif w in hits:
+                    last_hit = at
+                    near += at - last_you <= 5
+        weights = {False: [0.0], True: [0.0]}
+        for t, times in said.items():
+            weights[t[0] == "\t"].append(max(lexicon[t][:times]))
+        lex, stem = weights[False], weights[True]
         c = max(1, len(text))
         capitals = sum(map(str.isupper, text)) if not text.islower() else 0
         rows[i] = (
-            lex / n, lex_n, stem / n, stem_n, fixed / n, fixed, near / n, you / n, capitals / c,
+            sum(lex) / n, len(lex) - 1, max(lex), sum(stem) / n, len(stem) - 1, max(stem), fixed / n, fixed, near / n, you / n, capitals / c,
             sum(map(text.count, ".,;:!?")) / c, (text.count("!") + text.count("?")) / c, len(_MASKED.findall(text)) / n, np.log1p(len(found)),
         )
     return pd.DataFrame(rows, columns=FEATURES)
 
 
-def featurise(df: DataFrame, text: str, lexicon: dict[str, float], stems: dict[str, float], name: str = "features") -> DataFrame:
+def featurise(df: DataFrame, text: str, lexicon: dict[str, list[float]], name: str = "features") -> DataFrame:
     """Adds a struct of ``FEATURES``; the lexicon has at most ``LEXICON`` entries and travels with the task."""
-    blob = df.sparkSession.sparkContext.broadcast((lexicon, stems))
+    blob = df.sparkSession.sparkContext.broadcast(lexicon)
 
     @F.pandas_udf(", ".join(f"{f} double" for f in FEATURES))
     def run(texts: pd.Series) -> pd.DataFrame:
-        return features(texts, *blob.value)
+        return features(texts, blob.value)
 
     return df.withColumn(name, run(F.col(text)))
 
@@ -125,24 +151,22 @@ def _part(labelled: DataFrame, remainders: tuple[int, ...], per_part: int) -> Da
     return own.orderBy("h", "text", "toxic").limit(per_part)
 
 
-def learn_lexicon(part: DataFrame, n_toxic: int, n_clean: int, least: int = 3) -> tuple[dict[str, float], dict[str, float]]:
-    """Words and beginnings by the log of their likelihood ratio in toxic against clean texts, add-half smoothed."""
+def learn_lexicon(part: DataFrame, n_toxic: int, n_clean: int, least: int = 3) -> dict[str, list[float]]:
+    """Words and beginnings, with the log of the likelihood ratio of toxic against clean texts when a text says them at
+    least once, twice and three times; add-half smoothed."""
 
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf("array<struct<term: string, times: int>>")
     def terms(texts: pd.Series) -> pd.Series:
-        out = []
-        for t in texts:
-            own = set(words(t))
-            out.append([*own, *{f"\x00{w[:n]}" for w in own for n in STEMS if len(w) > n}])
-        return pd.Series(out)
-
-    toxic = F.sum(F.col("toxic").cast("bigint"))
-    counts = part.select("toxic", F.explode(terms("text")).alias("term")).groupBy("term").agg(toxic.alias("t"), F.count(F.lit(1)).alias("n"))
+        return pd.Series([[{"term": t, "times": k} for t, n in terms_of(words(x)).items() for k in range(1, min(n, 3) + 1)] for x in texts])
+
+    counts = part.select("toxic", F.inline(terms("text"))).groupBy("term", "times").agg(F.sum(F.col("toxic").cast("bigint")).alias("t"), F.count(F.lit(1)).alias("n"))
     weight = F.log(((F.col("t") + 0.5) / (n_toxic + 1.0)) / ((F.col("n") - F.col("t") + 0.5) / (n_clean + 1.0)))
     # far likelier in toxic texts, and in enough of them
-    kept = counts.where(F.col("t") >= least).select("term", "t", weight.alias("w")).where(F.col("w") >= 2.0)
-    rows = kept.orderBy(F.desc(F.col("w") * F.log1p("t")), "term").limit(LEXICON).collect()
-    return {r["term"]: r["w"] for r in rows if r["term"][0] != "\x00"}, {r["term"][1:]: r["w"] for r in rows if r["term"][0] == "\x00"}
+    kept = counts.where(F.col("t") >= least).select("term", "times", "t", weight.alias("w")).where(F.col("w") >= 1.7)
+    out: dict[str, list[float]] = {}
+    for r in kept.orderBy(F.desc(F.col("w") * F.log1p("t")), "term", "times").limit(LEXICON).collect():
+        out.setdefault(r["term"], [0.0, 0.0, 0.0])[r["times"] - 1] = r["w"]
+    return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", per_part: int = PER_PART, trees: int = 20, depth: int = 4) -> Model:
@@ -167,17 +191,17 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     prior = bad / total if total else 0.0
     count = lambda folds, t: sum(n for (f, x), n in sizes.items() if f in folds and x == t)
     if not all(count(f, t) for f in ((1, 2), (3,)) for t in (0, 1)):
-        return Model({}, {}, None, ([0.0], [prior]), prior)
+        return Model({}, None, ([0.0], [prior]), prior)
     first = _part(labelled, (1, 2), per_part)
-    lexicon, stems = learn_lexicon(first, count((1, 2), 1), count((1, 2), 0))
+    lexicon = learn_lexicon(first, count((1, 2), 1), count((1, 2), 0))
     assemble = VectorAssembler(inputCols=FEATURES, outputCol="x")
-    rows = lambda folds: assemble.transform(featurise(_part(labelled, folds, per_part), "text", lexicon, stems).select("toxic", "features.*")).select("x", F.col("toxic").cast("double").alias("label"))
+    rows = lambda folds: assemble.transform(featurise(_part(labelled, folds, per_part), "text", lexicon).select("toxic", "features.*")).select("x", F.col("toxic").cast("double").alias("label"))
     train = stored(rows((3,)).coalesce(2), "toxic-features")
     model = GBTClassifier(featuresCol="x", labelCol="label", maxIter=trees, maxDepth=depth, stepSize=0.2, subsamplingRate=1.0, seed=17, maxBins=64, minInstancesPerNode=3, cacheNodeIds=False, checkpointInterval=-1).fit(train)
     # calibration on the third part; a small one is helped by the trees' own part
     held = rows((4,)) if count((4,), 1) >= 5 and count((4,), 0) >= 5 else rows((3, 4))
     pairs = model.transform(held).select(vector_to_array("rawPrediction")[1].alias("margin"), "label").groupBy("margin").agg(F.sum("label").alias("s"), F.count(F.lit(1)).alias("n")).orderBy("margin").collect()
-    return Model(lexicon, stems, model, isotonic([r["margin"] for r in pairs], [r["s"] for r in pairs], [r["n"] for r in pairs]), prior)
+    return Model(lexicon, model, isotonic([r["margin"] for r in pairs], [r["s"] for r in pairs], [r["n"] for r in pairs]), prior)
 
 
 def isotonic(x: list[float], s: list[float], n: list[float]) -> tuple[list[float], list[float]]:
@@ -202,7 +226,7 @@ def score(df: DataFrame, text: str, model: Model) -> DataFrame:
     name, flag, tmp, x, raw, pred, margin = spare(df.columns, "score", "predicted", "features", "x", "raw", "pred", "margin")
     if model.trees is None:
         return df.withColumn(name, F.lit(float(model.prior))).withColumn(flag, F.lit(int(model.prior >= 0.5)))
-    wide = featurise(df, text, model.lexicon, model.stems, tmp)
+    wide = featurise(df, text, model.lexicon, tmp)
     inputs = spare(wide.columns, *(f"f_{f}" for f in FEATURES))
     wide = wide.select("*", *(F.col(f"{tmp}.{f}").alias(g) for f, g in zip(FEATURES, inputs))).drop(tmp)
     ready = VectorAssembler(inputCols=inputs, outputCol=x).transform(wide).drop(*inputs)
