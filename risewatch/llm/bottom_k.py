@@ -87,7 +87,7 @@ def merge_fingerprints(df: DataFrame, by: list[str], fingerprint: str, k: int =
     starts = F.sequence(F.lit(1), F.length("p") - 15, F.lit(16))
     hashes = F.when(F.length("p") >= 16, F.transform(starts, lambda i: F.substring("p", i, F.lit(16)))).otherwise(F.array().cast("array<string>"))
     rows = df.select(*by, F.col(fingerprint).alias("p")).select(*by, F.explode_outer(hashes).alias("h")).distinct()
-    w = Window.partitionBy(*by).orderBy("h")
+    w = Window.partitionBy(*by).orderBy(F.col("h").asc_nulls_last())
     top = rows.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)
     return top.groupBy(*by).agg(F.array_join(F.array_sort(F.collect_list("h")), "").alias(fingerprint))
 

@@ -13,9 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text handled at once inside a task.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 #: Words remembered by a Python worker before it forgets them all.
-MEMORY_WORDS = 400_000
+MEMORY_WORDS = 150_000
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
