@@ -23,7 +23,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from risewatch.llm.common import hash_words, mix, shingles, slices, stored
+from risewatch.llm.common import hash_words, mix, shingles, slices, spare, stored
 
 SIZE, ROWS = 96, 4
 BANDS = SIZE // ROWS
@@ -304,9 +304,11 @@ def keep_first(docs: DataFrame, doc_id: str, text: str, least: float = 0.8) -> D
     """One row of each class: that of the least id; a class without ids keeps one of its rows."""
     found = stored(classes(docs, doc_id, text, least), "classes")
     body = F.coalesce(F.col(text), F.lit(""))
-    at = F.coalesce(F.col(doc_id).cast("bigint"), F.xxhash64(body))
-    losers = found.where(~F.col("first")).select(F.coalesce("id", "h1").alias("at"), F.col("h1").alias("x"), F.col("h2").alias("y")).distinct()
+    at, x, y = spare(docs.columns, "at", "x", "y")
+    losers = found.where(~F.col("first")).select(F.coalesce("id", "h1").alias(at), F.col("h1").alias(x), F.col("h2").alias(y)).distinct()
     few = losers.count() <= FEW
-    out = docs.join(F.broadcast(losers) if few else losers, (at == F.col("at")) & (F.xxhash64(body) == F.col("x")) & (F.xxhash64(F.lit(7), body) == F.col("y")), "left_anti")
+    own = F.coalesce(F.col(doc_id).cast("bigint"), F.xxhash64(body))
+    same = (own == F.col(at)) & (F.xxhash64(body) == F.col(x)) & (F.xxhash64(F.lit(7), body) == F.col(y))
+    out = docs.join(F.broadcast(losers) if few else losers, same, "left_anti")
     again = found.where("first").groupBy("id", "h1", "h2").count().where("count > 1")
     return out if again.isEmpty() else out.dropDuplicates([doc_id, text])
