@@ -8,8 +8,9 @@ register of its text. Two registers agree with the probability Jaccard similarit
 Equal texts are one text from the start. Bands of ``ROWS`` registers are buckets. In a bucket, signatures estimate the
 similarities; a spanning forest of the likeliest pairs is verified first: the exact Jaccard similarity of the shingle
 sets must reach ``least``. Then, in the buckets whose members are not yet one class, every pair across classes with an
-estimate of ``least - SLACK`` or more is verified. Links make classes. A group of near copies so costs a forest, not
-all its pairs; large buckets are cut into blocks of ``BLOCK`` members, and every two blocks meet.
+estimate of ``least - SLACK`` or more is verified in place, and only links leave the task. Links make classes. A group of
+near copies so sends on a forest, not its pairs; large buckets are cut into blocks of ``BLOCK`` members, and every two
+blocks meet.
 
 Null and empty texts: without shingles, alike only when equal (null counts as empty). Rows that repeat id and text are
 in one class. A class is named by its least id; rows of null id take the name of their class, or null if it has none.
@@ -28,7 +29,7 @@ from risewatch.llm.common import hash_words, mix, shingles, slices, spare, store
 SIZE, ROWS = 96, 4
 BANDS = SIZE // ROWS
 SLACK = 0.14
-BLOCK = 2048
+BLOCK = 512
 WIDTH = 5
 #: Rows of ids that are broadcast at most; more are joined by a shuffle.
 FEW = 500_000
@@ -138,34 +139,36 @@ def _estimates(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return out
 
 
-def _forest(n: int, a: np.ndarray, b: np.ndarray, cut: np.ndarray) -> np.ndarray:
-    """Pairs, in the order given, that join two trees; ``cut`` marks those to look at."""
-    root = list(range(n))
+class _Trees:
+    def __init__(self, n: int):
+        self.root = list(range(n))
 
-    def find(x):
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
+    def find(self, x: int) -> int:
+        while self.root[x] != x:
+            self.root[x] = self.root[self.root[x]]
+            x = self.root[x]
         return x
 
-    kept = []
+
+def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Pairs, in the order given, that join two trees."""
+    trees, kept = _Trees(n), []
     for i, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
-        x, y = find(x), find(y)
+        x, y = trees.find(x), trees.find(y)
         if x != y:
-            root[x] = y
+            trees.root[x] = y
             kept.append(i)
             if len(kept) == n - 1:
                 break
     return np.array(kept, np.int64)
 
 
-def _bucket_pairs(uid: np.ndarray, signature: np.ndarray, side: np.ndarray, group: np.ndarray | None, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a bucket: a forest of the likeliest, or all likely ones across classes (``group``)."""
-    out_a, out_b = [], []
+def _likely(signature: np.ndarray, side: np.ndarray, group: np.ndarray | None, least: int) -> np.ndarray:
+    """(row, row, agreeing registers) of a bucket's pairs that may be links, likeliest first; with ``group`` only across groups."""
     same_block = side.min() == side.max()
-    left, right = (np.arange(len(uid)),) * 2 if same_block else (np.flatnonzero(side == side.min()), np.flatnonzero(side != side.min()))
+    left, right = (np.arange(len(side)),) * 2 if same_block else (np.flatnonzero(side == side.min()), np.flatnonzero(side != side.min()))
     step = max(1, (1 << 20) // max(1, len(right)))
-    found = []
+    found = [np.zeros((3, 0), np.int64)]
     for i in range(0, len(left), step):
         rows = left[i : i + step]
         close = _estimates(signature[rows], signature[right])
@@ -175,48 +178,84 @@ def _bucket_pairs(uid: np.ndarray, signature: np.ndarray, side: np.ndarray, grou
         if group is not None:
             likely &= group[rows][:, None] != group[right][None, :]
         x, y = np.nonzero(likely)
-        if group is not None:
-            out_a.append(uid[rows[x]]), out_b.append(uid[right[y]])
-        else:
-            found.append(np.stack([rows[x], right[y], close[x, y]]))
-    if group is None and found:
-        a, b, close = np.concatenate(found, axis=1)
-        order = np.argsort(-close, kind="stable")
-        kept = order[_forest(len(uid), a[order], b[order], close)]
-        out_a, out_b = [uid[a[kept]]], [uid[b[kept]]]
-    a, b = np.concatenate([np.zeros(0, np.int64), *out_a]), np.concatenate([np.zeros(0, np.int64), *out_b])
-    return np.minimum(a, b), np.maximum(a, b)
-
-
-def candidate_pairs(members: DataFrame, least: float, across: bool) -> DataFrame:
-    """Distinct (a, b) of the buckets' members (bucket, uid, signature, size[, class])."""
+        found.append(np.stack([rows[x], right[y], close[x, y]]))
+    pairs = np.concatenate(found, axis=1)
+    return pairs[:, np.argsort(-pairs[2], kind="stable")]
+
+
+def _alike(x: np.ndarray, y: np.ndarray, least: float) -> bool:
+    """Whether two sets (sorted, distinct) have a Jaccard similarity of ``least``."""
+    if min(len(x), len(y)) < least * max(len(x), len(y)):
+        return False
+    both = np.concatenate([x, y])
+    both.sort()
+    common = int((both[1:] == both[:-1]).sum())
+    return common >= least * (len(both) - common) - 1e-9
+
+
+def _dealt(members: DataFrame, columns: list[str]) -> DataFrame:
+    """Members of buckets (bucket, uid, size, ...) in blocks: a hot bucket is many groups of bounded size."""
     blocks = F.greatest(F.lit(1), F.ceil(F.col("size") / BLOCK)).cast("int")
     own = F.pmod(F.col("uid"), F.col("blocks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
-    dealt = members.withColumn("blocks", blocks).withColumn("meet", F.explode(pairs)).withColumn("side", own)
-    dealt = dealt.withColumn("bucket", F.when(F.col("blocks") == 1, F.col("bucket")).otherwise(F.xxhash64("bucket", "meet.i", "meet.j")))
-    columns = ["bucket", "uid", "signature", "side", *(["class"] if across else [])]
+    rows = members.withColumn("blocks", blocks).withColumn("meet", F.explode(pairs)).withColumn("side", own)
+    rows = rows.withColumn("bucket", F.when(F.col("blocks") == 1, F.col("bucket")).otherwise(F.xxhash64("bucket", "meet.i", "meet.j")))
+    return rows.select("bucket", "uid", "side", *columns).repartition("bucket").sortWithinPartitions("bucket")
+
+
+def _pairs_out(a: list, b: list) -> pa.RecordBatch:
+    x, y = np.concatenate([np.zeros(0, np.int64), *a]), np.concatenate([np.zeros(0, np.int64), *b])
+    both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
+    return pa.RecordBatch.from_pydict({"a": pa.array(both[0], pa.int64()), "b": pa.array(both[1], pa.int64())})
+
+
+def forests(members: DataFrame, least: float) -> DataFrame:
+    """Distinct (a, b): in each bucket a spanning forest of the likeliest pairs."""
     floor = int(np.floor((least - SLACK) * SIZE))
 
     def run(batches):
         for table, bounds in groups(batches):
             uid, side = table.column("uid").to_numpy(), table.column("side").to_numpy()
             signature = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(-1, SIZE)
-            group = table.column("class").to_numpy() if across else None
             a, b = [], []
             for lo, hi in zip(bounds, bounds[1:]):
                 if hi - lo == 2:  # the usual bucket
-                    if (group is None or group[lo] != group[lo + 1]) and (signature[lo] == signature[lo + 1]).sum() >= floor:
+                    if (signature[lo] == signature[lo + 1]).sum() >= floor:
                         a.append(uid[lo : lo + 1]), b.append(uid[lo + 1 : hi])
                 elif hi - lo > 2:
-                    x, y = _bucket_pairs(uid[lo:hi], signature[lo:hi], side[lo:hi], None if group is None else group[lo:hi], floor)
-                    a.append(x), b.append(y)
-            x, y = np.concatenate([np.zeros(0, np.int64), *a]), np.concatenate([np.zeros(0, np.int64), *b])
-            both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
-            yield pa.RecordBatch.from_pydict({"a": pa.array(both[0], pa.int64()), "b": pa.array(both[1], pa.int64())})
+                    x, y, _ = _likely(signature[lo:hi], side[lo:hi], None, floor)
+                    kept = _forest(hi - lo, x, y)
+                    a.append(uid[lo + x[kept]]), b.append(uid[lo + y[kept]])
+            yield _pairs_out(a, b)
+
+    return _dealt(members, ["signature"]).mapInArrow(run, "a bigint, b bigint").distinct()
 
-    # one row for each member and block: a hot bucket is many groups of bounded size
-    return dealt.select(*columns).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "a bigint, b bigint").distinct()
+
+def links_across(members: DataFrame, least: float) -> DataFrame:
+    """Distinct (a, b) that join classes: in each bucket every likely pair across classes is verified in place, in the
+    order of its estimate, unless links found before have joined the two classes."""
+    floor = int(np.floor((least - SLACK) * SIZE))
+
+    def run(batches):
+        for table, bounds in groups(batches):
+            uid, side, group = (table.column(c).to_numpy() for c in ("uid", "side", "class"))
+            signature = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(-1, SIZE)
+            sets_ = [np.frombuffer(x, np.uint32) for x in table.column("grams").to_pylist()]
+            a, b = [], []
+            for lo, hi in zip(bounds, bounds[1:]):
+                if hi - lo < 2 or (group[lo:hi] == group[lo]).all():
+                    continue
+                number = np.unique(group[lo:hi], return_inverse=True)[1]
+                trees = _Trees(int(number.max()) + 1)
+                x, y, _ = _likely(signature[lo:hi], side[lo:hi], number, floor)
+                for i, j in zip(x.tolist(), y.tolist()):
+                    p, q = trees.find(int(number[i])), trees.find(int(number[j]))
+                    if p != q and _alike(sets_[lo + i], sets_[lo + j], least):
+                        trees.root[p] = q
+                        a.append(uid[lo + i : lo + i + 1]), b.append(uid[lo + j : lo + j + 1])
+            yield _pairs_out(a, b)
+
+    return _dealt(members, ["signature", "class", "grams"]).mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -226,17 +265,8 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            a, b = batch.column("left"), batch.column("right")
-            keep = []
-            for x, y in zip(a, b):
-                x, y = np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32)
-                if min(len(x), len(y)) < least * max(len(x), len(y)):
-                    keep.append(False)
-                    continue
-                both = np.concatenate([x, y])
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(common >= least * (len(both) - common) - 1e-9)
+            sets_ = zip(batch.column("left").to_pylist(), batch.column("right").to_pylist())
+            keep = [_alike(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32), least) for x, y in sets_]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(run, "a bigint, b bigint")
@@ -267,7 +297,7 @@ def classes(docs: DataFrame, doc_id: str, text: str, least: float = 0.8) -> Data
     sizes = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     shared = stored(entries.join(sizes, "bucket"), "buckets")
     members = shared.join(texts.select("uid", "signature"), "uid")
-    pairs = stored(candidate_pairs(members, least, False), "pairs")
+    pairs = stored(forests(members, least), "pairs")
 
     # shingle sets of the texts that are in a bucket at all
     wanted = shared.select("uid").distinct().join(texts.select("uid", "h1", "h2", "id"), "uid").select("uid", "h1", "h2", F.coalesce("id", "h1").alias("at"))
@@ -287,9 +317,8 @@ def classes(docs: DataFrame, doc_id: str, text: str, least: float = 0.8) -> Data
     # buckets that still hold several classes: every likely pair across them
     known = shared.join(first, "uid", "left").withColumn("class", F.coalesce("class", "uid"))
     open_ = known.groupBy("bucket").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x != y").select("bucket")
-    rest = known.join(open_, "bucket").join(texts.select("uid", "signature"), "uid")
-    more = candidate_pairs(rest, least, True).join(pairs, ["a", "b"], "left_anti")
-    extra = stored(verified(more, shingled, least), "links")
+    rest = known.join(open_, "bucket").join(texts.select("uid", "signature"), "uid").join(shingled, "uid")
+    extra = stored(links_across(rest, least), "links")
     final = first if extra.isEmpty() else components(links.unionByName(extra))
 
     named = texts.select("uid", "h1", "h2", "id").join(final, "uid", "left").withColumn("class", F.coalesce("class", "uid"))
