@@ -166,10 +166,12 @@ def records(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def day_windows(spark: SparkSession) -> DataFrame:
-    """Window catalogue of the activity checks: 2024-01-01 to 2024-02-05."""
-    days = F.sequence(F.to_date(F.lit("2024-01-01")), F.to_date(F.lit("2024-02-05")), F.expr("interval 1 day"))
-    return spark.range(1).select(F.explode(days).alias("d")).select(F.date_format("d", "yyyy-MM-dd").alias("window_start"))
+def day_windows(spark: SparkSession, folder: str) -> DataFrame:
+    """Window catalogue of the activity checks: every day from the first event to five days after the last."""
+    day = F.to_date("ts")
+    span = table(spark, folder, "events").agg(F.min(day).alias("a"), F.date_add(F.max(day), 5).alias("b"))
+    days = F.sequence("a", "b", F.expr("interval 1 day"))
+    return span.where("a is not null").select(F.explode(days).alias("d")).select(F.date_format("d", "yyyy-MM-dd").alias("window_start"))
 
 
 def signals(spark: SparkSession, folder: str) -> DataFrame:

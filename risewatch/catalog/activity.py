@@ -203,7 +203,7 @@ def _(spark, d):
 
 # Gap fill: every third day of each topic is removed first, and the catalogue runs past the data.
 GAPS = PIVOT + """, gap AS (SELECT * FROM piv WHERE day(window_start::DATE) % 3 <> 0),
-cal AS (SELECT strftime(d, '%Y-%m-%d') AS window_start FROM generate_series(DATE '2024-01-01', DATE '2024-02-05', INTERVAL 1 DAY) g(d)),
+cal AS (SELECT strftime(d, '%Y-%m-%d') AS window_start FROM generate_series((SELECT min(ts)::DATE FROM events), (SELECT max(ts)::DATE + 5 FROM events), INTERVAL 1 DAY) g(d)),
 grid AS (SELECT t.topic_id, t.topic_label, c.window_start FROM (SELECT DISTINCT topic_id, topic_label FROM gap) t CROSS JOIN cal c)"""
 FILLED = GAPS + ", filled AS (SELECT g.topic_id, g.topic_label, g.window_start, last_value(p.window_end IGNORE NULLS) OVER w AS window_end, " + ", ".join(
     f"coalesce(last_value(p.{s}_count IGNORE NULLS) OVER w, 0) AS {s}_count" for s in SRC
@@ -217,7 +217,7 @@ def gaps(spark, d):
 
 @query("win_12_fill_forward", f"WITH {FILLED} SELECT * FROM filled")
 def _(spark, d):
-    return A.fill_windows(durable(gaps(spark, d)), B.day_windows(spark), "forward_fill")
+    return A.fill_windows(durable(gaps(spark, d)), B.day_windows(spark, d), "forward_fill")
 
 
 @query(
@@ -226,7 +226,7 @@ def _(spark, d):
     + " FROM grid g LEFT JOIN gap p ON p.topic_id = g.topic_id AND p.window_start = g.window_start",
 )
 def _(spark, d):
-    out = A.fill_windows(durable(gaps(spark, d)), B.day_windows(spark), "zero_fill")
+    out = A.fill_windows(durable(gaps(spark, d)), B.day_windows(spark, d), "zero_fill")
     return out.select("topic_id", "window_start", *[f"{s}_count" for s in SRC])
 
 
@@ -405,7 +405,7 @@ CHAIN = TAGS.replace("< 9 THEN", "< 0 THEN") + """,
 dead AS (SELECT topic_id, window_start FROM tags t JOIN (SELECT source FROM tags GROUP BY 1 HAVING sum(value) > 0) a ON a.source = t.source
   GROUP BY 1, 2 HAVING bool_and(zero_tag = 'likely_api_failure')),
 kept AS (SELECT * FROM thin ANTI JOIN dead USING (topic_id, window_start)),
-cal AS (SELECT strftime(d, '%Y-%m-%d') AS window_start FROM generate_series(DATE '2024-01-01', DATE '2024-02-05', INTERVAL 1 DAY) g(d)),
+cal AS (SELECT strftime(d, '%Y-%m-%d') AS window_start FROM generate_series((SELECT min(ts)::DATE FROM events), (SELECT max(ts)::DATE + 5 FROM events), INTERVAL 1 DAY) g(d)),
 grid AS (SELECT t.topic_id, c.window_start FROM (SELECT DISTINCT topic_id FROM kept) t CROSS JOIN cal c),
 """ + "filled AS (SELECT g.topic_id, g.window_start, " + ", ".join(
     f"coalesce(last_value(p.{s}_count IGNORE NULLS) OVER w, 0) AS {s}_count" for s in SRC
@@ -424,5 +424,5 @@ lng AS (""" + _long("filled") + ")" + QSTATS + """, std AS (SELECT l.*, CASE WHE
     ) + " FROM std GROUP BY 1, 2",
 )
 def _(spark, d):
-    out = activity_chain(B.records(spark, d), B.day_windows(spark))
+    out = activity_chain(B.records(spark, d), B.day_windows(spark, d))
     return out.select("topic_id", "window_start", *[f"{s}_count{x}" for s in SRC for x in ("", "_std", "_smoothed")])

@@ -21,10 +21,7 @@ PAIRS = DOCS + """, pairs AS (SELECT x.concept AS a, y.concept AS b, count(*) AS
   GROUP BY 1, 2 HAVING count(*) >= 2)"""
 
 
-def _kept(n: int) -> str:
-    return PAIRS + f""", deg AS (SELECT e, count(*) AS d FROM (SELECT a AS e FROM pairs UNION ALL SELECT b FROM pairs) GROUP BY 1 ORDER BY d DESC, e LIMIT {n}),
-kept AS (SELECT a, b FROM pairs WHERE a IN (SELECT e FROM deg) AND b IN (SELECT e FROM deg)),
-once AS (SELECT x.concept AS a, y.concept AS b, x.time FROM docs x JOIN docs y ON x.doc = y.doc JOIN kept k ON k.a = x.concept AND k.b = y.concept),
+FACTS = PAIRS + """, once AS (SELECT x.concept AS a, y.concept AS b, x.time FROM docs x JOIN docs y ON x.doc = y.doc JOIN pairs k ON k.a = x.concept AND k.b = y.concept),
 facts AS (SELECT a AS head, 'relates_to' AS relation, b AS tail, time FROM once UNION ALL SELECT b, 'relates_to', a, time FROM once)"""
 
 
@@ -32,8 +29,8 @@ def docs(spark, d):
     return durable(G.doc_concepts(B.concept_triples(spark, d)))
 
 
-def facts(spark, d, hub_size=G.HUB_SIZE, max_entities=40):
-    return G.project_cooccurrence(B.concept_triples(spark, d), max_entities=max_entities, hub_size=hub_size)
+def facts(spark, d, hub_size=G.HUB_SIZE):
+    return G.project_cooccurrence(B.concept_triples(spark, d), hub_size=hub_size)
 
 
 @query("join_06_pair_support", f"WITH {PAIRS} SELECT a, b, n FROM pairs")
@@ -46,12 +43,12 @@ def _(spark, d):
     return G.pair_support(docs(spark, d), hub_size=5)
 
 
-@query("grf_01_cooccurrence_facts", f"WITH {_kept(40)} SELECT head, relation, tail, time, count(*) AS n FROM facts GROUP BY ALL")
+@query("grf_01_cooccurrence_facts", f"WITH {FACTS} SELECT head, relation, tail, time, count(*) AS n FROM facts GROUP BY ALL")
 def _(spark, d):
     return facts(spark, d).groupBy("head", "relation", "tail", "time").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("grf_01_cooccurrence_facts_hubs", f"WITH {_kept(40)} SELECT head, relation, tail, time, count(*) AS n FROM facts GROUP BY ALL")
+@query("grf_01_cooccurrence_facts_hubs", f"WITH {FACTS} SELECT head, relation, tail, time, count(*) AS n FROM facts GROUP BY ALL")
 def _(spark, d):
     return facts(spark, d, hub_size=4).groupBy("head", "relation", "tail", "time").agg(F.count(F.lit(1)).alias("n"))
 
@@ -94,10 +91,10 @@ def _(spark, d):
 
 @query(
     "grf_05_entity_ids",
-    f"""WITH {_kept(5000)} SELECT entity, row_number() OVER (ORDER BY entity) - 1 AS entity_id FROM (SELECT DISTINCT head AS entity FROM facts)""",
+    f"""WITH {FACTS} SELECT entity, row_number() OVER (ORDER BY entity) - 1 AS entity_id FROM (SELECT DISTINCT head AS entity FROM facts)""",
 )
 def _(spark, d):
-    return G.encode_entities(facts(spark, d, max_entities=5000))
+    return G.encode_entities(facts(spark, d))
 
 
 @query(
@@ -299,7 +296,7 @@ def _(spark, d):
 
 
 # Momentum against link history on the co-occurrence graph.
-LINK_VIEW = _kept(5000).replace("mentions AS", "RECURSIVE mentions AS", 1)
+LINK_VIEW = FACTS.replace("mentions AS", "RECURSIVE mentions AS", 1)
 MOMENTUM_VIEW = MOMENTUM[MOMENTUM.index("counts AS"):]
 COLLAB = LINK_VIEW + ", " + MOMENTUM_VIEW + """,
 fdays AS (SELECT time, count(*) AS c FROM facts GROUP BY 1),
@@ -320,15 +317,15 @@ FROM sr a FULL JOIN lr b ON b.entity = a.entity"""
 
 @query("rnk_10_momentum_against_links", f"WITH {COLLAB}")
 def _(spark, d):
-    out = collaborate(counts(spark, d), durable(facts(spark, d, max_entities=5000)))
+    out = collaborate(counts(spark, d), durable(facts(spark, d)))
     return out.select("entity", "verdict", r6("signal_score"), r6("link_score"))
 
 
 @query("bt_07_fusion_baseline")
 def _(spark, d):
     c = counts(spark, d)
-    tkg = link_scores(durable(facts(spark, d, max_entities=5000)))
-    signal = forecast_signal(FC.forecast(c, max_iter=5))
+    tkg = link_scores(durable(facts(spark, d)))
+    signal = forecast_signal(FC.forecast(c))
     return baselines(c, rankings=("fusion",), tkg=durable(tkg), forecast=durable(signal)).select(
         "ranking", r6("precision_at_k"), r6("recall_at_k")
     )

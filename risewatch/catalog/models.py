@@ -44,24 +44,24 @@ def _(spark, d):
 
 @query(
     "bt_03_fold_samples",
-    f"""WITH {LAGGED}, tot AS (SELECT entity FROM dense WHERE ord <= 70 GROUP BY 1 ORDER BY sum(x) DESC, entity LIMIT 20)
-    SELECT l.entity, t::INT AS t, round(y, 6) AS label, CASE WHEN t = 70 THEN 'test' ELSE 'train' END AS role FROM lagged l JOIN tot ON tot.entity = l.entity
+    f"""WITH {LAGGED}
+    SELECT l.entity, t::INT AS t, round(y, 6) AS label, CASE WHEN t = 70 THEN 'test' ELSE 'train' END AS role FROM lagged l
     WHERE (t >= 6 AND t + 6 < 70 - 6) OR t = 70""",
 )
 def _(spark, d):
-    train, test = FC.regression_fold(counts(spark, d), 70, k=20)
+    train, test = FC.regression_fold(counts(spark, d), 70)
     pick = lambda df, r: df.select("entity", "t", r6("label"), F.lit(r).alias("role"))
     return pick(train, "train").unionByName(pick(test, "test"))
 
 
 @query("bt_03_regression_backtest")
 def _(spark, d):
-    return backtest.backtest_regression(counts(spark, d), n_splits=2, max_iter=5)
+    return backtest.backtest_regression(counts(spark, d))
 
 
 @query("bt_04_forecast")
 def _(spark, d):
-    return FC.forecast(counts(spark, d), max_iter=5)
+    return FC.forecast(counts(spark, d))
 
 
 @query("bt_06_citation_stage_report")

@@ -25,12 +25,11 @@ con AS (SELECT k, time, 'P' || substr(pr, 1, 1) AS cid, pr AS name, tp / 1e6 AS
   UNION ALL SELECT k, time, 'R' || rk, 'region ' || rk, 0.5, 4 FROM w
   UNION ALL SELECT k, time, 'Y' || y, y, 0.05, 5 FROM w)"""
 WORK_TRIPLES = WORKS + """, wt AS (SELECT 'W' || k AS head, 'belongs_to' AS relation, cid AS tail, 'Concept' AS tail_type, time FROM con
-    QUALIFY row_number() OVER (PARTITION BY k ORDER BY coalesce(score, 0) DESC, pos) <= 5
   UNION ALL SELECT 'W' || k, 'authored_by', 'A' || ck, 'Author', time FROM w
   UNION ALL SELECT 'W' || k, 'authored_by', 'A' || (ck + 1), 'Author', time FROM w
   UNION ALL SELECT 'W' || k, 'affiliated_with', 'I' || nk, 'Institution', time FROM w
   UNION ALL SELECT 'W' || k, 'affiliated_with', 'J' || rk, 'Institution', time FROM w
-  UNION ALL SELECT 'W' || k, 'cites', 'W' || (k - i), 'Paper', time FROM w JOIN range(1, 3) r(i) ON k >= i)"""
+  UNION ALL SELECT 'W' || k, 'cites', 'W' || (k - i), 'Paper', time FROM w JOIN range(1, 4) r(i) ON k >= i)"""
 
 
 @query(
@@ -38,7 +37,7 @@ WORK_TRIPLES = WORKS + """, wt AS (SELECT 'W' || k AS head, 'belongs_to' AS rela
     f"WITH {WORK_TRIPLES} SELECT head, 'Paper' AS head_type, relation, tail, tail_type, time, 'openalex' AS source FROM wt",
 )
 def _(spark, d):
-    return X.extract_work_triples(B.works(spark, d), 5, 2)
+    return X.extract_work_triples(B.works(spark, d))
 
 
 NODES = WORKS + """, nd AS (SELECT 'W' || k AS id, 'Paper' AS type, 'title ' || k AS name, time AS pub_date, CASE WHEN k % 5 = 0 THEN '10.1/ABC.' || k || '.' END AS doi FROM w
@@ -65,25 +64,24 @@ def _(spark, d):
 
 @query("agg_06_relation_counts", f"WITH {WORK_TRIPLES} SELECT relation, count(*) AS n FROM wt GROUP BY 1")
 def _(spark, d):
-    return X.relation_counts(X.extract_work_triples(B.works(spark, d), 5, 2))
+    return X.relation_counts(X.extract_work_triples(B.works(spark, d)))
 
 
 @query(
     "prj_09_pair_candidates",
     f"""WITH {WORKS}, top AS (SELECT k, time, name, cid, row_number() OVER (PARTITION BY k ORDER BY coalesce(score, 0) DESC, pos) - 1 AS rk
-      FROM con WHERE cid NOT IN ('SO', 'R0') QUALIFY rk < 4)
+      FROM con WHERE cid NOT IN ('SO', 'R0'))
     SELECT 'W' || k AS doc_id, time, name, cid AS concept_id, rk::INT AS pos FROM top""",
 )
 def _(spark, d):
-    return X.pair_candidates(B.works(spark, d), ["SO", "R0"], 4)
+    return X.pair_candidates(B.works(spark, d), ["SO", "R0"])
 
 
 @query(
     "prj_09_pairs_to_triples",
-    f"""WITH {WORKS}, top AS (SELECT k, time, name, cid, row_number() OVER (PARTITION BY k ORDER BY coalesce(score, 0) DESC, pos) - 1 AS rk
-      FROM con QUALIFY rk < 12)
-    SELECT a.cid AS head, 'Concept' AS head_type, 'uses' AS relation, b.cid AS tail, 'Concept' AS tail_type, a.time, 'openalex' AS source
-    FROM top a JOIN top b ON a.k = b.k WHERE a.rk = 0 AND b.rk = 1""",
+    f"""WITH {WORKS}, top AS (SELECT k, time, cid, row_number() OVER (PARTITION BY k ORDER BY coalesce(score, 0) DESC, pos) - 1 AS rk FROM con),
+    ends AS (SELECT k, max(CASE WHEN rk = 0 THEN cid END) AS head, max(CASE WHEN rk = 1 THEN cid END) AS tail, max(time) AS time FROM top GROUP BY k)
+    SELECT head, 'Concept' AS head_type, 'uses' AS relation, tail, 'Concept' AS tail_type, time, 'openalex' AS source FROM ends""",
 )
 def _(spark, d):
     c = X.pair_candidates(B.works(spark, d))
@@ -163,7 +161,7 @@ def _(spark, d):
 @query(
     "prj_11_fragments_to_triples",
     f"""WITH {FRAG} SELECT 'doc' || doc_id AS head, 'Repo' AS head_type, 'targets' AS relation,
-      'dataset:' || substr(sha1('github|Dataset|' || trim(regexp_replace(regexp_replace(regexp_replace(lower(w2), '[\\s_-]+', ' ', 'g'), '[^\\p{{L}}\\p{{N}}_ ]', '', 'g'), ' +', ' ', 'g'))), 1, 12) AS tail,
+      'dataset:' || sha1('github|Dataset|' || trim(regexp_replace(regexp_replace(regexp_replace(lower(w2), '[\\s_-]+', ' ', 'g'), '[^\\p{{L}}\\p{{N}}_ ]', '', 'g'), ' +', ' ', 'g'))) AS tail,
       'Dataset' AS tail_type, '2024-01-01' AS time, 'github' AS source FROM ans WHERE w2 <> ''""",
 )
 def _(spark, d):
@@ -323,7 +321,7 @@ def _(spark, d):
 
 @query(
     "aln_05_fallback_ids",
-    f"WITH {VARIANTS} SELECT id, lower(type) || ':' || substr(sha1('uspto|' || type || '|' || lower(replace(name, '-', ' '))), 1, 12) AS entity_id FROM vars",
+    f"WITH {VARIANTS} SELECT id, lower(type) || ':' || sha1('uspto|' || type || '|' || lower(replace(name, '-', ' '))) AS entity_id FROM vars",
 )
 def _(spark, d):
     nodes = B.name_nodes(spark, d).where("entity_id is null")
@@ -363,7 +361,7 @@ def _(spark, d):
     "aln_06_audit",
     f"""WITH {VARIANTS}, r AS (SELECT *, type IN ('Technology', 'Method') OR (type = 'Model' AND 2.0 * length(base) / (2 * length(base) + 1) >= 0.9) AS hit FROM vars)
     SELECT name, CASE WHEN hit THEN 'Concept' ELSE type END AS type, CASE WHEN hit THEN 'C:' || base END AS anchor_id,
-      CASE WHEN hit THEN 'C:' || base ELSE lower(type) || ':' || substr(sha1('uspto|' || type || '|' || name), 1, 12) END AS entity_id, 'uspto' AS source FROM r""",
+      CASE WHEN hit THEN 'C:' || base ELSE lower(type) || ':' || sha1('uspto|' || type || '|' || name) END AS entity_id, 'uspto' AS source FROM r""",
 )
 def _(spark, d):
     return R.alignment_audit(R.align_nodes(B.name_nodes(spark, d)))
@@ -372,7 +370,7 @@ def _(spark, d):
 @query(
     "join_03_rewrite_triples",
     f"""WITH {VARIANTS} SELECT 'doc' || l_orderkey AS head, v.id AS tail, CASE WHEN v.type = 'Technology' THEN 'Concept' ELSE 'Dataset' END AS tail_type,
-      'doc' || l_orderkey AS head_id, CASE WHEN v.type = 'Technology' THEN 'C:' || v.base ELSE 'dataset:' || substr(sha1('uspto|Dataset|' || v.name), 1, 12) END AS tail_id
+      'doc' || l_orderkey AS head_id, CASE WHEN v.type = 'Technology' THEN 'C:' || v.base ELSE 'dataset:' || sha1('uspto|Dataset|' || v.name) END AS tail_id
     FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey AND o.o_orderstatus <> 'P'
     JOIN vars v ON v.id = CASE WHEN l_linenumber % 2 = 0 THEN 'u:' ELSE 'z:' END || l_partkey""",
 )
@@ -503,8 +501,7 @@ def _(spark, d):
 @query(
     "src_09_filter_patents",
     """SELECT 'p' || l_orderkey || '-' || l_linenumber || '-' || l_partkey AS id, strftime(l_shipdate, '%Y-%m-%d') AS publication_date
-    FROM lineitem JOIN part ON p_partkey = l_partkey WHERE (p_brand LIKE 'Brand#1%' OR p_type LIKE 'ECO%') AND l_shipdate >= TIMESTAMP '1998-01-01'
-    ORDER BY 2, 1 LIMIT 500""",
+    FROM lineitem JOIN part ON p_partkey = l_partkey WHERE (p_brand LIKE 'Brand#1%' OR p_type LIKE 'ECO%') AND l_shipdate >= TIMESTAMP '1998-01-01'""",
 )
 def _(spark, d):
     j = B.table(spark, d, "lineitem").join(B.table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
@@ -513,7 +510,7 @@ def _(spark, d):
         F.array("p_brand", "p_type").alias("cpc"),
         B.iso("l_shipdate").alias("publication_date"),
     )
-    return P.filter_patents(rows, ["Brand#1", "ECO"], "1998-01-01", 500).select("id", "publication_date")
+    return P.filter_patents(rows, ["Brand#1", "ECO"], "1998-01-01").select("id", "publication_date")
 
 
 @query(

@@ -379,8 +379,8 @@ def _(spark, d):
     return citations.sample_patents(totals, "top_total", max_patents=100)
 
 
-CITE_DENSE = SAMPLE + """, counts AS (SELECT c.head AS entity, substr(c.time, 1, 7) AS bin, count(*) AS cnt
-  FROM cites c JOIN sampled s ON s.entity = c.head GROUP BY 1, 2),
+CITE_DENSE = CITATIONS + """, totals AS (SELECT head AS entity FROM cites GROUP BY 1 HAVING count(*) >= 2), counts AS (SELECT c.head AS entity, substr(c.time, 1, 7) AS bin, count(*) AS cnt
+  FROM cites c JOIN totals s ON s.entity = c.head GROUP BY 1, 2),
 bins AS (SELECT bin, row_number() OVER (ORDER BY bin) AS ord, count(*) OVER () AS n FROM (SELECT DISTINCT bin FROM counts)),
 dense AS (SELECT e.entity, b.bin, b.ord, b.n, coalesce(c.cnt, 0)::DOUBLE AS x
   FROM (SELECT DISTINCT entity FROM counts) e CROSS JOIN bins b LEFT JOIN counts c ON c.entity = e.entity AND c.bin = b.bin)"""
@@ -391,12 +391,12 @@ dense AS (SELECT e.entity, b.bin, b.ord, b.n, coalesce(c.cnt, 0)::DOUBLE AS x
     f"WITH {CITE_DENSE} SELECT entity, bin, (sum(x) OVER (PARTITION BY entity ORDER BY ord))::BIGINT AS cum FROM dense",
 )
 def _(spark, d):
-    return citations.cumulative_citations(facts(spark, d), per_bin=50).select("entity", "bin", "cum")
+    return citations.cumulative_citations(facts(spark, d)).select("entity", "bin", "cum")
 
 
 @query("win_23_citation_stages", f"WITH {CITE_DENSE}{STAGES} SELECT entity, total::BIGINT AS total, stage FROM stages")
 def _(spark, d):
-    return lifecycle.concept_stages(durable(citations.kept_counts(facts(spark, d), per_bin=50)))
+    return lifecycle.concept_stages(durable(citations.kept_counts(facts(spark, d))))
 
 
 @query(

@@ -51,9 +51,9 @@ def plain_summary(c: Column) -> Column:
 
 
 def fallback_id(source: Column, node_type: Column, name: Column) -> Column:
-    """Deterministic id of a name-only node: ``type:`` plus 12 hex digits."""
+    """Deterministic id of a name-only node: ``type:`` plus the SHA-1 of source, type and name."""
     key = F.concat_ws("|", source, node_type, normalize_name(name))
-    return F.concat(F.lower(node_type), F.lit(":"), F.substring(F.sha1(key), 1, 12))
+    return F.concat(F.lower(node_type), F.lit(":"), F.sha1(key))
 
 
 # The labels in front of the title and the body.

@@ -72,15 +72,17 @@ def sample_patents(
     return inside.select("entity", "total", "stratum").unionByName(edge.select("entity", "total", "stratum"))
 
 
-def kept_counts(facts: DataFrame, mode: str = "month", min_citations: int = 2, **sampling) -> DataFrame:
-    """Sparse citation counts of the sampled patents."""
+def kept_counts(facts: DataFrame, mode: str = "month", min_citations: int = 2, sampling: str | None = None, **settings) -> DataFrame:
+    """Sparse citation counts of the patents cited often enough; only of a sample of them if ``sampling`` names one."""
     counts = durable(citation_counts(facts, mode))
-    kept = sample_patents(cited_totals(counts, min_citations), **sampling)
+    kept = cited_totals(counts, min_citations)
+    if sampling is not None:
+        kept = sample_patents(kept, sampling, **settings)
     return counts.join(kept.select("entity"), "entity", "left_semi")
 
 
 def cumulative_citations(facts: DataFrame, mode: str = "month", min_citations: int = 2, **sampling) -> DataFrame:
-    """Running citation count per sampled patent over every kept bin."""
+    """Running citation count of each kept patent over every bin."""
     return cumulate(durable(kept_counts(facts, mode, min_citations, **sampling))).select("entity", "bin", "cum")
 
 

@@ -43,13 +43,14 @@ def _node(id_: Column, type_: str, name: Column, source: Column, named_only: boo
     return [values.get(c, F.lit(None)).cast(types.get(c, "string")).alias(c) for c in NODE_COLUMNS]
 
 
-def best_concepts(concepts: Column, n: int) -> Column:
-    """The ``n`` elements with the highest score (null as 0), ties in list order; sorted inside the row."""
+def best_concepts(concepts: Column, n: int | None = None) -> Column:
+    """All elements, or the ``n`` with the highest score (null as 0), ties in list order; sorted inside the row."""
     ranked = F.transform(
         F.filter(concepts, lambda c: c["id"].isNotNull() & (c["id"] != "")),
         lambda c, i: F.struct((-F.coalesce(c["score"], F.lit(0.0))).alias("k"), i.alias("pos"), c.alias("c")),
     )
-    return F.transform(F.slice(F.array_sort(ranked), 1, n), lambda r: r["c"])
+    ranked = F.array_sort(ranked)
+    return F.transform(ranked if n is None else F.slice(ranked, 1, n), lambda r: r["c"])
 
 
 def _works(works: DataFrame) -> DataFrame:
@@ -65,8 +66,14 @@ def _works(works: DataFrame) -> DataFrame:
     ).where(F.col("head").isNotNull())
 
 
-def extract_work_triples(works: DataFrame, max_concepts: int = 5, max_refs: int = 10) -> DataFrame:
-    """Top concepts, every author, every institution of every author, first references; one scan of the works.
+def _first(array: str, n: int | None) -> Column:
+    return F.col(array) if n is None else F.slice(array, 1, n)
+
+
+def extract_work_triples(works: DataFrame, max_concepts: int | None = None, max_refs: int | None = None) -> DataFrame:
+    """Concepts, authors, institutions of every author and references; one scan of the works.
+
+    ``max_concepts`` and ``max_refs`` ask for the best concepts and first references only.
 
     All quads of a work are built as one array in its row and exploded once, so there is no shuffle.
     """
@@ -85,7 +92,7 @@ def extract_work_triples(works: DataFrame, max_concepts: int = 5, max_refs: int
         quads(best_concepts(F.col("concepts"), max_concepts)["id"], "belongs_to", "Concept"),
         quads(F.col("authorships.author.id"), "authored_by", "Author"),
         quads(places, "affiliated_with", "Institution"),
-        quads(F.slice("referenced_works", 1, max_refs), "cites", "Paper"),
+        quads(_first("referenced_works", max_refs), "cites", "Paper"),
     )
     # Ids are cut after the explode, in generated code rather than inside the array functions.
     rows = w.select("head", "time", "src", F.inline(every))
@@ -101,7 +108,7 @@ def extract_work_triples(works: DataFrame, max_concepts: int = 5, max_refs: int
     ).where(F.col("tail") != "")
 
 
-def work_nodes(works: DataFrame, max_refs: int = 10) -> DataFrame:
+def work_nodes(works: DataFrame, max_refs: int | None = None) -> DataFrame:
     """Node rows (not yet merged): the work, its concepts, authors, institutions, and bare referenced works."""
     w = _works(works)
     src = F.col("src")
@@ -115,7 +122,7 @@ def work_nodes(works: DataFrame, max_refs: int = 10) -> DataFrame:
         people.select("src", F.explode("a.institutions").alias("i")).select(
             *_node(tail_id(F.col("i.id")), "Institution", F.col("i.name"), src)
         ),
-        w.select("src", F.explode(F.slice("referenced_works", 1, max_refs)).alias("r")).select(
+        w.select("src", F.explode(_first("referenced_works", max_refs)).alias("r")).select(
             *_node(work_id(F.col("r")), "Paper", F.lit(None), src)
         ),
     ]
@@ -303,8 +310,8 @@ def validate_pairs(
     )
 
 
-def pair_candidates(works: DataFrame, exclude: Sequence[str] = (), n: int = 12, max_time: str | None = None) -> DataFrame:
-    """Names of the top ``n`` concepts of each work outside the screening list, first id per name."""
+def pair_candidates(works: DataFrame, exclude: Sequence[str] = (), n: int | None = None, max_time: str | None = None) -> DataFrame:
+    """Names of the concepts (the top ``n`` if given) of each work outside the screening list, first id per name."""
     w = _works(works)
     if max_time is not None:
         w = w.where(F.coalesce("time", F.lit("")) <= max_time)
@@ -349,11 +356,9 @@ def attach_tone(nodes: DataFrame, tones: DataFrame) -> DataFrame:
     return joined.withColumn("tone", new).select(*nodes.columns)
 
 
-def fragments_to_triples(docs: DataFrame, fragments: DataFrame, cap: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Fragments to quads with hashed tail ids, and the tail nodes; ``cap`` bounds the documents used."""
+def fragments_to_triples(docs: DataFrame, fragments: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Fragments to quads with hashed tail ids, and the tail nodes."""
     d = docs.select("id", "doc_type", "time", F.coalesce("source", F.lit("llm")).alias("src"), "source")
-    if cap is not None:
-        d = d.orderBy("id").limit(cap)
     j = fragments.withColumnRenamed("doc_id", "id").join(d, "id")
     tail = fallback_id(F.col("src"), F.col("tail_type"), F.col("tail"))
     triples = j.select(

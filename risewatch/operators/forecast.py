@@ -63,28 +63,30 @@ def _fit_predict(train: DataFrame, test: DataFrame, max_iter: int, seed: int) ->
     return model.fit(vec(train).select("fv", "label")).transform(vec(test)).drop("fv")
 
 
-def select_arrays(counts: DataFrame, k: int, until: int | None = None) -> DataFrame:
-    """Arrays of the ``k`` most active entities, by activity before bin position ``until`` when given."""
+def select_arrays(counts: DataFrame, k: int | None = None, until: int | None = None) -> DataFrame:
+    """Arrays of every entity, or of the ``k`` most active, by activity before bin position ``until`` when given."""
     arrays = series_arrays(counts)
+    if k is None:
+        return arrays
     if until is None:
         keep = top_k(entity_totals(counts), "total", k).select("entity")
     else:
         past = arrays.withColumn("total", F.aggregate(F.slice("x", 1, until), F.lit(0.0), lambda a, v: a + v))
         keep = top_k(past.select("entity", "total"), "total", k).select("entity")
-    return arrays.join(F.broadcast(keep), "entity", "left_semi")  # k rows
+    return arrays.join(keep, "entity", "left_semi")
 
 
 def forecast(
     counts: DataFrame,
     horizon: int = 6,
     min_history: int = 12,
-    k: int = 100,
+    k: int | None = None,
     lag: int = 6,
     strict: bool = True,
     max_iter: int = 50,
     seed: int = 42,
 ) -> DataFrame:
-    """Mean of the last ``horizon`` bins forecast for the most active entities.
+    """Mean of the last ``horizon`` bins forecast for every entity, or the ``k`` most active.
 
     ``strict`` keeps training labels and the recent mean clear of the test bins; ``strict=False`` lets both
     overlap them.
@@ -107,7 +109,7 @@ def regression_fold(
     counts: DataFrame,
     t0: int,
     horizon: int = 6,
-    k: int = 100,
+    k: int | None = None,
     lag: int = 6,
     gap: int = 6,
     past_only: bool = True,

@@ -110,14 +110,19 @@ def project_cooccurrence(
     triples: DataFrame,
     relation: str = "relates_to",
     min_cooccur: int = 2,
-    max_entities: int = 5000,
+    max_entities: int | None = None,
     doc_types: Sequence[str] = ("Paper", "Patent", "Repo"),
     max_time: str | None = None,
     hub_size: int = HUB_SIZE,
 ) -> DataFrame:
-    """Document-concept quads to dated concept-concept facts, one per direction and document."""
+    """Document-concept quads to dated concept-concept facts, one per direction and document.
+
+    ``max_entities`` is a top-k by degree for those who ask for one; by default every entity stays.
+    """
     docs = durable(doc_concepts(triples, doc_types, max_time))
-    kept = durable(cap_entities(durable(pair_support(docs, min_cooccur, hub_size)), max_entities))
+    kept = durable(pair_support(docs, min_cooccur, hub_size))
+    if max_entities is not None:
+        kept = durable(cap_entities(kept, max_entities))
     return pair_facts(docs, kept, relation, hub_size)
 
 

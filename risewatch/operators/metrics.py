@@ -83,23 +83,24 @@ def spearman(pred: DataFrame, true: DataFrame, by: Sequence[str] = ()) -> DataFr
 def ndcg_at_k(ranked: DataFrame, relevance: DataFrame, k: int, by: Sequence[str] = ()) -> DataFrame:
     """Discounted gain ``2^rel - 1`` of the first ``k`` over the best possible order.
 
-    Above a relevance of 1000 the power overflows; then all relevances are divided by a thousandth of the
-    largest one, which keeps the order and the [0, 1] range.
+    Both sums are taken in units of ``2^max``, so that any relevance fits: the ratio is that of the plain gains.
     """
     by = list(by)
     cut = _agg(ranked, by, F.least(F.lit(k), F.count(F.lit(1))).alias("_k"))
     top = relevance.groupBy(*by).agg(F.max("rel").alias("_max")) if by else relevance.agg(F.max("rel").alias("_max"))
-    scale = F.greatest(F.col("_max") / 1000.0, F.lit(1.0))
-    gain = F.pow(F.lit(2.0), F.greatest(F.coalesce("rel", F.lit(0.0)), F.lit(0.0)) / scale) - 1.0
+    top = top.withColumn("_max", F.greatest(F.coalesce("_max", F.lit(0.0)), F.lit(0.0)))
+    rel = F.greatest(F.coalesce("rel", F.lit(0.0)), F.lit(0.0))
+    gain = F.pow(F.lit(2.0), rel - F.col("_max")) - F.pow(F.lit(2.0), -F.col("_max"))
     discounted = gain / F.log2(F.col("pos") + 1.0)
     got = ranked.where(F.col("pos") <= k).join(relevance, [*by, "entity"], "left")
     dcg = _agg(attach(got, top, by), by, F.sum(discounted).alias("_dcg"))
     ideal = attach(attach(top_k(relevance, "rel", k, by), cut, by).where(F.col("pos") <= F.col("_k")), top, by)
-    idcg = _agg(ideal, by, F.sum(discounted).alias("_idcg"))
+    idcg = _agg(ideal, by, F.sum(discounted).alias("_idcg"), F.max("_max").alias("_unit"))
     both = dcg.join(idcg, by, "full") if by else attach(dcg, idcg)
     d, i = F.coalesce("_dcg", F.lit(0.0)), F.coalesce("_idcg", F.lit(0.0))
+    unit = F.pow(F.lit(2.0), F.least(F.coalesce("_unit", F.lit(0.0)), F.lit(1000.0)))
     return both.select(
-        *by, F.when(i <= 1e-9, F.when(d <= 1e-9, 1.0).otherwise(0.0)).otherwise(d / i).alias(f"ndcg_at_{k}")
+        *by, F.when(i * unit <= 1e-9, F.when(d * unit <= 1e-9, 1.0).otherwise(0.0)).otherwise(d / i).alias(f"ndcg_at_{k}")
     )
 
 

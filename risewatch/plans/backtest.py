@@ -200,7 +200,7 @@ def backtest_regression(
     counts: DataFrame,
     horizon: int = 6,
     min_history: int = 12,
-    k: int = 100,
+    k: int | None = None,
     lag: int = 6,
     gap: int = 6,
     n_splits: int = 5,

@@ -35,5 +35,5 @@ def counts_from_payload(df: DataFrame, kind: str) -> DataFrame:
         "window_end",
         F.when(ok, F.coalesce(total, F.lit(0))).alias("activity_count"),
         F.when(ok, "ok").otherwise("failed").alias("collection_status"),
-        F.when(~ok, F.coalesce("error", F.concat(F.lit("non-JSON response: "), F.substring("payload", 1, 120)))).alias("error"),
+        F.when(~ok, F.coalesce("error", F.concat(F.lit("non-JSON response: "), "payload"))).alias("error"),
     )

@@ -19,8 +19,8 @@ def read_gkg(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path)
 
 
-def normalize_gkg(raw: DataFrame, themes: Sequence[str] = (), limit: int | None = None) -> DataFrame:
-    """Event lines to news rows; header and short lines dropped, optional theme filter and row cap."""
+def normalize_gkg(raw: DataFrame, themes: Sequence[str] = ()) -> DataFrame:
+    """Event lines to news rows; header and short lines dropped, optional theme filter."""
     f = F.split("value", "\t", -1)
     cells = raw.select(f.alias("f")).where((F.size("f") > COL_TONE) & (F.col("f")[COL_ID] != HEADER_MARK))
     at = lambda i: F.col("f")[i]
@@ -47,7 +47,7 @@ def normalize_gkg(raw: DataFrame, themes: Sequence[str] = (), limit: int | None
     )
     if themes:
         rows = rows.where(F.arrays_overlap("themes", F.array(*[F.lit(t) for t in themes])))
-    return rows if limit is None else rows.orderBy("id").limit(limit)
+    return rows
 
 
 def feed_date(c: Column) -> Column:

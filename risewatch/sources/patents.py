@@ -91,15 +91,15 @@ def parse_patent_biblio(docs: DataFrame) -> DataFrame:
 
 
 def filter_patents(
-    df: DataFrame, prefixes: Sequence[str], from_date: str | None = None, limit: int | None = None
+    df: DataFrame, prefixes: Sequence[str], from_date: str | None = None
 ) -> DataFrame:
-    """Any class starting with a prefix, published on or after the date (undated pass); ``limit`` oldest first."""
+    """Any class starting with a prefix, published on or after the date (undated pass)."""
     wanted = F.array(*[F.lit(p) for p in prefixes])
     out = df.where(F.exists("cpc", lambda c: F.exists(wanted, lambda p: F.startswith(c, p))))
     if from_date:
         date = F.coalesce("publication_date", F.lit(""))
         out = out.where((date == "") | (date >= from_date))
-    return out if limit is None else out.orderBy("publication_date", "id").limit(limit)
+    return out
 
 
 def patent_backward_citations(docs: DataFrame) -> DataFrame:
