@@ -63,22 +63,26 @@ def test_rank_normalize(spark):
     assert rank_normalize(scores(spark, {"x": 3.0})).first().scaled == 1.0
 
 
-def test_cross_examination(spark):
-    rows = cross_examine(
-        scores(spark, {"a": 0.9, "b": 0.6, "c": 0.1}), scores(spark, {"a": 0.8, "b": 0.3, "c": 0.7}), 0.5
-    )
-    got = {r.entity: r.verdict for r in rows.collect()}
-    assert got == {"a": "agree", "b": "signal_only", "c": "tkg_only"}
-    assert conflicts(rows).count() == 2
-    assert rows.orderBy(F.desc("consensus"), "entity").first().entity == "a"
-
-
-def test_cross_examination_missing_side(spark):
-    rows = cross_examine(scores(spark, {"a": 0.9, "b": 0.8, "c": 0.1}), scores(spark, {"a": 0.9}))
-    got = {r.entity: r.verdict for r in rows.collect()}
-    assert got == {"a": "agree", "b": "signal_only", "c": "neither"}
-    assert conflicts(rows).count() == 1
-    assert {r.entity: r.consensus for r in rows.collect()}["b"] == pytest.approx(0.5 / 1.5, abs=1e-6)
+@pytest.mark.parametrize("weight", [0.5, 0.2])
+def test_cross_examination_equals_a_plain_walk(spark, weight):
+    rng = random.Random(31)
+    left = {f"k{i:02d}": round(rng.random(), 3) for i in range(23)}
+    right = {f"k{i:02d}": round(rng.random(), 3) for i in range(9, 40)}
+
+    def scale(d):
+        order = sorted(d, key=lambda k: (-d[k], k))
+        return {k: (len(d) - 1 - i) / (len(d) - 1) for i, k in enumerate(order)}
+
+    s, t = scale(left), scale(right)
+    rows = cross_examine(scores(spark, left), scores(spark, right), weight)
+    got = {r.entity: (r.verdict, r.consensus) for r in rows.collect()}
+    assert set(got) == set(left) | set(right)
+    for k, (verdict, consensus) in got.items():
+        high = (s.get(k, 0) >= 0.5, t.get(k, 0) >= 0.5)
+        assert verdict == {(True, True): "agree", (True, False): "signal_only", (False, True): "tkg_only", (False, False): "neither"}[high]
+        a, b = weight if k in t else 1.0, 1 - weight if k in s else 1.0
+        assert consensus == pytest.approx((a * s.get(k, 0) + b * t.get(k, 0)) / (a + b), abs=1e-5)
+    assert conflicts(rows).count() == sum(v in ("signal_only", "tkg_only") for v, _ in got.values())
 
 
 def test_metrics_on_literals(spark):
