@@ -311,7 +311,11 @@ def _(spark, d):
     return R.align_exact(R.unresolved_names(nodes), R.anchor_index(nodes)).select("type", "norm", "anchor_entity")
 
 
-@query("aln_04_fuzzy_names")
+@query(
+    "aln_04_fuzzy_names",
+    f"""WITH {VARIANTS} SELECT DISTINCT 'Concept' AS type, base || 's' AS norm, 'C:' || base AS anchor_entity,
+      round(2.0 * length(base) / (2 * length(base) + 1), 6)::DOUBLE AS score FROM vars WHERE type = 'Model'""",
+)
 def _(spark, d):
     nodes = B.name_nodes(spark, d)
     anchors, names = R.anchor_index(nodes), R.unresolved_names(nodes)

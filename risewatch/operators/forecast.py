@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-
-
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame
@@ -11,6 +9,7 @@ from pyspark.sql import functions as F
 
 from risewatch.operators.core import top_k
 from risewatch.operators.series import entity_totals, series_arrays
+from risewatch.session import durable
 
 
 def _mean(x: Column, start: Column, size: int) -> Column:
@@ -60,7 +59,10 @@ def purge(samples: DataFrame, t0: Column | int, horizon: int = 6, gap: int = 6)
 def _fit_predict(train: DataFrame, test: DataFrame, max_iter: int, seed: int) -> DataFrame:
     vec = lambda df: df.withColumn("fv", array_to_vector(F.col("features")))
     model = GBTRegressor(featuresCol="fv", labelCol="label", predictionCol="forecast", maxIter=max_iter, seed=seed)
-    return model.fit(vec(train).select("fv", "label")).transform(vec(test)).drop("fv")
+    rows = durable(vec(train).select("fv", "label"))
+    # every split of every tree is a job: few rows in many partitions would be all overhead
+    rows = rows.coalesce(1 + rows.count() // 50_000)
+    return model.fit(rows).transform(vec(test)).drop("fv")
 
 
 def select_arrays(counts: DataFrame, k: int | None = None, until: int | None = None) -> DataFrame:

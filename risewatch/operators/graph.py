@@ -203,7 +203,8 @@ def ordered_split(facts: DataFrame, ratio: float = 0.8) -> DataFrame:
 
 def hash_split(facts: DataFrame, ratio: float = 0.8, seed: int = 42) -> DataFrame:
     """Reproducible random split on a seeded hash of the whole fact."""
-    slot = F.pmod(F.xxhash64(*facts.columns, F.lit(seed)), F.lit(10000))
+    digits = F.substring(F.sha1(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in facts.columns], F.lit(str(seed)))), 1, 8)
+    slot = F.conv(digits, 16, 10).cast("bigint") % 10000
     return facts.withColumn("role", F.when(slot < int(ratio * 10000), "train").otherwise("test"))
 
 

@@ -227,16 +227,22 @@ def backtest_regression(
     return out
 
 
-def citation_report(facts: DataFrame, horizon: int = 6, max_iter: int = 50, **sampling):
-    """Cumulative citation series: regression folds when the span allows, stages and stage curves."""
+def citation_stages(facts: DataFrame, **sampling) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Stages, stage curves and the stored counts of every patent cited often enough."""
     kept = durable(citations.kept_counts(facts, **sampling))
     stages = durable(lifecycle.concept_stages(kept))
+    return stages, lifecycle.stage_curves(kept, stages), kept
+
+
+def citation_report(facts: DataFrame, horizon: int = 6, max_iter: int = 50, **sampling):
+    """Cumulative citation series: regression folds when the span allows, stages and stage curves."""
+    stages, curves, kept = citation_stages(facts, **sampling)
     bins = bin_axis(kept).count()  # calendar bins
     folds = None
     if bins >= horizon + 2:
         cumulative = durable(series.cumulate(kept).select("entity", "bin", F.col("cum").alias("cnt")))
         folds = backtest_regression(cumulative, horizon=horizon, max_iter=max_iter)
-    return folds, stages, lifecycle.stage_curves(kept, stages)
+    return folds, stages, curves
 
 
 def walk_forward_sizes(folds: DataFrame) -> DataFrame:
