@@ -22,13 +22,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from risewatch.llm.common import spare, stored
+from risewatch.llm.common import slices, spare, stored
 
 #: Documents of each of the three training parts at most.
 PER_PART = 6000
@@ -36,6 +37,8 @@ PER_PART = 6000
 STEMS = (4, 5, 6)
 #: Entries of the learned lexicon at most: the likeliest.
 LEXICON = 4000
+#: Partial counts that a task holds before it passes them on.
+TERMS = 100_000
 
 # Common insults, and second person pronouns.
 INSULTS = "idiot idiots stupid moron morons pathetic worthless loser losers scum trash clown disgusting dumb fool garbage jerk ugly hate shut dummkopf trottel arschloch imbécile crétin connard idiota estúpido imbécil basura".split()
@@ -151,15 +154,38 @@ def _part(labelled: DataFrame, remainders: tuple[int, ...], per_part: int) -> Da
     return own.orderBy("h", "text", "toxic").limit(per_part)
 
 
+def _counted(said: dict[tuple[str, int], list[int]]) -> pa.RecordBatch:
+    """Partial counts as rows; forgets them."""
+    keys, values = list(said), list(said.values())
+    said.clear()
+    return pa.RecordBatch.from_pydict(
+        {
+            "term": pa.array([k[0] for k in keys], pa.string()), "times": pa.array([k[1] for k in keys], pa.int32()),
+            "t": pa.array([v[0] for v in values], pa.int64()), "n": pa.array([v[1] for v in values], pa.int64()),
+        }
+    )
+
+
 def learn_lexicon(part: DataFrame, n_toxic: int, n_clean: int, least: int = 3) -> dict[str, list[float]]:
     """Words and beginnings, with the log of the likelihood ratio of toxic against clean texts when a text says them at
     least once, twice and three times; add-half smoothed."""
 
-    @F.pandas_udf("array<struct<term: string, times: int>>")
-    def terms(texts: pd.Series) -> pd.Series:
-        return pd.Series([[{"term": t, "times": k} for t, n in terms_of(words(x)).items() for k in range(1, min(n, 3) + 1)] for x in texts])
-
-    counts = part.select("toxic", F.inline(terms("text"))).groupBy("term", "times").agg(F.sum(F.col("toxic").cast("bigint")).alias("t"), F.count(F.lit(1)).alias("n"))
+    def run(batches):
+        said: dict[tuple[str, int], list[int]] = {}
+        for batch in batches:
+            for part, texts in slices(batch, "text"):
+                for text, toxic in zip(texts, part.column("toxic").to_pylist()):
+                    for term, n in terms_of(words(text)).items():
+                        for times in range(1, min(n, 3) + 1):
+                            count = said.setdefault((term, times), [0, 0])
+                            count[0] += toxic
+                            count[1] += 1
+                    if len(said) > TERMS:
+                        yield _counted(said)
+        yield _counted(said)
+
+    rows = part.select("text", "toxic").mapInArrow(run, "term string, times int, t bigint, n bigint")
+    counts = rows.groupBy("term", "times").agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
     weight = F.log(((F.col("t") + 0.5) / (n_toxic + 1.0)) / ((F.col("n") - F.col("t") + 0.5) / (n_clean + 1.0)))
     # far likelier in toxic texts, and in enough of them
     kept = counts.where(F.col("t") >= least).select("term", "times", "t", weight.alias("w")).where(F.col("w") >= 1.7)
