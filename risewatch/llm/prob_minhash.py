@@ -29,7 +29,7 @@ from risewatch.llm.common import hash_words, mix, shingles, slices, spare, store
 SIZE, ROWS = 96, 4
 BANDS = SIZE // ROWS
 SLACK = 0.14
-BLOCK = 512
+BLOCK = 1024
 WIDTH = 5
 #: Rows of ids that are broadcast at most; more are joined by a shuffle.
 FEW = 500_000
@@ -273,17 +273,18 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(uid, class): the least uid of each connected component, by least labels and pointer jumps."""
+    """(uid, class): the least uid of each connected component, by least labels and two pointer jumps a round."""
     edges = stored(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = stored(edges.groupBy(F.col("a").alias("uid")).agg(F.least(F.first("a"), F.min("b")).alias("class")), "labels")
     while True:
         near = edges.join(labels.select(F.col("uid").alias("b"), "class"), "b").groupBy(F.col("a").alias("uid")).agg(F.min("class").alias("near"))
         step = labels.join(near, "uid").select("uid", F.col("class").alias("old"), F.least("class", "near").alias("class"))
+        for _ in range(2):
+            step = step.join(labels.select(F.col("uid").alias("class"), F.col("class").alias("far")), "class").select("uid", "old", F.col("far").alias("class"))
         step = stored(step, "labels")
         if step.where("old != class").isEmpty():
             return labels
-        jump = step.select(F.col("uid").alias("class"), F.col("class").alias("far"))
-        labels = stored(step.join(jump, "class").select("uid", F.col("far").alias("class")), "labels")
+        labels = step.select("uid", "class")
 
 
 def classes(docs: DataFrame, doc_id: str, text: str, least: float = 0.8) -> DataFrame:
@@ -319,9 +320,12 @@ def classes(docs: DataFrame, doc_id: str, text: str, least: float = 0.8) -> Data
     open_ = known.groupBy("bucket").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x != y").select("bucket")
     rest = known.join(open_, "bucket").join(texts.select("uid", "signature"), "uid").join(shingled, "uid")
     extra = stored(links_across(rest, least), "links")
-    final = first if extra.isEmpty() else components(links.unionByName(extra))
-
-    named = texts.select("uid", "h1", "h2", "id").join(final, "uid", "left").withColumn("class", F.coalesce("class", "uid"))
+    named = texts.select("uid", "h1", "h2", "id").join(first, "uid", "left").withColumn("class", F.coalesce("class", "uid"))
+    if not extra.isEmpty():  # the classes that late links join
+        of = known.select("uid", "class").distinct()
+        late = extra.join(of.toDF("a", "x"), "a").join(of.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        joined = components(late).toDF("class", "whole")
+        named = named.join(joined, "class", "left").withColumn("class", F.coalesce("whole", "class")).drop("whole")
     named = stored(named, "named")
     heads = named.groupBy("class").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "h1", "h2")).alias("head"))
     named = named.join(heads, "class").select("h1", "h2", F.col("head.id").alias("class_id"), ((F.col("head.h1") == F.col("h1")) & (F.col("head.h2") == F.col("h2"))).alias("leads"), "id")
