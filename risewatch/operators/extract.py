@@ -30,17 +30,31 @@ def _quad(head: Column, head_type: str, relation: str, tail: Column, tail_type:
     ]
 
 
-def _node(id_: Column, type_: str, name: Column, source: Column, named_only: bool = False, **extra: Column):
-    types = {"stars": "bigint", "tone": "double"}
-    values = {
-        "id": id_,
-        "type": F.lit(type_),
-        "entity_id": F.lit(None).cast("string") if named_only else id_,
-        "name": name,
-        "source": source,
-        **extra,
-    }
-    return [values.get(c, F.lit(None)).cast(types.get(c, "string")).alias(c) for c in NODE_COLUMNS]
+# How the id of a node is made from what its row holds.
+_PLAIN, _TAIL, _WORK, _NAMED, _OWN = 0, 1, 2, 3, 4  # the last also brings its own source
+_EXTRA = {"pub_date": "string", "doi": "string", "kind": "string", "url": "string", "stars": "bigint", "tone": "double"}
+_ITEMS = "array<struct<raw:string,by:int,type:string,name:string,origin:string," + ",".join(f"{c}:{t}" for c, t in _EXTRA.items()) + ">>"
+
+
+def _item(raw: Column, by: int, type_: str, name: Column, origin: Column | None = None, **extra: Column) -> Column:
+    more = [extra.get(c, F.lit(None)).cast(t).alias(c) for c, t in _EXTRA.items()]
+    return F.struct(raw.cast("string").alias("raw"), F.lit(by).alias("by"), F.lit(type_).alias("type"), name.cast("string").alias("name"), (F.lit(None) if origin is None else origin).cast("string").alias("origin"), *more)
+
+
+def _items(array: Column, make) -> Column:
+    return F.coalesce(F.transform(array, make).cast(_ITEMS), F.array().cast(_ITEMS))
+
+
+def _nodes(records: DataFrame, source: Column, *parts: Column) -> DataFrame:
+    """Node rows of all ``parts`` (arrays of items) in one scan; ids are made after the arrays are spread."""
+    rows = records.select(source.alias("source"), F.inline(F.concat(*[p.cast(_ITEMS) for p in parts])))
+    by, raw = F.col("by"), F.col("raw")
+    ident = (
+        F.when(by == _TAIL, tail_id(raw)).when(by == _WORK, work_id(raw))
+        .when(by == _NAMED, fallback_id(F.col("source"), F.col("type"), F.col("name"))).otherwise(raw)
+    )
+    values = {"id": ident, "entity_id": F.when(by != _NAMED, ident), "source": F.when(by == _OWN, F.col("origin")).otherwise(F.col("source"))}
+    return rows.select(*[values.get(c, F.col(c)).alias(c) for c in NODE_COLUMNS])
 
 
 def best_concepts(concepts: Column, n: int | None = None) -> Column:
@@ -110,23 +124,16 @@ def extract_work_triples(works: DataFrame, max_concepts: int | None = None, max_
 
 def work_nodes(works: DataFrame, max_refs: int | None = None) -> DataFrame:
     """Node rows (not yet merged): the work, its concepts, authors, institutions, and bare referenced works."""
-    w = _works(works)
-    src = F.col("src")
-    people = w.select("src", F.explode("authorships").alias("a"))
-    parts = [
-        w.select(*_node(F.col("head"), "Paper", F.col("title"), src, pub_date=F.col("time"), doi=F.col("doi"))),
-        w.select("src", F.explode("concepts").alias("c")).select(
-            *_node(tail_id(F.col("c.id")), "Concept", F.col("c.name"), src)
-        ),
-        people.select(*_node(tail_id(F.col("a.author.id")), "Author", F.col("a.author.name"), src)),
-        people.select("src", F.explode("a.institutions").alias("i")).select(
-            *_node(tail_id(F.col("i.id")), "Institution", F.col("i.name"), src)
-        ),
-        w.select("src", F.explode(_first("referenced_works", max_refs)).alias("r")).select(
-            *_node(work_id(F.col("r")), "Paper", F.lit(None), src)
-        ),
-    ]
-    return _union(parts).where(F.col("id").isNotNull() & (F.col("id") != ""))
+    places = F.flatten(F.transform("authorships", lambda a: F.coalesce(a["institutions"], F.array().cast("array<struct<id:string,name:string>>"))))
+    nodes = _nodes(
+        _works(works), F.col("src"),
+        F.array(_item(F.col("head"), _PLAIN, "Paper", F.col("title"), pub_date=F.col("time"), doi=F.col("doi"))),
+        _items(F.col("concepts"), lambda c: _item(c["id"], _TAIL, "Concept", c["name"])),
+        _items(F.col("authorships"), lambda a: _item(a["author"]["id"], _TAIL, "Author", a["author"]["name"])),
+        _items(places, lambda i: _item(i["id"], _TAIL, "Institution", i["name"])),
+        _items(_first("referenced_works", max_refs), lambda r: _item(r, _WORK, "Paper", F.lit(None))),
+    )
+    return nodes.where(F.col("id").isNotNull() & (F.col("id") != ""))
 
 
 def _union(parts: Sequence[DataFrame]) -> DataFrame:
@@ -152,12 +159,12 @@ def extract_preprint_triples(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     triples = cats.select(*_quad(head, "Paper", "belongs_to", cat, "Concept", time, src)).unionByName(
         people.select(*_quad(head, "Paper", "authored_by", person, "Author", time, src))
     )
-    nodes = _union(
-        [
-            r.select(*_node(head, "Paper", F.col("title"), src, pub_date=time, doi=F.col("doi"))),
-            cats.select(*_node(cat, "Concept", F.col("v"), src)),
-            people.select(*_node(person, "Author", F.col("v"), src, named_only=True)),
-        ]
+    named = F.filter(F.col("authors.name"), lambda v: v.isNotNull() & (v != ""))
+    nodes = _nodes(
+        r, src,
+        F.array(_item(head, _PLAIN, "Paper", F.col("title"), pub_date=time, doi=F.col("doi"))),
+        _items(F.col("categories"), lambda v: _item(F.concat(F.lit("cat:"), v), _PLAIN, "Concept", v)),
+        _items(named, lambda v: _item(v, _NAMED, "Author", v)),
     )
     return triples, nodes
 
@@ -177,13 +184,12 @@ def extract_patent_triples(records: DataFrame) -> tuple[DataFrame, DataFrame]:
             people.select(*_quad(head, "Patent", "authored_by", person, "Person", time, src)),
         ]
     )
-    nodes = _union(
-        [
-            r.select(*_node(head, "Patent", F.col("title"), src, pub_date=time, kind=F.col("kind"))),
-            cpc.select(*_node(code, "Concept", v, src)),
-            firms.select(*_node(firm, "Institution", v, src, named_only=True)),
-            people.select(*_node(person, "Person", v, src, named_only=True)),
-        ]
+    nodes = _nodes(
+        r, src,
+        F.array(_item(head, _PLAIN, "Patent", F.col("title"), pub_date=time, kind=F.col("kind"))),
+        _items(F.col("cpc"), lambda c: _item(F.concat(F.lit("cpc:"), c), _PLAIN, "Concept", c)),
+        _items(F.col("assignees"), lambda c: _item(c, _NAMED, "Institution", c)),
+        _items(F.col("inventors"), lambda c: _item(c, _NAMED, "Person", c)),
     )
     return triples, nodes
 
@@ -195,9 +201,11 @@ def extract_repo_triples(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     topics = r.select("id", "created_at", F.explode("topics").alias("v"))
     topic = F.concat(F.lit("topic:"), v)
     triples = topics.select(*_quad(head, "Repo", "belongs_to", topic, "Concept", time, src))
-    nodes = r.select(
-        *_node(head, "Repo", F.col("name"), src, url=F.col("url"), stars=F.col("stars"), pub_date=time)
-    ).unionByName(topics.select(*_node(topic, "Concept", v, src)))
+    nodes = _nodes(
+        r, src,
+        F.array(_item(head, _PLAIN, "Repo", F.col("name"), url=F.col("url"), stars=F.col("stars"), pub_date=time)),
+        _items(F.col("topics"), lambda c: _item(F.concat(F.lit("topic:"), c), _PLAIN, "Concept", c)),
+    )
     return triples, nodes
 
 
@@ -216,15 +224,12 @@ def extract_news_triples(records: DataFrame) -> tuple[DataFrame, DataFrame]:
             firms.select(*_quad(head, "News", "mentions", firm, "Institution", time, src)),
         ]
     )
-    nodes = _union(
-        [
-            r.select(
-                *_node(head, "News", F.col("title"), F.col("source"), url=F.col("url"), pub_date=time, tone=F.col("tone"))
-            ),
-            themes.select(*_node(theme, "Concept", v, src)),
-            persons.select(*_node(person, "Person", v, src, named_only=True)),
-            firms.select(*_node(firm, "Institution", v, src, named_only=True)),
-        ]
+    nodes = _nodes(
+        r, src,
+        F.array(_item(head, _OWN, "News", F.col("title"), F.col("source"), url=F.col("url"), pub_date=time, tone=F.col("tone"))),
+        _items(F.col("themes"), lambda c: _item(F.concat(F.lit("theme:"), c), _PLAIN, "Concept", c)),
+        _items(F.col("persons"), lambda c: _item(c, _NAMED, "Person", c)),
+        _items(F.col("organizations"), lambda c: _item(c, _NAMED, "Institution", c)),
     )
     return triples, nodes
 
