@@ -658,12 +658,14 @@ def _(spark, d):
     return B.table(spark, d, "pages").select("page_id", F.sha1("url").alias("sha_1"), text.cache_key(F.col("url")).alias("sha_256"))
 
 
-@query("scl_14_document_text", "SELECT doc_id, '标题：' || source || chr(10) || '正文：' || CASE WHEN lang = 'en' THEN lang ELSE source END AS body FROM documents")
+@query(
+    "scl_14_document_text",
+    """SELECT doc_id, rtrim('标题：' || source || chr(10) || '正文：' || CASE WHEN lang = 'fr' THEN lang WHEN trim(text) <> '' THEN text ELSE source END, ' ' || chr(10)) AS body FROM documents""",
+)
 def _(spark, d):
-    abstract = F.when(F.col("lang") == "en", F.col("lang")).otherwise("")
-    none = F.lit(None).cast("string")
+    abstract = F.when(F.col("lang") == "fr", F.col("lang")).otherwise("")
     return B.table(spark, d, "documents").select(
-        "doc_id", text.document_text(F.col("source"), abstract, none, F.col("source")).alias("body")
+        "doc_id", text.document_text(F.col("source"), abstract, F.col("text"), F.col("source")).alias("body")
     )
 
 

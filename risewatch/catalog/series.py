@@ -351,10 +351,10 @@ def _(spark, d):
 
 @query(
     "agg_09_cited_totals",
-    f"WITH {CITATIONS} SELECT head AS entity, count(*) AS total FROM cites GROUP BY 1 HAVING count(*) >= 30",
+    f"WITH {CITATIONS} SELECT head AS entity, count(*) AS total FROM cites GROUP BY 1 HAVING count(*) >= 2",
 )
 def _(spark, d):
-    return citations.cited_totals(citations.citation_counts(facts(spark, d)), 30)
+    return citations.cited_totals(citations.citation_counts(facts(spark, d)))
 
 
 SAMPLE = CITATIONS + """, totals AS (SELECT head AS entity, count(*) AS total FROM cites GROUP BY 1 HAVING count(*) >= 2),
