@@ -149,9 +149,10 @@ def checksum(doc_id: Column) -> Column:
 
 
 def _part(labelled: DataFrame, remainders: tuple[int, ...], per_part: int) -> DataFrame:
-    """At most ``per_part`` distinct texts, in the order of a hash of the text."""
-    own = labelled.where(F.col("fold").isin(*remainders))
-    return own.orderBy("h", "text", "toxic").limit(per_part)
+    """At most ``per_part`` distinct texts: those of the least hashes. Only hashes are sorted."""
+    own = labelled.where(F.col("fold").isin(*remainders)).dropDuplicates(["h"])
+    last = own.select("h").orderBy("h").limit(per_part).agg(F.max("h")).first()[0]
+    return own.where(F.col("h") <= F.lit(last)) if last is not None else own
 
 
 def _counted(said: dict[tuple[str, int], list[int]]) -> pa.RecordBatch:
