@@ -41,6 +41,8 @@ WORDS = (
     "sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead cookie cookies consent notice notices gdpr newsletter subscribe subscription signup login "
     "share sharing social related recommended popular widget popup modal overlay toolbar pagination pager skip copyright complementary contentinfo search form alert"
 ).split()
+#: Whole classes or ids that do.
+NAMES = frozenset("header site-header page-header siteheader topbar top-bar side-bar leftbar rightbar".split())
 #: An end tag closes nothing beyond these.
 SCOPE = frozenset("html body table td th article section main div".split())
 #: Start tags that close an open element of the same list entry.
@@ -58,7 +60,7 @@ def barred(name: str, attributes: str, words: frozenset[str]) -> bool:
     if not attributes or name in ("html", "body", "article", "main"):
         return False
     values = " ".join(a or b or c for a, b, c in _MARK.findall(attributes))
-    return any(w.lower() in words for w in _PARTS.findall(values)) or "hidden" in re.sub(r"\"[^\"]*\"|'[^']*'", "", attributes).split()
+    return any(w.lower() in words for w in _PARTS.findall(values)) or not NAMES.isdisjoint(values.lower().split()) or "hidden" in re.sub(r"\"[^\"]*\"|'[^']*'", "", attributes).split()
 
 
 def blocks(page: str, words: frozenset[str]) -> list[tuple[str, tuple[int, ...], tuple[str, ...], bool]]:

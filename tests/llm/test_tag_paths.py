@@ -13,6 +13,7 @@ PAGES = {
     "references and space": (f"<main><p> caf&eacute;\n\t &#x26; &nbsp;tea{LONG}</p><pre>a\n  b</pre></main>", ["café & tea" + LONG, "a b"]),
     "inline markup": (f"<article><p>one <em>two</em>, <a href='x'>three</a>{LONG}</p></article>", ["one two, three" + LONG]),
     "cookie notice": (f"<body><div class='cookie-notice'><p>{LONG}</p></div><div><p>{LONG}</p><p>More, and more.</p></div></body>", [LONG, "More, and more."]),
+    "site header as a division": (f"<body><div id='header'><p>Site, of all sites.</p></div><div><div class='post-header'><h1>T</h1></div><p>{LONG}</p></div></body>", ["T", LONG]),
     "lists and tables": (f"<article><p>{LONG}</p><ul><li>one<li>two</ul><table><tr><td>a<td>b</table></article>", [LONG, "one", "two", "a", "b"]),
     "no text": ("<html><body><nav>Home</nav></body></html>", []),
     "empty": ("", []),
