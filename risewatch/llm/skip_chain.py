@@ -85,11 +85,9 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def shape(token: str) -> int:
-    """One of 1,536 shapes: digits, dots, @, +, brackets, letters."""
+    """One of ``SHAPES`` shapes: digits, dots, @, +, brackets, letters."""
     digits = sum(c.isdigit() for c in token)
-    return (
-        min(digits, 20) if digits < 20 else 20
-    ) + 21 * (min(token.count("."), 3) + 4 * (("@" in token) + 2 * (("+" in token) + 2 * (any(c in "()-" for c in token) + 2 * any(c.isalpha() for c in token)))))
+    return min(digits, 20) + 21 * (min(token.count("."), 3) + 4 * (("@" in token) + 2 * (("+" in token) + 2 * (any(c in "()-" for c in token) + 2 * any(c.isalpha() for c in token)))))
 
 
 SHAPES = 21 * 64
