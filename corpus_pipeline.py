@@ -44,7 +44,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and whether they decode to its text."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     body = docs.select("doc_id", "lang", "source", F.coalesce("text", F.lit("")).alias("text"))
-    both = byte_bpe.decode(byte_bpe.encode(body, "text", path, public_tokenizers.PATTERN), "ids", path)
+    both = byte_bpe.encode_and_decode(body, "text", path, public_tokenizers.PATTERN)
     return both.select("doc_id", "lang", "source", F.size("ids").cast("bigint").alias("n_tokens"), "ids", (F.col("decoded") == F.col("text").cast("binary")).alias("round_trip"))
 
 

@@ -26,7 +26,7 @@ NONE = np.int32(2**31 - 1)
 LONG = 128
 CELLS = 1 << 20
 #: Distinct pieces that a Python worker remembers before it starts anew.
-MEMORY_PIECES = 300_000
+MEMORY_PIECES = 150_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -235,19 +235,42 @@ def _send(df: DataFrame, path: str):
 
 def encode(df: DataFrame, text: str, path: str, pattern: str) -> DataFrame:
     """Adds ``ids`` (array of int): each match of ``pattern`` encoded by the ranks at ``path``, no special tokens."""
-    ids = spare(df.columns, "ids")[0]
-    schema = T.StructType([*df.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType(), False), False)])
+    return _encode(df, text, path, pattern, False)
+
+
+def encode_and_decode(df: DataFrame, text: str, path: str, pattern: str) -> DataFrame:
+    """``encode`` and ``decode`` of its ids in one pass: adds ``ids`` and ``decoded``."""
+    return _encode(df, text, path, pattern, True)
+
+
+def _encode(df: DataFrame, text: str, path: str, pattern: str, back: bool) -> DataFrame:
+    names = spare(df.columns, "ids", "decoded")[: 1 + back]
+    fields = [T.StructField(names[0], T.ArrayType(T.IntegerType(), False), False), *(T.StructField(n, T.BinaryType(), False) for n in names[1:])]
     blob = _send(df, path)
 
     def run(batches):
-        pieces, find = _Pieces(_table(blob)), regex.compile(pattern).findall
+        table = _table(blob)
+        pieces, find = _Pieces(table), regex.compile(pattern).findall
         for batch in batches:
             for part, texts in slices(batch, text):
                 flat, off = pieces.encode([find(t) for t in texts])
-                column = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(flat, pa.int32()))
-                yield pa.RecordBatch.from_arrays([*part.columns, column], [*part.schema.names, ids])
+                columns = [pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(flat, pa.int32()))]
+                if back:
+                    columns.append(_decoded(table, flat.astype(np.int64), off))
+                yield pa.RecordBatch.from_arrays([*part.columns, *columns], [*part.schema.names, *names])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, *fields]))
+
+
+def _decoded(table: PairTable, flat: np.ndarray, off: np.ndarray) -> pa.Array:
+    """The bytes of each list of ids."""
+    if len(flat) and (flat.min() < 0 or flat.max() >= len(table.length) or not table.length[flat].all()):
+        raise ValueError("an id that the vocabulary does not hold")
+    length = table.length[flat]
+    end = np.concatenate([[0], np.cumsum(length)])
+    data = table.bytes[np.arange(end[-1]) + np.repeat(table.start[flat] - end[:-1], length)]
+    at = end[off].astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at.tobytes()), pa.py_buffer(data.tobytes())])
 
 
 def decode(df: DataFrame, ids: str, path: str) -> DataFrame:
@@ -262,15 +285,9 @@ def decode(df: DataFrame, ids: str, path: str) -> DataFrame:
             for lo in range(0, batch.num_rows, 1000):
                 part = batch.slice(lo, 1000)
                 lists = part.column(part.schema.get_field_index(ids))
-                flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
                 size = pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
-                if len(flat) and (flat.min() < 0 or flat.max() >= len(table.length) or not table.length[flat].all()):
-                    raise ValueError("an id that the vocabulary does not hold")
-                length = table.length[flat]
-                end = np.concatenate([[0], np.cumsum(length)])
-                data = table.bytes[np.arange(end[-1]) + np.repeat(table.start[flat] - end[:-1], length)]
-                off = end[np.concatenate([[0], np.cumsum(size)]).astype(np.int64)]
-                column = pa.Array.from_buffers(pa.binary(), len(off) - 1, [None, pa.py_buffer(off.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
+                flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                column = _decoded(table, flat, np.concatenate([[0], np.cumsum(size)]).astype(np.int64))
                 yield pa.RecordBatch.from_arrays([*part.columns, column], [*part.schema.names, name])
 
     return df.mapInArrow(run, schema)

@@ -50,7 +50,7 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     path = public_tokenizers.path(RANKS)
-    both = byte_bpe.decode(byte_bpe.encode(docs, "text", path, public_tokenizers.PATTERN).select("doc_id", "ids"), "ids", path)
+    both = byte_bpe.encode_and_decode(docs, "text", path, public_tokenizers.PATTERN)
     return both.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -50,6 +50,8 @@ def test_round_trip(spark):
     rows = [(1, "Hello  world\n"), (2, None), (3, ""), (4, "naïve ☃ " * 500)]
     docs = spark.createDataFrame(rows, "doc_id int, text string")
     out = byte_bpe.decode(byte_bpe.encode(docs, "text", PATH, public_tokenizers.PATTERN), "ids", PATH)
+    both = byte_bpe.encode_and_decode(docs, "text", PATH, public_tokenizers.PATTERN)
+    assert sorted(out.collect()) == sorted(both.collect())
     assert {r["doc_id"]: bytes(r["decoded"]).decode() for r in out.collect()} == {k: t or "" for k, t in rows}
 
 
