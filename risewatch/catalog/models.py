@@ -78,6 +78,11 @@ def _(spark, d):
     return backtest.citation_stages(facts(spark, d))[1].select("stage_order", "stage", "bin", r6("level"))
 
 
+@query("bt_06_citation_report")
+def _(spark, d):
+    return backtest.citation_report_rows(facts(spark, d))
+
+
 @query("grf_17_blended_ranks")
 def _(spark, d):
     train, test = graphs.parts(spark, d)

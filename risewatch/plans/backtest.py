@@ -245,5 +245,19 @@ def citation_report(facts: DataFrame, horizon: int = 6, max_iter: int = 50, **sa
     return folds, stages, curves
 
 
+def citation_report_rows(facts: DataFrame, **settings) -> DataFrame:
+    """The citation report as one table: ``part`` names regression folds and points of the stage curves."""
+    folds, _, curves = citation_report(facts, **settings)
+    out = curves.select(
+        F.lit("curve").alias("part"),
+        *[F.lit(None).cast(t).alias(c) for c, t in (("fold", "int"), ("t0", "int"), ("mae", "double"), ("rmse", "double"), ("mape", "double"))],
+        "stage_order", "stage", "bin", "level",
+    )
+    if folds is None:
+        return out
+    rows = folds.select(F.lit("regression").alias("part"), F.col("fold").cast("int"), F.col("t0").cast("int"), "mae", "rmse", "mape")
+    return out.unionByName(rows, allowMissingColumns=True)
+
+
 def walk_forward_sizes(folds: DataFrame) -> DataFrame:
     return folds.groupBy("fold", "role").agg(F.count(F.lit(1)).alias("n"))
