@@ -8,6 +8,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import GBTRegressor
 
 from risewatch.catalog import ORACLES, QUERIES
+from risewatch.operators import forecast as FC
 from risewatch.plans import backtest
 
 BINS, LAG, H, GAP, ROUNDS = 30, 6, 6, 6, 3
@@ -36,11 +37,32 @@ def errors(pairs):
     return [sum(e for e, _ in d) / len(d), math.sqrt(sum(e * e for e, _ in d) / len(d)), sum(e / a for e, a in d) / len(d)]
 
 
+def test_forecast_like_the_plain_samples(spark):
+    x = dense()
+    got = {r["entity"]: r for r in FC.forecast(table(spark, x), max_iter=ROUNDS).collect()}
+    want = fitted(spark, x, BINS - H, BINS - H)
+    assert set(got) == set(x)
+    for e, (p, a) in want.items():
+        assert got[e]["forecast"] == pytest.approx(p, abs=1e-6) and got[e]["actual"] == pytest.approx(a, abs=1e-9)
+    overall = sum(map(sum, x.values())) / (BINS * len(x))
+    assert errors([(r["forecast"], r["actual"]) for r in got.values()])[0] < 0.3 * errors([(overall, r["actual"]) for r in got.values()])[0]
+    assert len({round(r["forecast"], 6) for r in got.values()}) > 3
+
+
 def plain_folds(spark, x):
     for t0 in range(BINS - H - 4, BINS - H + 1):
         yield t0, errors(fitted(spark, x, t0 - GAP - 1, t0).values())
 
 
+def test_fold_errors_like_the_plain_samples(spark):
+    x = dense(2)
+    got = backtest.backtest_regression(table(spark, x), max_iter=ROUNDS).orderBy("t0").collect()
+    want = list(plain_folds(spark, x))
+    assert [r["t0"] for r in got] == [t0 for t0, _ in want] and [r["fold"] for r in got] == list(range(5))
+    for r, (_, e) in zip(got, want):
+        assert [r["mae"], r["rmse"], r["mape"]] == pytest.approx(e, abs=1e-6)
+
+
 def test_citation_report_has_folds_beside_curves(spark):
     x = dense(3, 6)
     cites = [(e, "cited_by", f"c{e}{t}{i}", f"{2000 + t // 12}-{t % 12 + 1:02d}-05") for e, v in x.items() for t, n in enumerate(v) for i in range(n)]
@@ -57,5 +79,5 @@ def test_citation_report_has_folds_beside_curves(spark):
 
 
 def test_fitted_columns_are_registered():
-    names = {"bt_06_citation_report"}
+    names = {"bt_03_regression_errors", "bt_04_forecast_values", "bt_06_citation_report"}
     assert names <= set(QUERIES) and not names & set(ORACLES)
