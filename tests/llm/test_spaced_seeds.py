@@ -61,3 +61,47 @@ def test_empty_benchmark(spark):
 def test_best_run_is_the_earliest_best():
     assert S.best_run(np.array([1, 1, 0, 1, 1, 1, 1, 0, 0, 1, 1], bool)) == (3, 7, 4)
     assert S.best_run(np.zeros(3, bool)) == (0, 0, 0)
+
+
+def missed_runs(masks, need, longest):
+    """Shortest runs of ``need`` matches that no mask meets: every prefix scores above zero, the end is a new best score."""
+    span, found, seen, todo = max(map(len, masks)), [], set(), [("", 0, 0, 0)]
+    while todo:
+        run, score, best, matched = todo.pop()
+        for bit in "10" if longest is None or len(run) < longest else "":
+            now, s, m = run + bit, score + (1 if bit == "1" else -2), min(need, matched + (bit == "1"))
+            if s <= 0 or any(len(k) <= len(now) and all(a <= b for a, b in zip(k, now[-len(k) :])) for k in masks):
+                continue
+            if s > best and m >= need:
+                found.append(now)
+                continue
+            state = (now[-span:], s, max(best, s), m, longest and len(now))
+            if state not in seen:
+                seen.add(state)
+                todo.append((now, s, max(best, s), m))
+    return found
+
+
+def test_every_admissible_run_meets_a_mask():
+    assert missed_runs(("1101100111", "1011010111", "1110101101", "1101011011"), 12, None)
+    for n in range(5, 16):
+        need = min(12, int(np.ceil(0.8 * n)))
+        assert missed_runs(S.masks_of(n), need, n if n < 15 else None) == [], n
+
+
+def test_replaced_words_of_whole_items():
+    """Whole-item copies with each set of up to two replaced words (four in some longer items)."""
+    from itertools import combinations
+
+    rng = random.Random(4)
+    for n in (5, 6, 7, 8, 9, 10, 11, 13, 16, 18, 20):
+        known = np.array([rng.getrandbits(64) for _ in range(n)], np.uint64)
+        probe = S.Probe([(1, known.tobytes())])
+        holes = [c for k in range(5 if n in (16, 18) else 3) for c in combinations(range(n), k)]
+        texts = np.tile(known, (len(holes), 1))
+        for row, c in zip(texts, holes):
+            row[list(c)] = np.array([rng.getrandbits(64) for _ in c], np.uint64)
+        got = probe.overlaps(texts.ravel(), np.arange(len(holes) + 1) * n, 12, 0.8)
+        want = [S.best_run(row == known)[2] >= min(12, int(np.ceil(0.8 * n))) for row in texts]
+        assert [bool(g) for g in got] == want, n
+        assert sum(want) > 1
