@@ -4,9 +4,9 @@ A page is read once into blocks: runs of text between block-level tags, each wit
 root. For every distinct path two ratios are taken over its blocks: text length for each block, and punctuation marks
 for each block. Both are smoothed over the paths in page order, scaled to their mean and fused by a product; paths at
 or above a threshold (a share of the mean) are content paths. The deepest element that holds most of the content
-paths' text is the article; its blocks are kept, short ones too, except those in elements that are boilerplate by kind
-(menus, forms, asides ...) or by a word in class, id or role (adverts, comments ...). The bounded lists of such names
-are parameters.
+paths' text is the article; its blocks are kept, short ones too, except those in elements that are boilerplate by kind (menus, forms, asides ...) or by
+a name: a class, id or role that consists of such words (adverts, comments ...) and of neutral ones (site, left, box ...).
+A name does not bar an element that holds most of the article. The bounded lists of such names are parameters.
 
 Broken markup: an unclosed inline element ends with its block, a block-level tag closes an open paragraph, end tags
 without a start are skipped, everything open is closed at the end. Whole pages are read. Null and empty pages, and pages
@@ -35,12 +35,19 @@ BLOCK = frozenset(
 )
 #: Elements that are never part of an article.
 BARRED = frozenset("nav header footer aside form menu dialog button select option script style noscript template iframe textarea head title svg math fieldset".split())
-#: Words of class, id or role that mark boilerplate.
+#: Words of class, id or role that mark boilerplate, if the whole name consists of them and of neutral words.
 WORDS = (
     "ad ads advert adverts advertisement advertising banner promo promoted promotion sponsor sponsored comment comments commentlist disqus reply replies respond "
     "sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead cookie cookies consent notice notices gdpr newsletter subscribe subscription signup login "
     "share sharing social related recommended popular widget popup modal overlay toolbar pagination pager skip copyright complementary contentinfo search form alert"
 ).split()
+#: Words of a discussion, which may be longer than its article.
+TALK = frozenset("comment comments commentlist disqus reply replies respond".split())
+NEUTRAL = frozenset(
+    "site page main global top bottom left right center inner outer primary secondary first last small large mobile desktop sticky fixed inline section area block box bar row col column panel container "
+    "wrapper wrap holder region zone slot unit group list lists item items link links button buttons icon icons text title heading header body post posts entry article articles story stories news "
+    "content contents media image form field input policy message the of".split()
+)
 #: Whole classes or ids that do.
 NAMES = frozenset("header site-header page-header siteheader topbar top-bar side-bar leftbar rightbar".split())
 #: An end tag closes nothing beyond these.
@@ -52,31 +59,49 @@ _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]
 _MARK = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、！？；：]")
+#: What bars an element: its kind, a name, or the name of a discussion.
+KIND, NAME, DISCUSSION = 1, 2, 3
 
 
-def barred(name: str, attributes: str, words: frozenset[str]) -> bool:
+def barred(name: str, attributes: str, words: frozenset[str]) -> int:
+    """What bars the element, or 0."""
     if name in BARRED:
-        return True
+        return KIND
     if not attributes or name in ("html", "body", "article", "main"):
-        return False
-    values = " ".join(a or b or c for a, b, c in _MARK.findall(attributes))
-    return any(w.lower() in words for w in _PARTS.findall(values)) or not NAMES.isdisjoint(values.lower().split()) or "hidden" in re.sub(r"\"[^\"]*\"|'[^']*'", "", attributes).split()
-
-
-def blocks(page: str, words: frozenset[str]) -> list[tuple[str, tuple[int, ...], tuple[str, ...], bool]]:
-    """(text, elements' numbers from the root, their names, barred) of each block with text, in page order."""
+        return 0
+    if "hidden" in re.sub(r"\"[^\"]*\"|'[^']*'", "", attributes).split():
+        return KIND
+    found = 0
+    for token in " ".join(a or b or c for a, b, c in _MARK.findall(attributes)).split():
+        parts = {w.lower() for w in _PARTS.findall(token) if len(w) > 1}
+        own = parts & words
+        if token.lower() in NAMES or own and parts - own <= NEUTRAL:
+            found = max(found, DISCUSSION if own & TALK else NAME)
+    return found
+
+
+def blocks(page: str, words: frozenset[str]) -> list[tuple[str, tuple[int, ...], tuple[str, ...], tuple[tuple[int, int], ...]]]:
+    """(text, elements' numbers from the root, their names, what bars it) of each block with text, in page order; the
+    last are the elements here or above that bar, with their reasons."""
     out: list = []
-    stack: list[tuple[str, int, bool]] = []  # name, number, barred here or above
+    stack: list[tuple[str, int, tuple | None]] = []  # name, number, what bars here or above: (number, reason, those above)
     held: list[str] = []
     spot: list = []
     count = at = 0
 
+    def listed(bars):
+        all_ = []
+        while bars:
+            all_.append(bars[:2])
+            bars = bars[2]
+        return tuple(all_)
+
     def flush():
         if held:
             text = " ".join("".join(held).split())
             held.clear()
             if text:
-                out.append((text, tuple(n for _, n, _ in spot[0]), tuple(t for t, _, _ in spot[0]), bool(spot[0]) and spot[0][-1][2]))
+                out.append((text, tuple(n for _, n, _ in spot[0]), tuple(t for t, _, _ in spot[0]), listed(spot[0][-1][2] if spot[0] else None)))
         spot.clear()
 
     def say(raw: str):
@@ -129,10 +154,12 @@ def blocks(page: str, words: frozenset[str]) -> list[tuple[str, tuple[int, ...],
             at = stop.end() if stop else len(page)
             continue
         count += 1
-        bar = barred(name, m[3], words) or bool(stack) and stack[-1][2]
-        if bar and name not in BLOCK and not (stack and stack[-1][2]):
+        above = stack[-1][2] if stack else None
+        # below an element barred by its kind nothing can be kept
+        bar = 0 if above and above[1] == KIND else barred(name, m[3], words)
+        if bar and name not in BLOCK and not above:
             flush()
-        stack.append((name, count, bar))
+        stack.append((name, count, (count, bar, above) if bar else above))
     flush()
     return out
 
@@ -165,9 +192,32 @@ def path_scores(found: list, radius: int = 1) -> dict[tuple[str, ...], float]:
     return dict(zip(paths, (both[0] * both[1]).tolist()))
 
 
+SAID = ("article", "main")
+
+
+def cleared(found: list, threshold: float, share: float, radius: int) -> frozenset[int]:
+    """Elements that their name does not bar, as they hold most of the article: of the text in article and main
+    elements, or on a page without them of the content paths' text."""
+    if not any(b[3] for b in found):
+        return frozenset()
+    rest = [b for b in found if all(why == NAME for _, why in b[3])] or [b for b in found if all(why != KIND for _, why in b[3])]
+    own = [b for b in rest if not set(SAID).isdisjoint(b[2])]
+    if not own:
+        scores = path_scores([(*b[:3], ()) for b in rest], radius)
+        own = [b for b in rest if scores[b[2]] >= threshold * sum(scores.values()) / len(scores)]
+    inside: dict[int, int] = defaultdict(int)
+    for text, _, _, bars in own:
+        for number, _ in bars:
+            inside[number] += len(text)
+    total = sum(len(b[0]) for b in own)
+    return frozenset(n for n, size in inside.items() if size > share * total)
+
+
 def extract(page: str | None, words: frozenset[str] = frozenset(WORDS), threshold: float = 0.3, share: float = 0.5, radius: int = 1) -> str:
     """Blocks of the article, one a line."""
     found = blocks(page or "", words)
+    free = cleared(found, threshold, share, radius)
+    found = [(*b[:3], any(n not in free for n, _ in b[3])) for b in found]
     scores = path_scores(found, radius)
     if not scores:
         return ""
@@ -176,7 +226,7 @@ def extract(page: str | None, words: frozenset[str] = frozenset(WORDS), threshol
     inside: dict[int, int] = defaultdict(int)
     total = sum(len(b[0]) for b in chosen)
     for text, numbers, _, _ in chosen:
-        for depth, number in enumerate(numbers):
+        for number in numbers:
             inside[number] += len(text)
     names = {n: t for b in found for n, t in zip(b[1], b[2])}
     # an element that says it is the article is taken at its word; else the deepest that holds most of the content

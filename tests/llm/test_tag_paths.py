@@ -39,3 +39,30 @@ def test_blocks_know_their_path():
 def test_deep_and_long_pages():
     assert extract("<div>" * 3000 + LONG + "</div>" * 3000) == LONG.strip()
     assert len(extract("<article>" + f"<p>{LONG}</p>" * 4000 + "</article>").split("\n")) == 4000
+
+
+PARAGRAPHS = [f"{i}: {LONG}".strip() for i in range(10)]
+BODY = "".join(f"<p>{p}</p>" for p in PARAGRAPHS)
+SIX, FOUR = "".join(f"<p>{p}</p>" for p in PARAGRAPHS[:6]), "".join(f"<p>{p}</p>" for p in PARAGRAPHS[6:])
+WHOLE = {
+    **{f"wrapper {c}": f"<body><nav>Home</nav><div class='{c}'><article>{BODY}</article></div><footer>(c)</footer></body>" for c in ("content has-sidebar", "no-sidebar", "with-menu", "ad-free", "sidebar", "sidebar-left")},
+    **{f"wrapper {c}, no article": f"<body><div class='menu'>Home</div><div class='{c}'>{BODY}</div></body>" for c in ("content has-sidebar", "no-sidebar", "with-menu", "ad-free", "sidebar", "sidebar-left")},
+    "wrapper of main": f"<body><div class='popup'><main>{BODY}</main></div><div class='sidebar'>{BODY}{BODY}</div></body>",
+    "related work": f"<article>{SIX}<section id='related-work'>{FOUR}</section></article>",
+    "results": f"<article>{SIX}<div class='search-results-analysis'>{FOUR}</div></article>",
+    "longer comments": f"<body><div id=content>{BODY}</div><div class='comments-area'>{BODY}{BODY}</div></body>",
+}
+
+
+@pytest.mark.parametrize("name", WHOLE)
+def test_whole_articles(name):
+    assert extract(WHOLE[name]).split("\n") == PARAGRAPHS
+
+
+@pytest.mark.parametrize("name", ("ad", "sidebar left", "site-footer", "related-posts", "siteFooter", "post-comments", "nav-menu", "cookie-notice", "widget2"))
+def test_names_that_bar(name):
+    assert extract(f"<body><div id=content>{BODY}</div><div class='{name}'>{FOUR}</div></body>").split("\n") == PARAGRAPHS
+
+
+def test_many_open_elements_with_a_name():
+    assert extract(f"<article>{BODY}" + "<div class=ad>" * 20_000 + LONG).split("\n") == PARAGRAPHS
