@@ -3,8 +3,9 @@
 A page is read once into blocks: runs of text between block-level tags, each with the path of open elements from the
 root. For every distinct path two ratios are taken over its blocks: text length for each block, and punctuation marks
 for each block. Both are smoothed over the paths in page order, scaled to their mean and fused by a product; paths at
-or above a threshold (a share of the mean) are content paths. The deepest element that holds most of the content
-paths' text is the article; its blocks are kept, short ones too, except those in elements that are boilerplate by kind (menus, forms, asides ...) or by
+or above a threshold (a share of the mean) are content paths. The outermost article and main elements are the article
+if they hold most of the content paths' text, else the deepest container (no list, no table) that holds all of it. Its
+blocks are kept, short ones too, except those in elements that are boilerplate by kind (menus, forms, asides ...) or by
 a name: a class, id or role that consists of such words (adverts, comments ...) and of neutral ones (site, left, box ...).
 A name does not bar an element that holds most of the article. The bounded lists of such names are parameters.
 
@@ -192,6 +193,8 @@ def path_scores(found: list, radius: int = 1) -> dict[tuple[str, ...], float]:
     return dict(zip(paths, (both[0] * both[1]).tolist()))
 
 
+#: Elements that are parts of an article, not its container.
+PARTS = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl li dt dd table caption thead tbody tfoot tr td th pre blockquote figure figcaption".split())
 SAID = ("article", "main")
 
 
@@ -228,13 +231,13 @@ def extract(page: str | None, words: frozenset[str] = frozenset(WORDS), threshol
     for text, numbers, _, _ in chosen:
         for number in numbers:
             inside[number] += len(text)
-    names = {n: t for b in found for n, t in zip(b[1], b[2])}
-    # an element that says it is the article is taken at its word; else the deepest that holds most of the content
-    said = [n for n in inside if names[n] in ("article", "main") and inside[n] >= share * total]
-    groups = {n for b in chosen for n, t in zip(b[1], b[2]) if t not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "th", "dd", "dt", "pre", "blockquote", "figcaption")}
-    held = [n for n in said or groups if inside[n] >= share * total]
-    root = max(held, default=0)  # numbers grow inwards
-    return "\n".join(text for text, numbers, _, bar in found if not bar and (not root or root in numbers))
+    # elements that say they are the article are taken at their word; else the deepest that holds all the content
+    said = {next(n for n, t in zip(b[1], b[2]) if t in SAID) for b in found if not set(SAID).isdisjoint(b[2])}
+    if not total or sum(inside[n] for n in said) < share * total:
+        said = set()
+    groups = {n for b in chosen for n, t in zip(b[1], b[2]) if t not in PARTS}
+    roots = said or {max((n for n in groups if inside[n] == total), default=0)}  # numbers grow inwards
+    return "\n".join(text for text, numbers, _, bar in found if not bar and (0 in roots or not roots.isdisjoint(numbers)))
 
 
 def extract_pages(df: DataFrame, column: str, **settings) -> DataFrame:

@@ -44,7 +44,16 @@ def test_deep_and_long_pages():
 PARAGRAPHS = [f"{i}: {LONG}".strip() for i in range(10)]
 BODY = "".join(f"<p>{p}</p>" for p in PARAGRAPHS)
 SIX, FOUR = "".join(f"<p>{p}</p>" for p in PARAGRAPHS[:6]), "".join(f"<p>{p}</p>" for p in PARAGRAPHS[6:])
+ITEMS = "".join(f"<li>{p}</li>" for p in PARAGRAPHS[:6])
+CELLS = "".join(f"<tr><td>{p}</td></tr>" for p in PARAGRAPHS[:6])
 WHOLE = {
+    "two parts": f"<body><div id=content><div class=part1>{SIX}</div><div class=part2>{FOUR}</div></div></body>",
+    "two sections": f"<body><div><section>{SIX}</section><section><div>{FOUR}</div></section></div></body>",
+    "two articles in main": f"<main><article>{SIX}</article><article>{FOUR}</article></main>",
+    "two articles": f"<body><article>{SIX}</article><article>{FOUR}</article></body>",
+    "list of most": f"<body><div id=content><ul>{ITEMS}</ul>{FOUR}</div></body>",
+    "list and short paragraphs outside": f"<body><div id=content><ul>{ITEMS}</ul><div>{FOUR}</div></div></body>",
+    "table of most": f"<body><div id=content><table>{CELLS}</table>{FOUR}</div></body>",
     **{f"wrapper {c}": f"<body><nav>Home</nav><div class='{c}'><article>{BODY}</article></div><footer>(c)</footer></body>" for c in ("content has-sidebar", "no-sidebar", "with-menu", "ad-free", "sidebar", "sidebar-left")},
     **{f"wrapper {c}, no article": f"<body><div class='menu'>Home</div><div class='{c}'>{BODY}</div></body>" for c in ("content has-sidebar", "no-sidebar", "with-menu", "ad-free", "sidebar", "sidebar-left")},
     "wrapper of main": f"<body><div class='popup'><main>{BODY}</main></div><div class='sidebar'>{BODY}{BODY}</div></body>",
