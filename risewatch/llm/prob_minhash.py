@@ -1,9 +1,10 @@
 """Near-duplicate classes of documents by ProbMinHash, banding and verification.
 
-Shingles are runs of five words (a shorter text is one shingle), weighted by 1 + ln(count). A signature has ``SIZE``
+Shingles are runs of five words (a shorter text is one shingle). Links are a matter of shingle sets, so every shingle
+of a text has weight 1, however often it occurs. A signature has ``SIZE``
 registers. Every shingle sends arrivals of a Poisson process whose rate is its weight, each to a random register; a
 register keeps the element of its earliest arrival, and a shingle stops once its next arrival is later than the latest
-register of its text. Two registers agree with the probability Jaccard similarity of the weighted sets.
+register of its text. Two registers agree with the probability Jaccard similarity of the weighted sets; at equal weights that is the Jaccard similarity of the sets.
 
 Equal texts are one text from the start. Bands of ``ROWS`` registers are buckets. In a bucket, signatures estimate the
 similarities; a spanning forest of the likeliest pairs is verified first: the exact Jaccard similarity of the shingle
@@ -28,7 +29,8 @@ from risewatch.llm.common import hash_words, mix, shingles, slices, spare, store
 
 SIZE, ROWS = 96, 4
 BANDS = SIZE // ROWS
-SLACK = 0.14
+#: A pair of similarity 0.8 has 54 agreeing registers of 96 but for a probability of 4e-8.
+SLACK = 0.23
 BLOCK = 1024
 WIDTH = 5
 #: Rows of ids that are broadcast at most; more are joined by a shuffle.
@@ -84,8 +86,8 @@ def sketch(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     def run(batches):
         for batch in batches:
             for part, texts in slices(batch, "text"):
-                grams, count, off = sets(texts)
-                who = signatures(grams, 1 + np.log(count), off)
+                grams, _, off = sets(texts)
+                who = signatures(grams, np.ones(len(grams)), off)
                 some = np.diff(off) > 0
                 band = np.zeros((len(texts), BANDS), np.uint64)
                 for r in range(ROWS):

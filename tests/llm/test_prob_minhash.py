@@ -93,3 +93,25 @@ def test_components(spark):
     links = spark.createDataFrame(path, "a bigint, b bigint")
     got = {r["uid"]: r["class"] for r in M.components(links).collect()}
     assert got == {**{i: 0 for i in range(31)}, **{i: 100 for i in (100, 101, 102)}, 200: 200, 205: 200}
+
+
+def test_repeated_shingles(spark):
+    rng = random.Random(8)
+    line = lambda n: " ".join("".join(rng.choice("abcdefghijklm") for _ in range(7)) for _ in range(n))
+    rows = []
+    for i in range(8):
+        for head, tail, times in ((50, 20, 50), (60, 40, 20)):
+            a, b = line(head), line(tail)
+            rows += [(len(rows), f"{a} {b}"), (len(rows) + 1, f"{a}{(' ' + b) * times}")]
+    want = plain(rows)
+    assert len(set(want.values())) == len(rows) // 2
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r["id"]: r["class_id"] for r in M.classes(docs, "doc_id", "text").collect()} == want
+
+
+def test_floor_misses_less_than_the_bands():
+    from math import comb
+
+    floor = int(np.floor((0.8 - M.SLACK) * M.SIZE))
+    below = sum(comb(M.SIZE, k) * 0.8**k * 0.2 ** (M.SIZE - k) for k in range(floor))
+    assert below < 1e-6 and (1 - 0.8**M.ROWS) ** M.BANDS + below < 3.3e-6
