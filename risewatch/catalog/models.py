@@ -98,4 +98,4 @@ def _(spark, d):
 def _(spark, d):
     train, test = graphs.parts(spark, d)
     known = links.known_queries(test, train)
-    return generate.blend_ranks(known, train, generate.fit_generate(train, 8, max_iter=3))
+    return generate.blend_ranks(known, train, generate.fit_generate(train))
