@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from risewatch.llm import bottom_k, byte_bpe, license_scan, line_runs, prob_minhash, radix_windows, skip_chain, spaced_seeds, tag_paths, toxicity
+from risewatch.llm import bottom_k, byte_bpe, license_scan, line_runs, prefix_trie, prob_minhash, radix_windows, skip_chain, spaced_seeds, tag_paths, toxicity
 from risewatch.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,3 +111,33 @@ FROM marked GROUP BY doc_id"""
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     done = radix_windows.remove_repeats(table(spark, folder, "documents"), "doc_id", "text")
     return done.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op11_prefix_trie")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    ordered = prefix_trie.in_order(prefix_trie.hashed_turns(table(spark, folder, "conversations")))
+    nodes = prefix_trie.trie(prefix_trie.rebuild(ordered))
+    return nodes.select(F.col("conv").alias("conv_id"), "depth", F.col("parent").alias("parent_conv_id"), "n_convs", "n_children", "n_leaves", F.col("saved").alias("saved_tokens"), "ends_sha256")
+
+
+#: crc32 of a decimal: one step for each bit, the next character entering at every eighth.
+CRC32 = """xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+    lambda a, b: CASE WHEN (xor(a, b) & 1) = 1 THEN xor(xor(a, b) >> 1, 3988292384) ELSE xor(a, b) >> 1 END), 4294967295)"""
+
+ORACLES["op11_prefix_trie"] = f"""
+WITH told AS (SELECT conv_id, coalesce(text, '') AS text, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS key, turn FROM conversations WHERE conv_id IS NOT NULL),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, key) AS place FROM told),
+convs AS (SELECT conv_id, {CRC32} % 6 AS h, conv_id - conv_id % 100 AS base FROM (SELECT DISTINCT conv_id FROM ordered)),
+rebuilt AS (
+    SELECT c.conv_id, 1 AS phase, o.place, o.key, length(o.text) AS n FROM convs c JOIN ordered o ON o.conv_id = c.base AND o.place <= c.h
+    UNION ALL SELECT c.conv_id, 2, o.place, o.key, length(o.text) FROM convs c JOIN ordered o USING (conv_id) WHERE o.place > c.h
+    UNION ALL SELECT conv_id, 0, 0, '', 0 FROM convs),
+paths AS (SELECT conv_id, row_number() OVER w - 1 AS depth, string_agg(key, '/') OVER w || '/' AS path, n, lead(phase) OVER w IS NULL AS last FROM rebuilt WINDOW w AS (PARTITION BY conv_id ORDER BY phase, place)),
+up AS (SELECT *, lag(path) OVER (PARTITION BY conv_id ORDER BY depth) AS parent FROM paths),
+nodes AS (SELECT path, parent, min(conv_id) AS conv_id, min(depth) AS depth, count(*) AS n_convs, min(n) AS n,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (last), '')) AS ends_sha256 FROM up GROUP BY path, parent),
+kids AS (SELECT parent AS path, count(*) AS n_children FROM nodes WHERE parent IS NOT NULL GROUP BY parent),
+full_nodes AS (SELECT n.*, coalesce(k.n_children, 0) AS n_children, p.conv_id AS parent_conv_id FROM nodes n LEFT JOIN kids k USING (path) LEFT JOIN nodes p ON p.path = n.parent),
+links AS (SELECT a.path AS node, b.path AS above FROM (SELECT conv_id, depth, path FROM full_nodes) a JOIN up b ON b.conv_id = a.conv_id AND b.depth <= a.depth),
+sums AS (SELECT l.above AS path, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * n) AS saved_tokens FROM links l JOIN full_nodes f ON f.path = l.node GROUP BY l.above)
+SELECT conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens::BIGINT AS saved_tokens, ends_sha256 FROM full_nodes JOIN sums USING (path)"""
