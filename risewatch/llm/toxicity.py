@@ -8,7 +8,11 @@ trees, calibration, so that no part is fitted on what another part has memorised
 never features.
 
 Each part is a bounded sample (``per_part`` documents, by the order of a hash of the text, so that equal rows give
-equal models); scoring covers every whole text. Equal texts count once in each part.
+equal models); scoring covers every whole text. Equal texts count once in each part. Labels that disagree, of one id or
+of equal texts, become the commoner one, toxic if both are as common.
+
+The trees are fitted by ``pyspark.ml`` and walked as flat arrays, so that a scoring task has one Python worker and takes
+its texts a megabyte at a time.
 
 Null and empty texts are scored by their features, all zero. Without labels of both kinds in the first two parts the
 score is the share of toxic labels (0 if there are none). Repeated rows get equal scores. Extra columns stay.
@@ -21,15 +25,14 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from risewatch.llm.common import slices, spare, stored
+from risewatch.llm.common import map_texts, slices, spare, stored
 
 #: Documents of each of the three training parts at most.
 PER_PART = 6000
@@ -37,8 +40,8 @@ PER_PART = 6000
 STEMS = (4, 5, 6)
 #: Entries of the learned lexicon at most: the likeliest.
 LEXICON = 4000
-#: Partial counts that a task holds before it passes them on.
-TERMS = 100_000
+#: Partial counts that a task holds before it passes them on, and words whose terms a task remembers.
+TERMS, REMEMBERED = 100_000, 50_000
 
 # Common insults, and second person pronouns.
 INSULTS = "idiot idiots stupid moron morons pathetic worthless loser losers scum trash clown disgusting dumb fool garbage jerk ugly hate shut dummkopf trottel arschloch imbécile crétin connard idiota estúpido imbécil basura".split()
@@ -54,10 +57,53 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+@dataclass
+class Trees:
+    """Boosted trees as flat arrays, so that a task needs nothing but numpy to walk them. A leaf points to itself."""
+
+    weights: np.ndarray
+    feature: np.ndarray
+    threshold: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    value: np.ndarray
+    depth: int
+
+    @classmethod
+    def of(cls, model: GBTClassificationModel) -> Trees:
+        flat, depth = [], 0
+        for tree in model.trees:
+            nodes: list[tuple] = []
+
+            def add(node, nodes=nodes) -> int:
+                at = len(nodes)
+                nodes.append((0, np.inf, at, at, node.prediction()))
+                if node.subtreeDepth() > 0:
+                    split = node.split()
+                    nodes[at] = (split.featureIndex(), split.threshold(), add(node.leftChild()), add(node.rightChild()), 0.0)
+                return at
+
+            add(tree._call_java("rootNode"))
+            flat.append(nodes)
+            depth = max(depth, tree.depth)
+        size = max(map(len, flat))
+        column = lambda k, kind: np.array([[n[k] for n in t] + [0] * (size - len(t)) for t in flat], kind)
+        return cls(np.array(model.treeWeights), column(0, int), column(1, float), column(2, int), column(3, int), column(4, float), depth)
+
+    def margins(self, rows: np.ndarray) -> np.ndarray:
+        out, each = np.zeros(len(rows)), np.arange(len(rows))
+        for t, weight in enumerate(self.weights):
+            at = np.zeros(len(rows), int)
+            for _ in range(self.depth):
+                at = np.where(rows[each, self.feature[t, at]] <= self.threshold[t, at], self.left[t, at], self.right[t, at])
+            out += weight * self.value[t, at]
+        return out
+
+
 @dataclass
 class Model:
     lexicon: dict[str, list[float]]
-    trees: GBTClassificationModel | None
+    trees: Trees | None
     knots: tuple[list[float], list[float]]
     prior: float
 
@@ -74,8 +120,8 @@ def terms_of(found: list[str]) -> dict[str, int]:
     return said | stems
 
 
-def features(texts: pd.Series, lexicon: dict[str, list[float]]) -> pd.DataFrame:
-    """``lexicon``: term -> weights of its first, second and third mention."""
+def feature_rows(texts: list[str | None], lexicon: dict[str, list[float]]) -> np.ndarray:
+    """One row of ``FEATURES`` for each text; ``lexicon``: term -> weights of its first, second and third mention."""
     insults, second = frozenset(INSULTS), frozenset(SECOND)
     starts = frozenset(t[1:] for t in lexicon if t[0] == "\t")
     rows = np.zeros((len(texts), len(FEATURES)))
@@ -87,7 +133,7 @@ def features(texts: pd.Series, lexicon: dict[str, list[float]]) -> pd.DataFrame:
         own = tuple(t for t in {w, plain} if t in lexicon)
         stems = tuple("\t" + w[:n] for n in STEMS if len(w) > n and w[:n] in starts)
         r = remembered[w] = (own, stems, float(w in insults or plain in insults), w in second)
-        if len(remembered) > 200_000:
+        if len(remembered) > REMEMBERED:
             remembered.clear()
         return r
 
@@ -130,18 +176,14 @@ def features(texts: pd.Series, lexicon: dict[str, list[float]]) -> pd.DataFrame:
             sum(lex) / n, len(lex) - 1, max(lex), sum(stem) / n, len(stem) - 1, max(stem), fixed / n, fixed, near / n, you / n, capitals / c,
             sum(map(text.count, ".,;:!?")) / c, (text.count("!") + text.count("?")) / c, len(_MASKED.findall(text)) / n, np.log1p(len(found)),
         )
-    return pd.DataFrame(rows, columns=FEATURES)
-
+    return rows
 
-def featurise(df: DataFrame, text: str, lexicon: dict[str, list[float]], name: str = "features") -> DataFrame:
-    """Adds a struct of ``FEATURES``; the lexicon has at most ``LEXICON`` entries and travels with the task."""
-    blob = df.sparkSession.sparkContext.broadcast(lexicon)
 
-    @F.pandas_udf(", ".join(f"{f} double" for f in FEATURES))
-    def run(texts: pd.Series) -> pd.DataFrame:
-        return features(texts, blob.value)
+def features(texts, lexicon: dict[str, list[float]]):
+    """``feature_rows`` as a pandas table, to look at."""
+    import pandas as pd
 
-    return df.withColumn(name, run(F.col(text)))
+    return pd.DataFrame(feature_rows(list(texts), lexicon), columns=FEATURES)
 
 
 def checksum(doc_id: Column) -> Column:
@@ -150,7 +192,7 @@ def checksum(doc_id: Column) -> Column:
 
 def _part(labelled: DataFrame, remainders: tuple[int, ...], per_part: int) -> DataFrame:
     """At most ``per_part`` distinct texts: those of the least hashes. Only hashes are sorted."""
-    own = labelled.where(F.col("fold").isin(*remainders)).dropDuplicates(["h"])
+    own = labelled.where(F.col("fold").isin(*remainders)).groupBy("h").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
     last = own.select("h").orderBy("h").limit(per_part).agg(F.max("h")).first()[0]
     return own.where(F.col("h") <= F.lit(last)) if last is not None else own
 
@@ -198,7 +240,8 @@ def learn_lexicon(part: DataFrame, n_toxic: int, n_clean: int, least: int = 3) -
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", per_part: int = PER_PART, trees: int = 20, depth: int = 4) -> Model:
     """A model from the labelled rows whose checksum is not 0; rows without a label of 0 or 1 are left out."""
-    known = labels.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("toxic")).where("toxic in (0, 1) and id is not null").dropDuplicates(["id"])
+    known = labels.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("toxic")).where("toxic in (0, 1) and id is not null")
+    known = known.groupBy("id").agg((F.avg("toxic") >= 0.5).cast("int").alias("toxic"))
     known = known.withColumn("fold", checksum(F.col("id"))).where("fold != 0")
     # the sample is drawn by id first, so that few texts are moved
     spread = F.xxhash64("id")
@@ -211,7 +254,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         keep = keep | ((F.col("part") == part) & (F.col("r") <= (b["q"][enough - 1] if enough < 100 else 2**63 - 1)))
     few = room.where(keep).select("id", "toxic", "fold")
     own = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    joined = own.join(F.broadcast(few), "id").select("text", "toxic", "fold", F.xxhash64("text").alias("h")).dropDuplicates(["h", "fold"])
+    joined = own.join(F.broadcast(few), "id").select("text", "toxic", "fold", F.xxhash64("text").alias("h"))
+    joined = joined.groupBy("h", "fold").agg(F.min("text").alias("text"), (F.avg("toxic") >= 0.5).cast("int").alias("toxic"))
     labelled = stored(joined.repartition(8), "toxic-sample")
     sizes = {(r["fold"], r["toxic"]): r["n"] for r in labelled.groupBy("fold", "toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     total, bad = sum(sizes.values()), sum(n for (_, t), n in sizes.items() if t)
@@ -221,14 +265,24 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         return Model({}, None, ([0.0], [prior]), prior)
     first = _part(labelled, (1, 2), per_part)
     lexicon = learn_lexicon(first, count((1, 2), 1), count((1, 2), 0))
-    assemble = VectorAssembler(inputCols=FEATURES, outputCol="x")
-    rows = lambda folds: assemble.transform(featurise(_part(labelled, folds, per_part), "text", lexicon).select("toxic", "features.*")).select("x", F.col("toxic").cast("double").alias("label"))
-    train = stored(rows((3,)).coalesce(2), "toxic-features")
-    model = GBTClassifier(featuresCol="x", labelCol="label", maxIter=trees, maxDepth=depth, stepSize=0.2, subsamplingRate=1.0, seed=17, maxBins=64, minInstancesPerNode=3, cacheNodeIds=False, checkpointInterval=-1).fit(train)
+    blob = docs.sparkSession.sparkContext.broadcast(lexicon)
+    doubles = pa.list_(pa.float64())
+
+    def measure(part, texts):
+        return pa.RecordBatch.from_arrays([pa.array(list(feature_rows(texts, blob.value)), doubles), part.column("toxic").cast(pa.float64())], ["x", "label"])
+
+    rows = lambda folds: map_texts(_part(labelled, folds, per_part).select("text", "toxic"), "text", measure, "x array<double>, label double")
+    train = stored(rows((3,)).coalesce(2), "toxic-features").select(array_to_vector("x").alias("x"), "label")
+    grown = GBTClassifier(featuresCol="x", labelCol="label", maxIter=trees, maxDepth=depth, stepSize=0.2, subsamplingRate=1.0, seed=17, maxBins=64, minInstancesPerNode=3, cacheNodeIds=False, checkpointInterval=-1).fit(train)
+    flat = Trees.of(grown)
+
+    def margins(part, texts):
+        return pa.RecordBatch.from_arrays([pa.array(flat.margins(feature_rows(texts, blob.value))), part.column("toxic").cast(pa.float64())], ["margin", "label"])
+
     # calibration on the third part; a small one is helped by the trees' own part
-    held = rows((4,)) if count((4,), 1) >= 5 and count((4,), 0) >= 5 else rows((3, 4))
-    pairs = model.transform(held).select(vector_to_array("rawPrediction")[1].alias("margin"), "label").groupBy("margin").agg(F.sum("label").alias("s"), F.count(F.lit(1)).alias("n")).orderBy("margin").collect()
-    return Model(lexicon, model, isotonic([r["margin"] for r in pairs], [r["s"] for r in pairs], [r["n"] for r in pairs]), prior)
+    held = _part(labelled, (4,) if count((4,), 1) >= 5 and count((4,), 0) >= 5 else (3, 4), per_part).select("text", "toxic")
+    pairs = map_texts(held, "text", margins, "margin double, label double").groupBy("margin").agg(F.sum("label").alias("s"), F.count(F.lit(1)).alias("n")).orderBy("margin").collect()
+    return Model(lexicon, flat, isotonic([r["margin"] for r in pairs], [r["s"] for r in pairs], [r["n"] for r in pairs]), prior)
 
 
 def isotonic(x: list[float], s: list[float], n: list[float]) -> tuple[list[float], list[float]]:
@@ -250,22 +304,17 @@ def isotonic(x: list[float], s: list[float], n: list[float]) -> tuple[list[float
 
 def score(df: DataFrame, text: str, model: Model) -> DataFrame:
     """Adds ``score`` (calibrated, 0 to 1) and ``predicted`` (1 from 0.5 on) to every row."""
-    name, flag, tmp, x, raw, pred, margin = spare(df.columns, "score", "predicted", "features", "x", "raw", "pred", "margin")
+    name, flag = spare(df.columns, "score", "predicted")
     if model.trees is None:
         return df.withColumn(name, F.lit(float(model.prior))).withColumn(flag, F.lit(int(model.prior >= 0.5)))
-    wide = featurise(df, text, model.lexicon, tmp)
-    inputs = spare(wide.columns, *(f"f_{f}" for f in FEATURES))
-    wide = wide.select("*", *(F.col(f"{tmp}.{f}").alias(g) for f, g in zip(FEATURES, inputs))).drop(tmp)
-    ready = VectorAssembler(inputCols=inputs, outputCol=x).transform(wide).drop(*inputs)
-    trees = model.trees.copy().setFeaturesCol(x).setPredictionCol(pred)
-    trees = trees._set(rawPredictionCol=raw, probabilityCol="")
-    out = trees.transform(ready).withColumn(margin, vector_to_array(raw)[1])
-    knots, values = (np.array(v) for v in model.knots)
-
-    @F.pandas_udf("double")
-    def calibrated(m: pd.Series) -> pd.Series:
+    blob = df.sparkSession.sparkContext.broadcast((model.lexicon, model.trees, *(np.array(v) for v in model.knots)))
+
+    def run(part, texts):
+        lexicon, trees, knots, values = blob.value
+        margin = trees.margins(feature_rows(texts, lexicon))
         # the margin breaks ties inside a pool by a hair, so that the order of the trees is kept
-        return pd.Series(np.clip(np.interp(m, knots, values) + 1e-6 * np.tanh(m), 0, 1))
+        scores = np.clip(np.interp(margin, knots, values) + 1e-6 * np.tanh(margin), 0, 1)
+        return pa.RecordBatch.from_arrays([*part.columns, pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], [*part.schema.names, name, flag])
 
-    kept = [c for c in out.columns if c not in (x, raw, pred, margin)]
-    return out.select(*kept, calibrated(margin).alias(name)).withColumn(flag, (F.col(name) >= 0.5).cast("int"))
+    schema = T.StructType([*df.schema.fields, T.StructField(name, T.DoubleType()), T.StructField(flag, T.IntegerType())])
+    return map_texts(df, text, run, schema)
