@@ -30,7 +30,6 @@ from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from risewatch.llm.common import map_texts, slices, spare, stored
 
@@ -309,12 +308,14 @@ def score(df: DataFrame, text: str, model: Model) -> DataFrame:
         return df.withColumn(name, F.lit(float(model.prior))).withColumn(flag, F.lit(int(model.prior >= 0.5)))
     blob = df.sparkSession.sparkContext.broadcast((model.lexicon, model.trees, *(np.array(v) for v in model.knots)))
 
-    def run(part, texts):
+    @F.arrow_udf("double")
+    def scored(texts: pa.Array) -> pa.Array:
         lexicon, trees, knots, values = blob.value
-        margin = trees.margins(feature_rows(texts, lexicon))
-        # the margin breaks ties inside a pool by a hair, so that the order of the trees is kept
-        scores = np.clip(np.interp(margin, knots, values) + 1e-6 * np.tanh(margin), 0, 1)
-        return pa.RecordBatch.from_arrays([*part.columns, pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], [*part.schema.names, name, flag])
-
-    schema = T.StructType([*df.schema.fields, T.StructField(name, T.DoubleType()), T.StructField(flag, T.IntegerType())])
-    return map_texts(df, text, run, schema)
+        out = [np.zeros(0)]
+        for _, part in slices(pa.RecordBatch.from_arrays([texts], ["text"]), "text"):
+            margin = trees.margins(feature_rows(part, lexicon))
+            # the margin breaks ties inside a pool by a hair, so that the order of the trees is kept
+            out.append(np.clip(np.interp(margin, knots, values) + 1e-6 * np.tanh(margin), 0, 1))
+        return pa.array(np.concatenate(out))
+
+    return df.withColumn(name, scored(F.col(text))).withColumn(flag, (F.col(name) >= 0.5).cast("int"))
