@@ -10,9 +10,9 @@ from risewatch.catalog.series import MOMENTUM, counts, r6
 from risewatch.operators import forecast as FC
 from risewatch.operators import graph as G
 from risewatch.operators import links, rules
-from risewatch.operators.fusion import forecast_signal
+from risewatch.operators.fusion import forecast_signal, fuse
 from risewatch.plans import backtest
-from risewatch.plans.collaborate import collaborate, link_scores
+from risewatch.plans.collaborate import blended_link_scores, collaborate
 from risewatch.plans.predict import baselines
 from risewatch.session import durable
 
@@ -323,11 +323,30 @@ def _(spark, d):
     return out.select("entity", "verdict", r6("signal_score"), r6("link_score"))
 
 
-@query("bt_07_fusion_baseline")
+# Fitted factors are beyond SQL: tests/test_blended.py holds the blended queries against plain versions.
+@query("bt_02_blended_links")
+def _(spark, d):
+    return backtest.backtest_blended_links(durable(B.directed(spark, d).select("head", "relation", "tail", "time")))
+
+
+@query("grf_18_blended_link_scores")
 def _(spark, d):
+    return blended_link_scores(durable(facts(spark, d)))
+
+
+def fusion_parts(spark, d):
+    """Momentum, blended link scores and the forecast signal of the concepts."""
     c = counts(spark, d)
-    tkg = link_scores(durable(facts(spark, d)))
-    signal = forecast_signal(FC.forecast(c))
-    return baselines(c, rankings=("fusion",), tkg=durable(tkg), forecast=durable(signal)).select(
-        "ranking", r6("precision_at_k"), r6("recall_at_k")
-    )
+    return c, durable(blended_link_scores(durable(facts(spark, d)))), durable(forecast_signal(FC.forecast(c)))
+
+
+@query("rnk_08_blended_fusion")
+def _(spark, d):
+    c, tkg, signal = fusion_parts(spark, d)
+    return fuse(share_momentum(c, holdout=6), tkg, signal, k=10).select("entity", r6("score"), r6("burst"), r6("tkg"), r6("forecast"), "pos")
+
+
+@query("bt_07_fusion_baseline")
+def _(spark, d):
+    c, tkg, signal = fusion_parts(spark, d)
+    return baselines(c, rankings=("fusion",), tkg=tkg, forecast=signal).select("ranking", r6("precision_at_k"), r6("recall_at_k"))

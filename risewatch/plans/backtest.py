@@ -7,10 +7,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from risewatch.functions.dates import month_add
-from risewatch.operators import citations, lifecycle, links, metrics, series
+from risewatch.operators import citations, generate, lifecycle, links, metrics, series
 from risewatch.operators import forecast as F_
 from risewatch.operators.bursts import burst_topk
 from risewatch.operators.core import small, top_k
+from risewatch.operators.factors import fit_factors
 from risewatch.operators.series import bin_axis, share_momentum
 from risewatch.session import durable
 
@@ -155,7 +156,39 @@ def backtest_links(
     min_train: int = 200,
 ) -> DataFrame:
     """Copy-only filtered metrics per fold; folds with too little train or no test are left out."""
+    sizes, train, test = _link_folds(facts, n_splits, test_months, step_months, embargo, mode, window, min_train)
+    return sizes.join(links.evaluate_copy_only(train, test, by=["fold"]), "fold", "left")
+
+
+def backtest_blended_links(
+    facts: DataFrame,
+    n_splits: int = 5,
+    test_months: int = 1,
+    step_months: int = 1,
+    embargo: int = 1,
+    mode: str = "expanding",
+    window: int = 24,
+    min_train: int = 200,
+    alpha: float = 0.5,
+    dim: int = 16,
+    max_iter: int = 5,
+) -> DataFrame:
+    """Filtered metrics of the blended link model beside copy-only ones, one row per fold.
+
+    The factors of all folds are fitted in one job, ``fold`` being part of every key.
+    """
     by = ["fold"]
+    sizes, train, test = _link_folds(facts, n_splits, test_months, step_months, embargo, mode, window, min_train)
+    train, test = durable(train.select("fold", "head", "relation", "tail")), durable(test.select("fold", "head", "relation", "tail"))
+    pair = tuple(durable(f) for f in fit_factors(train, by, dim, max_iter=max_iter))
+    ranks = generate.blend_ranks(links.known_queries(test, train, by), train, pair, alpha, by)
+    named = lambda df, p: df.select("fold", *[F.col(c).alias(f"{p}_{c}") for c in ("mrr", "hits_at_1", "hits_at_3", "hits_at_10")])
+    blended, copied = links.rank_metrics(ranks, by), links.evaluate_copy_only(train, test, by=by)
+    return sizes.join(named(blended, "blended"), "fold", "left").join(named(copied, "copy"), "fold", "left")
+
+
+def _link_folds(facts: DataFrame, n_splits, test_months, step_months, embargo, mode, window, min_train) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sizes and span of every fold in use, and its train and test facts."""
     folds = walk_forward(facts, rolling_origins(facts, n_splits, test_months, step_months), embargo, mode, window)
     m = F.substring("time", 1, 7)
     train, test = F.col("role") == "train", F.col("role") == "test"
@@ -172,8 +205,7 @@ def backtest_links(
     )
     sizes = durable(sizes)
     used = folds.join(F.broadcast(sizes.select("fold")), "fold", "left_semi")
-    scored = links.evaluate_copy_only(used.where(train), used.where(test), by=by)
-    return sizes.join(scored, "fold", "left")
+    return sizes, used.where(train), used.where(test)
 
 
 def backtest_links_with_fallback(facts: DataFrame, fallback: DataFrame, edge_source: str = "directed", **options):
