@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from risewatch import bindings as B
 from risewatch.catalog.registry import CITATIONS, COUNTS, DENSE, MENTIONS, query
+from risewatch.functions import sql
 from risewatch.operators import bursts, citations, lifecycle, series
 from risewatch.operators.fusion import rank_normalize
 from risewatch.session import durable
@@ -239,6 +240,27 @@ def _(spark, d):
     return bursts.kleinberg_bursts(counts(spark, d), s=1.25, gamma=0.25)
 
 
+@query(
+    "udf_03_sql_bursts",
+    f"""WITH {_tuned(1.25, 0.25)} SELECT e.entity, coalesce(max(s.weight), 0)::DOUBLE AS weight, count(s.weight) AS n_bursts
+    FROM (SELECT DISTINCT entity FROM dense) e LEFT JOIN segs s ON s.entity = e.entity GROUP BY 1""",
+)
+def _(spark, d):
+    sql.register(spark)
+    series.series_arrays(counts(spark, d)).createOrReplaceTempView("burst_series")
+    return spark.sql(
+        """SELECT entity, coalesce(array_max(transform(b, x -> x.weight)), 0D) AS weight, cast(size(b) AS bigint) AS n_bursts
+        FROM (SELECT entity, burst_array(x, 1.25D, 0.25D) AS b FROM burst_series)"""
+    )
+
+
+@query("udf_04_sql_burst_rows", f"""WITH {_tuned(1.25, 0.25)} SELECT entity, s::INT AS "start", e::INT AS "end", weight FROM segs""")
+def _(spark, d):
+    sql.register(spark)
+    series.series_arrays(counts(spark, d)).createOrReplaceTempView("burst_series")
+    return spark.sql("SELECT entity, b.start, b.`end`, b.weight FROM burst_series, LATERAL burst_rows(x, 1.25D, 0.25D) AS b")
+
+
 @query(
     "rnk_04_burst_topk",
     f"""WITH {_tuned(1.25, 0.25)} SELECT e.entity, coalesce(max(s.weight), 0)::DOUBLE AS weight, count(s.weight)::INT AS n_bursts,

@@ -4,45 +4,37 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from risewatch.functions.numeric import poisson_cost
 from risewatch.operators.core import top_k
 from risewatch.operators.series import series_arrays
 
 
-def _state_path(x: Column, n: Column, s: float, gamma: float) -> Column:
-    """Cheapest state sequence as a string of 0 and 1; ties go to state 0."""
-    mean = F.aggregate(x, F.lit(0.0), lambda a, v: a + v) / n
-    tau = F.when(n > 1, gamma * F.log(n.cast("double"))).otherwise(0.0)
-    start = F.struct(
-        F.lit(0.0).alias("c0"),
-        F.lit(0.0).alias("c1"),
-        F.lit("").alias("p0"),
-        F.lit("").alias("p1"),
-        mean.alias("rate"),
-        tau.alias("tau"),
-    )
+_NONE = "cast(array() as array<int>)"
 
-    def step(acc: Column, v: Column) -> Column:
-        first = acc["p0"] == ""
-        e0 = poisson_cost(v, acc["rate"])
-        e1 = poisson_cost(v, acc["rate"] * s)
-        stay0 = first | (acc["c0"] <= acc["c1"] + acc["tau"])
-        from0 = first | (acc["c0"] + acc["tau"] <= acc["c1"])
-        return F.struct(
-            (e0 + F.when(first, 0.0).when(stay0, acc["c0"]).otherwise(acc["c1"] + acc["tau"])).alias("c0"),
-            (e1 + F.when(first, 0.0).when(from0, acc["c0"] + acc["tau"]).otherwise(acc["c1"])).alias("c1"),
-            F.concat(F.when(stay0, acc["p0"]).otherwise(acc["p1"]), F.lit("0")).alias("p0"),
-            F.concat(F.when(from0, acc["p0"]).otherwise(acc["p1"]), F.lit("1")).alias("p1"),
-            acc["rate"].alias("rate"),
-            acc["tau"].alias("tau"),
-        )
-
-    return F.aggregate(
-        x, start, step, lambda a: F.when(a["rate"] <= 0, "").when(a["c0"] <= a["c1"], a["p0"]).otherwise(a["p1"])
-    )
+
+def burst_sql(x: str, n: str, s: str, gamma: str) -> str:
+    """SQL text of the burst segments of ``x`` (array of counts) over ``n`` bins: array of (start, end, weight).
+
+    The cheapest path into each state is kept as the list of bins where it changes state, so a step that stays in its
+    state copies nothing; ties go to state 0. Without any count there is no segment.
+    """
+    x, n, s, gamma = f"({x})", f"cast({n} as int)", f"cast({s} as double)", f"cast({gamma} as double)"
+    cost = lambda rate: f"CASE WHEN {rate} > 0 THEN {rate} - v * ln({rate}) WHEN v = 0 THEN 0D ELSE double('Infinity') END"
+    stay, enter = "a.t = 0 OR a.c0 <= a.c1 + a.tau", "a.t = 0 OR a.c0 + a.tau <= a.c1"
+    changes = f"""aggregate({x},
+      named_struct('t', 0, 'c0', 0D, 'c1', 0D, 'p0', {_NONE}, 'p1', {_NONE},
+        'rate', IF({n} > 0, aggregate({x}, 0D, (a, v) -> a + v) / greatest({n}, 1), 0D), 'tau', IF({n} > 1, {gamma} * ln(greatest({n}, 1)), 0D)),
+      (a, v) -> named_struct('t', a.t + 1,
+        'c0', {cost("a.rate")} + CASE WHEN a.t = 0 THEN 0D WHEN {stay} THEN a.c0 ELSE a.c1 + a.tau END,
+        'c1', {cost(f"(a.rate * {s})")} + CASE WHEN a.t = 0 THEN 0D WHEN {enter} THEN a.c0 + a.tau ELSE a.c1 END,
+        'p0', IF({stay}, a.p0, concat(a.p1, array(a.t))), 'p1', IF({enter}, concat(a.p0, array(a.t)), a.p1), 'rate', a.rate, 'tau', a.tau),
+      a -> CASE WHEN a.rate <= 0 THEN {_NONE} WHEN a.c0 <= a.c1 THEN a.p0 ELSE a.p1 END)"""
+    # a burst begins at every other change and ends before the next, or with the series
+    start, length = "get(w, i - 1)", f"(coalesce(get(w, i), {n}) - get(w, i - 1))"
+    return f"""transform(array({changes}), w -> IF(size(w) = 0, cast(array() as array<struct<start: int, `end`: int, weight: double>>),
+      transform(sequence(1, greatest(size(w), 1), 2), i -> named_struct('start', {start}, 'end', {start} + {length} - 1, 'weight', array_max(slice({x}, {start} + 1, {length}))))))[0]"""
 
 
 def burst_arrays(
@@ -54,25 +46,8 @@ def burst_arrays(
     axis: DataFrame | None = None,
 ) -> DataFrame:
     """Per entity the array ``bursts`` of ``(start, end, weight)``; bins count from 0, ends included."""
-    rows = series_arrays(counts, by, holdout, axis).withColumn("_path", _state_path(F.col("x"), F.col("n"), s, gamma))
-    at = lambda i: F.substr(F.col("_path"), i, F.lit(1))
-    spots = F.sequence(F.lit(1), F.length("_path"))
-    starts = F.filter(spots, lambda i: (at(i) == "1") & ((i == 1) | (at(i - 1) == "0")))
-    ends = F.filter(spots, lambda i: (at(i) == "1") & ((i == F.length("_path")) | (at(i + 1) == "0")))
-    segments = F.transform(
-        F.arrays_zip("_starts", "_ends"),
-        lambda z: F.struct(
-            (z["_starts"] - 1).alias("start"),
-            (z["_ends"] - 1).alias("end"),
-            F.array_max(F.slice(F.col("x"), z["_starts"], z["_ends"] - z["_starts"] + 1)).alias("weight"),
-        ),
-    )
-    none = F.array().cast("array<int>")
-    return (
-        rows.withColumn("_starts", F.when(F.col("_path") != "", starts).otherwise(none))
-        .withColumn("_ends", F.when(F.col("_path") != "", ends).otherwise(none))
-        .select(*by, "entity", segments.alias("bursts"))
-    )
+    rows = series_arrays(counts, by, holdout, axis)
+    return rows.select(*by, "entity", F.expr(burst_sql("x", "n", repr(float(s)), repr(float(gamma)))).alias("bursts"))
 
 
 def kleinberg_bursts(counts: DataFrame, s: float = 2.0, gamma: float = 1.0, **options) -> DataFrame:

@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from risewatch.operators.core import small
 from risewatch.session import durable
 
-SALTS = 16
-HUB_PATHS = 1_000_000  # two-hop paths through one node beyond which its edges are spread over several tasks
+HUB_PATHS = 100_000  # two-hop paths through one node beyond which its paths are no longer listed
 
 
 def edge_first(facts: DataFrame) -> DataFrame:
@@ -73,30 +72,97 @@ def mine_implication(edges: DataFrame) -> DataFrame:
     )
 
 
-def _two_hop(edges: DataFrame) -> DataFrame:
-    """Paths x -r1-> y -r2-> z with x != z; edges of busy middle nodes are salted."""
+def _heavy(edges: DataFrame) -> DataFrame:
+    """Middles with more than ``HUB_PATHS`` paths (in x out degree): ``y, heavy``, stored."""
     ins = edges.groupBy(F.col("tail").alias("y")).agg(F.count(F.lit(1)).alias("_i"))
     outs = edges.groupBy(F.col("head").alias("y")).agg(F.count(F.lit(1)).alias("_o"))
-    busy = ins.join(outs, "y").where(F.col("_i") * F.col("_o") > HUB_PATHS).select("y", F.lit(True).alias("_busy"))
-    a = edges.select(F.col("head").alias("x"), F.col("relation").alias("r1"), F.col("tail").alias("y"), F.col("time").alias("t1"))
-    b = edges.select(F.col("head").alias("y"), F.col("relation").alias("r2"), F.col("tail").alias("z"), F.col("time").alias("t2"))
-    salt = F.when(F.col("_busy"), F.pmod(F.xxhash64("x", "r1"), F.lit(SALTS))).otherwise(F.lit(0).cast("bigint"))
-    last = F.when(F.col("_busy"), F.lit(SALTS - 1)).otherwise(F.lit(0)).cast("bigint")
-    left = a.join(busy, "y", "left").withColumn("_s", salt).drop("_busy")
-    right = b.join(busy, "y", "left").withColumn("_s", F.explode(F.sequence(F.lit(0).cast("bigint"), last))).drop("_busy")
-    return left.join(right, ["y", "_s"]).where("x <> z")
+    return durable(ins.join(outs, "y").where(F.col("_i") * F.col("_o") > HUB_PATHS).select("y", F.lit(True).alias("heavy")))
 
 
-def mine_transitivity(edges: DataFrame) -> DataFrame:
-    """Share of the (x, z) pairs linked by r1 then r2 that are closed by a later r1 edge."""
-    # A path only matters through the earliest moment both of its edges exist.
-    bodies = _two_hop(edges).groupBy("r1", "r2", "x", "z").agg(F.min(F.greatest("t1", "t2")).alias("ready"))
-    heads = edges.select(F.col("head").alias("x"), F.col("relation").alias("r1"), F.col("tail").alias("z"), F.col("time").alias("t3"))
-    per = (
-        bodies.join(heads, ["x", "r1", "z"], "left")
+def _ends(edges: DataFrame, a: str, r: str, b: str, t: str) -> DataFrame:
+    return edges.select(*(F.col(c).alias(n) for c, n in zip(("head", "relation", "tail", "time"), (a, r, b, t))))
+
+
+def _listed(edges: DataFrame) -> DataFrame:
+    """``r1, r2, body, support`` from a list of all paths, where no middle is heavy.
+
+    A path only matters through the earliest moment both of its edges exist.
+    """
+    paths = _ends(edges, "x", "r1", "y", "t1").join(_ends(edges, "y", "r2", "z", "t2"), "y").where("x <> z")
+    bodies = paths.groupBy("r1", "r2", "x", "z").agg(F.min(F.greatest("t1", "t2")).alias("ready"))
+    return (
+        bodies.join(_ends(edges, "x", "r1", "z", "t3"), ["x", "r1", "z"], "left")
         .groupBy("r1", "r2")
         .agg(F.count(F.lit(1)).alias("body"), F.count_if(F.col("ready") < F.col("t3")).alias("support"))
     )
+
+
+def _bodies(edges: DataFrame, heavy: DataFrame) -> DataFrame:
+    """Number of distinct pairs (x, z), x != z, joined by r1 then r2: ``r1, r2, body``.
+
+    Paths through light middles are listed; each middle has at most ``HUB_PATHS``. What an x reaches through heavy
+    middles depends only on the set of them, so it is listed once for each distinct set (known by its size and two
+    hashes), and every x with that set counts it. Light pairs that the heavy set reaches too are not counted twice.
+    """
+    heavy = small(heavy)
+    mark = lambda df: durable(df.join(heavy, "y", "left").withColumn("heavy", F.coalesce("heavy", F.lit(False))))
+    first, second = mark(_ends(edges, "x", "r1", "y", "t1").drop("t1")), mark(_ends(edges, "y", "r2", "z", "t2").drop("t2"))
+    light = first.where("not heavy").drop("heavy").join(second.where("not heavy").drop("heavy"), "y").where("x <> z").select("r1", "r2", "x", "z").distinct()
+    sets = first.where("heavy").groupBy("x", "r1").agg(
+        F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64(F.lit(1), "y")).alias("s1"), F.bit_xor(F.xxhash64(F.lit(2), "y")).alias("s2")
+    )
+    sets = durable(sets)
+    key = ["r1", "m", "s1", "s2"]
+    kinds = sets.groupBy(*key).agg(F.min("x").alias("x"), F.count(F.lit(1)).alias("users"))
+    middles = durable(kinds.join(first.where("heavy").drop("heavy"), ["x", "r1"]).select(*key, "y"))
+    reach = durable(second.where("heavy").drop("heavy").join(small(middles), "y").select(*key, "r2", "z").distinct())
+    sizes = reach.groupBy(*key, "r2").agg(F.count(F.lit(1)).alias("n"))
+    through = kinds.join(sizes, key).groupBy("r1", "r2").agg(F.sum(F.col("users") * F.col("n")).alias("n"))
+    back = sets.withColumnRenamed("x", "z").join(reach, [*key, "z"]).groupBy("r1", "r2").agg((-F.count(F.lit(1))).alias("n"))
+    both = light.join(sets, ["x", "r1"]).join(reach, [*key, "r2", "z"], "left_semi").select("r1", "r2", "x", "z")
+    alone = light.groupBy("r1", "r2").agg(F.count(F.lit(1)).alias("n")).unionByName(both.groupBy("r1", "r2").agg((-F.count(F.lit(1))).alias("n")))
+    return through.unionByName(back).unionByName(alone).groupBy("r1", "r2").agg(F.sum("n").alias("body"))
+
+
+def _closed(edges: DataFrame) -> DataFrame:
+    """Triples ``r1, r2, x, z``: x -r1-> y -r2-> z, and later x -r1-> z, for some y.
+
+    Each triangle is listed at its node of least degree, so a hub is never the middle of a listed pair and no node has
+    more than the square root of twice the edges to be paired.
+    """
+    ends = edges.select(F.explode(F.array("head", "tail")).alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("deg"))
+    known = edges.where("head <> tail")
+    known = known.join(ends.toDF("head", "dh"), "head").join(ends.toDF("tail", "dt"), "tail")
+    out = F.struct("dh", "head") < F.struct(F.col("dt").alias("dh"), F.col("tail").alias("head"))  # the head is the lesser end
+    half = durable(known.select(F.when(out, F.col("head")).otherwise(F.col("tail")).alias("low"), F.when(out, F.col("tail")).otherwise(F.col("head")).alias("high"), out.alias("out"), "relation", "time"))
+    side = lambda forward, *names: half.where(F.col("out") == forward).select("low", *(F.col(c).alias(n) for c, n in zip(("high", "relation", "time"), names)))
+    third = lambda *names: _ends(edges, *names)
+    later = (F.col("t1") < F.col("t3")) & (F.col("t2") < F.col("t3"))
+    found = ["r1", "r2", "x", "z"]
+    # least node x: both r1 edges leave it
+    at_x = side(True, "y", "r1", "t1").join(side(True, "z", "r1", "t3"), ["low", "r1"]).where("y <> z and t1 < t3")
+    at_x = at_x.join(third("y", "r2", "z", "t2"), ["y", "z"]).where(later).select("r1", "r2", F.col("low").alias("x"), "z")
+    # least node y: one edge comes, one leaves
+    at_y = side(False, "x", "r1", "t1").join(side(True, "z", "r2", "t2"), "low").where("x <> z")
+    at_y = at_y.join(third("x", "r1", "z", "t3"), ["x", "r1", "z"]).where(later).select(*found)
+    # least node z: both edges come
+    at_z = side(False, "x", "r1", "t3").join(side(False, "y", "r2", "t2"), "low").where("x <> y and t2 < t3")
+    at_z = at_z.join(third("x", "r1", "y", "t1"), ["x", "r1", "y"]).where(later).select("r1", "r2", "x", F.col("low").alias("z"))
+    # y = x: an edge of x to itself, then r2, closed by r1
+    loops = edges.where("head = tail").select(F.col("head").alias("x"), F.col("relation").alias("r1"), F.col("time").alias("t1"))
+    at_loop = loops.join(third("x", "r1", "z", "t3"), ["x", "r1"]).where("x <> z").join(third("x", "r2", "z", "t2"), ["x", "z"]).where(later).select(*found)
+    return at_x.unionByName(at_y).unionByName(at_z).unionByName(at_loop).distinct()
+
+
+def mine_transitivity(edges: DataFrame) -> DataFrame:
+    """Share of the (x, z) pairs linked by r1 then r2 that are closed by a later r1 edge."""
+    edges = durable(edges)
+    heavy = _heavy(edges)
+    if heavy.isEmpty():
+        per = _listed(edges)
+    else:
+        support = _closed(edges).groupBy("r1", "r2").agg(F.count(F.lit(1)).alias("support"))
+        per = _bodies(edges, heavy).join(support, ["r1", "r2"], "left")
     return (
         _relation_pairs(edges)
         .join(per, ["r1", "r2"], "left")
