@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from risewatch.operators.core import attach, global_rank, total
+from risewatch.operators.pairs import cells_of_pairs, frequent_cells, pairs_in
 from risewatch.schemas import DIRECTED_TYPES, DOC_TYPES, EDGE_RELATIONS, NODE_TYPES, PAIR_RELATIONS
 from risewatch.session import durable
 
@@ -63,12 +64,29 @@ def _salted_pairs(rows: DataFrame) -> DataFrame:
 def pair_support(docs: DataFrame, min_cooccur: int = 2, hub_size: int = HUB_SIZE) -> DataFrame:
     """Documents per unordered concept pair, pairs below ``min_cooccur`` removed.
 
-    Ordinary documents emit their pairs from one bounded array. Hub documents are never expanded alone: a pair
-    is kept only if enough documents hold it, so hub rows matter only for (1) pairs already seen in an ordinary
-    document, looked up by both ends, and (2) concepts that occur in at least ``min_cooccur`` hubs.
+    Ordinary documents emit their pairs from one bounded array, but only pairs that may be frequent: concepts of
+    too few documents go first, then pairs whose hashed cell was counted too seldom, so what is shuffled is close to the
+    pairs that stay. Hub documents are never expanded alone: a pair is kept only if enough documents hold it, so hub rows
+    matter only for (1) pairs already seen in an ordinary document, looked up by both ends, and (2) concepts that occur
+    in at least ``min_cooccur`` hubs. A pair of concepts that hubs hold too is never pruned by its cell.
     """
+    if min_cooccur > 1:
+        often = docs.groupBy("concept").agg(F.count(F.lit(1)).alias("_d")).where(F.col("_d") < min_cooccur).select("concept")
+        docs = docs.join(often, "concept", "left_anti")
     arrays, hubs = _split_hubs(docs, hub_size)
-    seen = _array_pairs(arrays).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    if min_cooccur > 1:
+        arrays, hubs = durable(arrays), durable(hubs)
+        cells, flag = frequent_cells(arrays, min_cooccur), None
+        if not hubs.isEmpty():
+            flag = "in_hubs"
+            rows = arrays.select("doc", F.posexplode("concepts").alias("at", "concept"))
+            marked = rows.join(hubs.select("concept").distinct().withColumn(flag, F.lit(True)), "concept", "left").fillna(False, [flag])
+            flags = marked.groupBy("doc").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", flag))), lambda x: x[flag]).alias(flag))
+            arrays = arrays.join(flags, "doc")
+        pairs = pairs_in(arrays, cells, flag)
+    else:
+        pairs = _array_pairs(arrays)
+    seen = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
     frequent = hubs.groupBy("concept").agg(F.count(F.lit(1)).alias("_in")).where(F.col("_in") >= min_cooccur)
     only_hubs = (
         _salted_pairs(hubs.join(frequent.select("concept"), "concept", "left_semi")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("h"))
@@ -130,7 +148,7 @@ def pair_facts(docs: DataFrame, kept: DataFrame, relation: str = "relates_to", h
     """One fact per direction for every dated document holding a kept pair."""
     arrays, hubs = _split_hubs(docs, hub_size)
     times = hubs.groupBy("doc").agg(F.min("time").alias("time"))
-    dated = _array_pairs(arrays.where("time is not null")).join(kept.select("a", "b"), ["a", "b"], "left_semi")
+    dated = pairs_in(arrays.where("time is not null"), cells_of_pairs(kept)).join(kept.select("a", "b"), ["a", "b"], "left_semi")
     in_hubs = (
         _hub_hits(hubs, kept.select("a", "b")).join(times.where("time is not null"), "doc").select("doc", "time", "a", "b")
     )
