@@ -5,10 +5,12 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from risewatch.functions.text import blank_to_null, fallback_id, normalize_name
+from risewatch.operators.core import small
 from risewatch.schemas import MATCH_TARGET
 from risewatch.session import durable
 
@@ -89,13 +91,19 @@ def indel_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
+#: A piece of an anchor is hot when more anchors of its type and length have it at its place; so many share a task.
+HOT_PIECE = 1000
+
+
 def fuzzy_pairs(names: DataFrame, anchors: DataFrame, threshold: float = 0.90) -> DataFrame:
     """All (name, anchor) pairs with similarity at or above the threshold, found without a theta join.
 
     A pair at similarity ``t`` needs at most ``k = floor((1 - t)(la + lb))`` insertions and deletions, and its
-    lengths differ by at most the factor ``t / (2 - t)``. Cutting the anchor into ``k + 1`` pieces leaves one
-    piece untouched, found in the name at an offset of at most ``k``. That is an equi-join on
-    (type, anchor length, piece number, piece), and it loses no pair.
+    lengths differ by at most the factor ``t / (2 - t)``. Cutting the anchor into ``k + 2`` pieces leaves two of them
+    untouched, found in the name at an offset of at most ``k``; so the most frequent piece of an anchor need not be
+    entered (an anchor too short for that is cut into ``k + 1`` and entered whole). That is an equi-join on
+    (type, anchor length, piece number, piece), and it loses no pair. Pieces that are still hot are split over tasks,
+    and pairs are held to the edit distance before they are shuffled.
     """
     t = threshold
     eps = 1e-9
@@ -104,36 +112,41 @@ def fuzzy_pairs(names: DataFrame, anchors: DataFrame, threshold: float = 0.90) -
         longest = F.floor(length * ((2 - t) / t) + eps)
         return F.floor((1 - t) * (length + longest) + eps).cast("int")
 
-    def piece_start(length: Column, parts: Column, i: Column) -> Column:
-        return F.floor(length * i / parts).cast("int")
+    def parts(length: Column) -> Column:
+        return budget(length) + F.when(budget(length) + 2 <= length, 2).otherwise(1)
+
+    def piece_start(length: Column, i: Column) -> Column:
+        return F.floor(length * i / parts(length)).cast("int")
 
     a = anchors.select("type", F.col("norm").alias("anchor_norm"), "anchor_entity", "anchor_id").where(
         F.length("anchor_norm") > 0
     )
     la = F.length("anchor_norm")
     pieces = F.transform(
-        F.sequence(F.lit(0), budget(la)),
+        F.sequence(F.lit(0), parts(la) - 1),
         lambda i: F.struct(
-            i.alias("piece"),
-            F.substr(
-                F.col("anchor_norm"),
-                piece_start(la, budget(la) + 1, i) + 1,
-                piece_start(la, budget(la) + 1, i + 1) - piece_start(la, budget(la) + 1, i),
-            ).alias("text"),
+            i.alias("piece"), F.substr(F.col("anchor_norm"), piece_start(la, i) + 1, piece_start(la, i + 1) - piece_start(la, i)).alias("text")
         ),
     )
-    left = a.select("*", la.alias("alen"), F.explode(pieces).alias("p")).select(
-        "type", "anchor_norm", "anchor_entity", "anchor_id", "alen", F.col("p.piece").alias("piece"), F.col("p.text").alias("text")
-    )
+    key = ["type", "alen", "piece", "text"]
+    cut = durable(a.select("*", la.alias("alen"), F.explode(pieces).alias("p")).select(*a.columns, "alen", "p.piece", "p.text"))
+    # at most one piece in HOT_PIECE is hot
+    hot = small(durable(cut.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > HOT_PIECE)))
+    seen = cut.join(hot, key, "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+    most = F.max_by("piece", F.struct("_n", -F.length("text"), -F.col("piece"))).over(W.partitionBy("type", "anchor_norm", "anchor_entity", "anchor_id"))
+    entered = seen.withColumn("_most", most).where((F.col("piece") != F.col("_most")) | (parts(F.col("alen")) == budget(F.col("alen")) + 1))
+    tasks = lambda n: F.greatest(F.lit(1), F.ceil(n / HOT_PIECE)).cast("int")
+    left = entered.withColumn("_task", F.pmod(F.xxhash64("anchor_norm"), tasks(F.col("_n"))).cast("int")).drop("_n", "_most")
     ln = F.length("norm")
     lengths = F.sequence(F.ceil(ln * (t / (2 - t)) - eps).cast("int"), F.floor(ln * ((2 - t) / t) + eps).cast("int"))
     probe = (
         names.where(ln > 0)
         .select("type", "norm", F.explode(lengths).alias("alen"))
+        .where("alen > 0")
         .withColumn("k", budget(F.col("alen")))
-        .select("type", "norm", "alen", "k", F.explode(F.sequence(F.lit(0), F.col("k"))).alias("piece"))
-        .withColumn("at", piece_start(F.col("alen"), F.col("k") + 1, F.col("piece")))
-        .withColumn("size", piece_start(F.col("alen"), F.col("k") + 1, F.col("piece") + 1) - F.col("at"))
+        .select("type", "norm", "alen", "k", F.explode(F.sequence(F.lit(0), parts(F.col("alen")) - 1)).alias("piece"))
+        .withColumn("at", piece_start(F.col("alen"), F.col("piece")))
+        .withColumn("size", piece_start(F.col("alen"), F.col("piece") + 1) - F.col("at"))
         .withColumn("lo", F.greatest(F.lit(0), F.col("at") - F.col("k")))
         .withColumn("hi", F.least(ln - F.col("size"), F.col("at") + F.col("k")))
         .where("lo <= hi")
@@ -148,14 +161,17 @@ def fuzzy_pairs(names: DataFrame, anchors: DataFrame, threshold: float = 0.90) -
                 )
             ).alias("text"),
         )
+        .join(hot, key, "left")
+        .withColumn("_task", F.explode(F.sequence(F.lit(0), tasks(F.coalesce("_n", F.lit(0))) - 1)))
+        .drop("_n")
     )
-    pairs = (
-        probe.join(left, ["type", "alen", "piece", "text"])
+    room = F.floor((1 - t) * (F.length("norm") + F.length("anchor_norm")) + eps).cast("int")
+    near = (
+        probe.join(left, [*key, "_task"])
+        .where(F.levenshtein("norm", "anchor_norm") <= room)  # edits never exceed insertions + deletions
         .groupBy("type", "norm", "anchor_norm")
         .agg(F.min("anchor_entity").alias("anchor_entity"), F.min("anchor_id").alias("anchor_id"))
     )
-    room = F.floor((1 - t) * (F.length("norm") + F.length("anchor_norm")) + eps).cast("int")
-    near = pairs.where(F.levenshtein("norm", "anchor_norm") <= room)  # edits never exceed insertions + deletions
     return near.withColumn("score", indel_similarity(F.col("norm"), F.col("anchor_norm"))).where(F.col("score") >= t)
 
 
