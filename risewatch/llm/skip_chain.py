@@ -72,7 +72,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
                 last = m.end()
                 out.append((start, 0, last))
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in m[0].split(".")):
             out.append((m.start(), 1, m.end()))
     for m in _CARD.finditer(text):
         if 12 <= len(d := _digits(m[0])) <= 19 and luhn(d):

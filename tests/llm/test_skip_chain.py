@@ -79,3 +79,11 @@ def test_beliefs_agree_on_a_tree():
     want = [joint.sum(tuple(k for k in range(4) if k != i)) for i in range(4)]
     got = S.beliefs(unary, edges, table, rounds=60)
     assert np.allclose(got, [w / w.sum() for w in want], atol=1e-6)
+
+
+def test_very_long_digit_runs():
+    """Numbers of more digits than an integer may be read from."""
+    for text in ("0" * 10_000 + ".1.2.3", "1." * 3000 + "2", "9" * 10_000, "0" * 5000 + "7.0000255.0.256"):
+        spans = S.base_spans(text)
+        assert all(text[s:e] for s, _, e in spans)
+    assert S.base_spans("0" * 5000 + ".1.2.255") == [(0, 1, 5008)]
