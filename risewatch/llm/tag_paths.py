@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections import defaultdict
 
 import numpy as np
@@ -56,7 +57,10 @@ SCOPE = frozenset("html body table td th article section main div".split())
 #: Start tags that close an open element of the same list entry.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|\Z)", re.S)
+_OPEN = re.compile(r"<(?:!--|[!?]|(/?)[a-zA-Z])")
+_NAME_END = re.compile(r"[\s/>]")
+#: What ends a tag or begins a quoted value.
+_STOP = re.compile(r"[>\"']")
 _MARK = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、！？；：]")
@@ -81,6 +85,55 @@ def barred(name: str, attributes: str, words: frozenset[str]) -> int:
     return found
 
 
+class Tags:
+    """Tags of a page in order, each character read a bounded number of times.
+
+    A tag ends at the first ``>`` outside quotes. Without one, or with a quote that never closes, the ``<`` is text. What
+    is found from a mark outside quotes is remembered, and a mark known not to follow is not sought.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.last = page, {c: page.rfind(c) for c in ">\"'"}
+        self.stops = [m.start() for m in _STOP.finditer(page)]
+        self.cut = 0  # where the name that is being read ends
+        self.known: dict[int, int] = {}  # mark outside quotes -> end of a tag that goes on there
+
+    def end(self, at: int) -> int:
+        """The place after the ``>`` that ends a tag whose attributes begin at ``at``, or -1."""
+        page, last, passed, out = self.page, self.last, [], -1
+        while at <= last[">"]:
+            stop = self.stops[bisect_left(self.stops, at)]
+            if stop in self.known:
+                out = self.known[stop]
+                break
+            passed.append(stop)
+            mark = page[stop]
+            if mark == ">":
+                out = stop + 1
+                break
+            if stop == last[mark]:
+                break
+            at = page.find(mark, stop + 1) + 1
+        self.known.update(dict.fromkeys(passed, out))
+        return out
+
+    def next(self, at: int) -> tuple[int, int, str, bool, str] | None:
+        """(start, end, name, whether it closes, attributes) of the next tag or comment from ``at``; a comment has no name."""
+        page = self.page
+        while m := _OPEN.search(page, at):
+            if m[1] is None:
+                close = page.find("-->", m.end()) if m[0] == "<!--" else page.find(">", m.end())
+                return m.start(), len(page) if close < 0 else close + (3 if m[0] == "<!--" else 1), "", False, ""
+            if self.cut < m.end():
+                found = _NAME_END.search(page, m.end())
+                self.cut = found.start() if found else len(page)
+            end = self.end(self.cut)
+            if end >= 0:
+                return m.start(), end, page[m.end() - 1 : self.cut].lower(), bool(m[1]), page[self.cut : end - 1]
+            at = m.start() + 1
+        return None
+
+
 def blocks(page: str, words: frozenset[str]) -> list[tuple[str, tuple[int, ...], tuple[str, ...], tuple[tuple[int, int], ...]]]:
     """(text, elements' numbers from the root, their names, what bars it) of each block with text, in page order; the
     last are the elements here or above that bar, with their reasons."""
@@ -121,16 +174,17 @@ def blocks(page: str, words: frozenset[str]) -> list[tuple[str, tuple[int, ...],
             if stack[i][0] in stop:
                 return
 
+    tags = Tags(page)
     while at < len(page):
-        m = _TAG.search(page, at)
-        if m is None:
+        tag = tags.next(at)
+        if tag is None:
             say(page[at:])
             break
-        say(page[at : m.start()])
-        at = m.end()
-        if not m[2]:
+        start, after, name, end, attributes = tag
+        say(page[at:start])
+        at = after
+        if not name:
             continue
-        name, end = m[2].lower(), bool(m[1])
         if name == "br":
             say(" ")
             continue
@@ -148,16 +202,17 @@ def blocks(page: str, words: frozenset[str]) -> list[tuple[str, tuple[int, ...],
                 close(CLOSES[name], frozenset(("ul", "ol", "dl", "table", "select")))
             while stack and stack[-1][0] not in BLOCK:
                 stack.pop()
-        if name in VOID or m[3].endswith("/") and name not in BLOCK:
+        if name in VOID or attributes.endswith("/") and name not in BLOCK:
             continue
         if name in RAW:
-            stop = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
-            at = stop.end() if stop else len(page)
+            stop = re.compile(rf"</{re.escape(name)}\b", re.I).search(page, at)
+            at = page.find(">", stop.end()) + 1 if stop else 0
+            at = at or len(page)
             continue
         count += 1
         above = stack[-1][2] if stack else None
         # below an element barred by its kind nothing can be kept
-        bar = 0 if above and above[1] == KIND else barred(name, m[3], words)
+        bar = 0 if above and above[1] == KIND else barred(name, attributes, words)
         if bar and name not in BLOCK and not above:
             flush()
         stack.append((name, count, (count, bar, above) if bar else above))

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from risewatch.llm.tag_paths import WORDS, blocks, extract
@@ -75,3 +77,19 @@ def test_names_that_bar(name):
 
 def test_many_open_elements_with_a_name():
     assert extract(f"<article>{BODY}" + "<div class=ad>" * 20_000 + LONG).split("\n") == PARAGRAPHS
+
+
+@pytest.mark.parametrize("page", ["<a" * 50_000, "<" * 100_000, '<a "' * 25_000, "<a 'x" * 17_000, "<a " * 33_000 + '" > "', "<div" + "A" * 100_000, "<a \"'" * 20_000 + ">", "<script>" + "</script" * 12_000])
+def test_unclosed_tags_take_linear_time(page):
+    start = time.time()
+    blocks(page, frozenset(WORDS))
+    assert time.time() - start < 2
+
+
+def test_tags_with_quotes_and_without_an_end():
+    text = lambda page: [b[0] for b in blocks(page, frozenset())]
+    assert text("<p title='a > b'>one</p><p>1 < 2</p>") == ["one", "1 < 2"]
+    assert text("<p>a <b c</p>") == ["a"]  # the tag goes on to the first >
+    assert text("<p>a <b 'c</p>") == ["a <b 'c"]
+    assert text("a<!-- <p>x</p> -->b<!-- open") == ["ab"]
+    assert text("<style>p > a {}</style >kept<script>x") == ["kept"]
