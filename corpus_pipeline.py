@@ -1,8 +1,8 @@
 """A training corpus from raw documents, in stages that each call one operator of ``risewatch.llm``.
 
 Every stage takes ``(spark, docs, sf_dir)`` and works on all that the stage before it kept. ``run`` writes each stage's
-result as Parquet into the shared folder and reads it back as the next stage's input. Extra columns pass through;
-null texts count as empty; an empty table gives an empty result.
+result as Parquet into the shared folder and reads it back as the next stage's input. Extra columns pass through
+(the last stage keeps doc_id, lang and source, which it asks for); null texts count as empty; an empty table gives an empty result.
 """
 
 from __future__ import annotations
