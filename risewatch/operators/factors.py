@@ -34,18 +34,20 @@ def start(entities: DataFrame, dim: int, seed: int) -> DataFrame:
     return entities.withColumn("vec", part)
 
 
-def _edges(train: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Counted edges with the number of parts of each end and the edge's part in it."""
+def _edges(train: DataFrame, by: Sequence[str]) -> tuple[DataFrame, dict[str, DataFrame | None]]:
+    """Counted edges with the number of parts of each end and the edge's part in it; the ends of several parts, if any."""
+    hot: dict[str, DataFrame | None] = {}
     edges = durable(train.groupBy(group_key(by).alias("_g"), "head", "tail").agg(F.count(F.lit(1)).cast("double").alias("c")))
     for end, other in (("head", "tail"), ("tail", "head")):
         many = edges.groupBy("_g", end).agg(F.count(F.lit(1)).alias("_d")).where(F.col("_d") > SPLIT)
         parts = durable(many.select("_g", end, F.ceil(F.col("_d") / SPLIT).cast("int").alias(f"_{end}_parts")))
+        hot[end] = None if parts.isEmpty() else small(parts)
+        joined = edges.withColumn(f"_{end}_parts", F.lit(None).cast("int")) if hot[end] is None else edges.join(hot[end], ["_g", end], "left")
         edges = (
-            edges.join(small(parts), ["_g", end], "left")
-            .withColumn(f"_{end}_parts", F.coalesce(f"_{end}_parts", F.lit(1)))
+            joined.withColumn(f"_{end}_parts", F.coalesce(f"_{end}_parts", F.lit(1)))
             .withColumn(f"_{end}_part", F.pmod(F.xxhash64(other), F.col(f"_{end}_parts")).cast("int"))
         )
-    return durable(edges)
+    return durable(edges), hot
 
 
 def _gram(factors: DataFrame, dim: int) -> dict[str, np.ndarray]:
@@ -68,15 +70,13 @@ def _gram(factors: DataFrame, dim: int) -> dict[str, np.ndarray]:
     return {g: m.reshape(dim, dim) for g, m in out.items()}
 
 
-def _solve(edges: DataFrame, factors: DataFrame, end: str, other: str, dim: int, reg: float) -> DataFrame:
+def _solve(edges: DataFrame, hot: dict[str, DataFrame | None], factors: DataFrame, end: str, other: str, dim: int, reg: float) -> DataFrame:
     """Vectors of ``end`` from the vectors of ``other``, as ``_g, entity, vec``; only entities with edges."""
     gram = edges.sparkSession.sparkContext.broadcast(_gram(factors, dim))
-    hot = edges.where(F.col(f"_{other}_parts") > 1).select("_g", F.col(other).alias("entity"), F.col(f"_{other}_parts").alias("_p")).distinct()
-    copies = (
-        factors.join(small(durable(hot)), ["_g", "entity"], "left")
-        .withColumn(f"_{other}_part", F.explode(F.sequence(F.lit(0), F.coalesce("_p", F.lit(1)) - 1)))
-        .select("_g", F.col("entity").alias(other), f"_{other}_part", "vec")
-    )
+    copies = factors.select("_g", F.col("entity").alias(other), "vec").withColumn(f"_{other}_part", F.lit(0))
+    if hot[other] is not None:
+        every = F.explode(F.sequence(F.lit(0), F.coalesce(f"_{other}_parts", F.lit(1)) - 1))
+        copies = copies.join(hot[other], ["_g", other], "left").withColumn(f"_{other}_part", every).drop(f"_{other}_parts")
     work = (
         edges.join(copies, ["_g", other, f"_{other}_part"])
         .select("_g", F.col(end).alias("entity"), F.col(f"_{end}_part").alias("part"), F.col(f"_{end}_parts").alias("parts"), "c", "vec")
@@ -133,6 +133,8 @@ def _solve(edges: DataFrame, factors: DataFrame, end: str, other: str, dim: int,
             yield emit([(*now, 1, finish(now[0], total))])
 
     schema = "_g string, entity string, parts int, vec array<double>"
+    if hot[end] is None:
+        return work.mapInArrow(gather, schema).select("_g", "entity", "vec")
     first = durable(work.mapInArrow(gather, schema))
     rest = first.where("parts > 1").repartition("_g", "entity").sortWithinPartitions("_g", "entity").mapInArrow(add, schema)
     return first.where("parts = 1").unionByName(rest).select("_g", "entity", "vec")
@@ -148,11 +150,11 @@ def fit_factors(
     by = list(by)
     known = train.where(F.col("head").isNotNull() & F.col("tail").isNotNull())
     every = durable((train_entities(known, by) if entities is None else entities.select(*by, "entity").distinct()).withColumn("_g", group_key(by)))
-    edges = _edges(known, by)
+    edges, hot = _edges(known, by)
     items = durable(start(edges.select("_g", F.col("tail").alias("entity")).distinct(), dim, seed))
     users = items
     for _ in range(max_iter):
-        users = durable(_solve(edges, items, "head", "tail", dim, reg))
-        items = durable(_solve(edges, users, "tail", "head", dim, reg))
+        users = durable(_solve(edges, hot, items, "head", "tail", dim, reg))
+        items = durable(_solve(edges, hot, users, "tail", "head", dim, reg))
     zero = F.array_repeat(F.lit(0.0), dim)
     return tuple(every.join(f, ["_g", "entity"], "left").select(*by, "entity", F.coalesce("vec", zero).alias("vec")) for f in (users, items))
