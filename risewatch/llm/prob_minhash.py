@@ -1,14 +1,16 @@
 """Near-duplicate classes of documents by ProbMinHash, banding and verification.
 
-Shingles are runs of five words (a shorter text is one shingle). Links are a matter of shingle sets, so every shingle
-of a text has weight 1, however often it occurs. A signature has ``SIZE``
-registers. Every shingle sends arrivals of a Poisson process whose rate is its weight, each to a random register; a
-register keeps the element of its earliest arrival, and a shingle stops once its next arrival is later than the latest
-register of its text. Two registers agree with the probability Jaccard similarity of the weighted sets; at equal weights that is the Jaccard similarity of the sets.
+Shingles are runs of five words (a shorter text is one shingle), weighted by the number of their occurrences in the
+text. A signature has ``SIZE`` registers. Every shingle sends arrivals of a Poisson process whose rate is its weight,
+each to a random register; a register keeps the element of its earliest arrival, and a shingle stops once its next
+arrival is later than the latest register of its text. Two registers agree with the probability Jaccard similarity of
+the weighted shingles: of texts without repeated shingles the Jaccard similarity of their sets; a text and the same text
+twice over are alike, as their shares of shingles are.
 
 Equal texts are one text from the start. Bands of ``ROWS`` registers are buckets. In a bucket, signatures estimate the
-similarities; a spanning forest of the likeliest pairs is verified first: the exact Jaccard similarity of the shingle
-sets must reach ``least``. Then, in the buckets whose members are not yet one class, every pair across classes with an
+similarities; a spanning forest of the likeliest pairs is verified first: the probability Jaccard similarity of the
+weighted shingles, computed from 32-bit hashes of them (two of a text's shingles fall together with a chance of 2**-32),
+must reach ``least``. Then, in the buckets whose members are not yet one class, every pair across classes with an
 estimate of ``least - SLACK`` or more is verified in place, and only links leave the task. Links make classes. A group of
 near copies so sends on a forest, not its pairs; large buckets are cut into blocks of ``BLOCK`` members, and every two
 blocks meet.
@@ -86,8 +88,8 @@ def sketch(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     def run(batches):
         for batch in batches:
             for part, texts in slices(batch, "text"):
-                grams, _, off = sets(texts)
-                who = signatures(grams, np.ones(len(grams)), off)
+                grams, count, off = sets(texts)
+                who = signatures(grams, count.astype(float), off)
                 some = np.diff(off) > 0
                 band = np.zeros((len(texts), BANDS), np.uint64)
                 for r in range(ROWS):
@@ -185,8 +187,24 @@ def _likely(signature: np.ndarray, side: np.ndarray, group: np.ndarray | None, l
     return pairs[:, np.argsort(-pairs[2], kind="stable")]
 
 
+def probability_jaccard(x: np.ndarray, y: np.ndarray) -> float:
+    """Probability Jaccard similarity of two bags (sorted, with repeats): over common elements i, the sum of
+    1 / sum over all j of max(x_j / x_i, y_j / y_i). In the order of x_j / y_j both kinds of maxima are running sums."""
+    (u, m), (v, n) = np.unique(x, return_counts=True), np.unique(y, return_counts=True)
+    _, i, j = np.intersect1d(u, v, assume_unique=True, return_indices=True)
+    a, b = m[i].astype(float), n[j].astype(float)
+    order = np.argsort(a / b, kind="stable")
+    a, b = a[order], b[order]
+    at = np.searchsorted(a / b, a / b, "left")
+    before_a, before_b = np.concatenate([[0], np.cumsum(a)]), np.concatenate([[0], np.cumsum(b)])
+    return float((1 / ((len(x) - before_a[at]) / a + (len(y) - before_b[-1] + before_b[at]) / b)).sum())
+
+
 def _alike(x: np.ndarray, y: np.ndarray, least: float) -> bool:
-    """Whether two sets (sorted, distinct) have a Jaccard similarity of ``least``."""
+    """Whether two bags (sorted, with repeats) have a probability Jaccard similarity of ``least``."""
+    if (x[1:] == x[:-1]).any() or (y[1:] == y[:-1]).any():
+        return probability_jaccard(x, y) >= least - 1e-9
+    # without repeats it is the Jaccard similarity of the sets
     if min(len(x), len(y)) < least * max(len(x), len(y)):
         return False
     both = np.concatenate([x, y])
@@ -261,7 +279,7 @@ def links_across(members: DataFrame, least: float) -> DataFrame:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """Pairs whose shingle sets have a Jaccard similarity of ``least``; ``texts`` has (uid, grams)."""
+    """Pairs whose shingles have a probability Jaccard similarity of ``least``; ``texts`` has (uid, grams)."""
     left = texts.select(F.col("uid").alias("a"), F.col("grams").alias("left"))
     right = texts.select(F.col("uid").alias("b"), F.col("grams").alias("right"))
 
@@ -302,7 +320,7 @@ def classes(docs: DataFrame, doc_id: str, text: str, least: float = 0.8) -> Data
     members = shared.join(texts.select("uid", "signature"), "uid")
     pairs = stored(forests(members, least), "pairs")
 
-    # shingle sets of the texts that are in a bucket at all
+    # shingles, with repeats, of the texts that are in a bucket at all
     wanted = shared.select("uid").distinct().join(texts.select("uid", "h1", "h2", "id"), "uid").select("uid", "h1", "h2", F.coalesce("id", "h1").alias("at"))
     few = wanted.count() <= FEW
     body = keyed(docs, doc_id, text).withColumn("at", F.coalesce("id", "h1")).join(F.broadcast(wanted) if few else wanted, ["at", "h1", "h2"])
@@ -310,9 +328,11 @@ def classes(docs: DataFrame, doc_id: str, text: str, least: float = 0.8) -> Data
     def grams(batches):
         for batch in batches:
             for part, found in slices(batch, "text"):
-                flat, _, off = sets(found)
+                flat, count, off = sets(found)
                 short = (flat >> np.uint64(32)).astype(np.uint32)
-                yield pa.RecordBatch.from_pydict({"uid": part.column(0), "grams": pa.array([np.unique(short[a:b]).tobytes() for a, b in zip(off, off[1:])], pa.binary())})
+                # the order of the short hashes is that of the long ones
+                bags = [np.repeat(short[a:b], count[a:b]).tobytes() for a, b in zip(off, off[1:])]
+                yield pa.RecordBatch.from_pydict({"uid": part.column(0), "grams": pa.array(bags, pa.binary())})
 
     shingled = stored(body.select("uid", "text").mapInArrow(grams, "uid bigint, grams binary").dropDuplicates(["uid"]), "shingles")
     links = stored(verified(pairs, shingled, least), "links")

@@ -1,5 +1,5 @@
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 
@@ -22,13 +22,19 @@ def copies(seed, groups=6, size=12, words=60):
     return [(i * 3, t) for i, t in enumerate(out)]
 
 
-def shingle_set(text):
+def shingle_bag(text):
     w = text.split()
-    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
+    return Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) or Counter([tuple(w)] if w else [])
+
+
+def probability_jaccard(x, y):
+    """By the definition, over all elements for each common one."""
+    both = [(x[j], y[j]) for j in x | y]
+    return sum(1 / sum(max(m / x[i], n / y[i]) for m, n in both) for i in x & y)
 
 
 def plain(rows, least=0.8):
-    sets = [shingle_set(t or "") for _, t in rows]
+    bags = [shingle_bag(t or "") for _, t in rows]
     root = list(range(len(rows)))
 
     def find(i):
@@ -38,8 +44,7 @@ def plain(rows, least=0.8):
 
     for i in range(len(rows)):
         for j in range(i):
-            a, b = sets[i], sets[j]
-            if (rows[i][1] or "") == (rows[j][1] or "") or (a and b and len(a & b) >= least * len(a | b) - 1e-9):
+            if (rows[i][1] or "") == (rows[j][1] or "") or probability_jaccard(bags[i], bags[j]) >= least - 1e-9:
                 x, y = sorted((find(i), find(j)))
                 root[y] = x
     groups = defaultdict(list)
@@ -96,19 +101,31 @@ def test_components(spark):
 
 
 def test_repeated_shingles(spark):
+    """Weights decide: repeating a part changes a text, repeating the whole does not."""
     rng = random.Random(8)
     line = lambda n: " ".join("".join(rng.choice("abcdefghijklm") for _ in range(7)) for _ in range(n))
     rows = []
-    for i in range(8):
-        for head, tail, times in ((50, 20, 50), (60, 40, 20)):
-            a, b = line(head), line(tail)
-            rows += [(len(rows), f"{a} {b}"), (len(rows) + 1, f"{a}{(' ' + b) * times}")]
+    for _ in range(4):
+        a, b, c = line(50), line(20), line(60)
+        rows += [(len(rows) + i, t) for i, t in enumerate((f"{a} {b}", f"{a}{(' ' + b) * 50}", c, f"{c} {c}", f"{a}{(' ' + b) * 48} {line(3)}"))]
     want = plain(rows)
-    assert len(set(want.values())) == len(rows) // 2
+    assert [want[i] for i in range(5)] == [0, 1, 2, 2, 1]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     assert {r["id"]: r["class_id"] for r in M.classes(docs, "doc_id", "text").collect()} == want
 
 
+def test_exact_probability_jaccard():
+    rng = random.Random(4)
+    for _ in range(300):
+        x, y = ([rng.randrange(1, 12) for _ in range(rng.randint(1, 30))] for _ in range(2))
+        got = M.probability_jaccard(np.sort(np.array(x, np.uint32)), np.sort(np.array(y, np.uint32)))
+        assert abs(got - probability_jaccard(Counter(x), Counter(y))) < 1e-12
+        sets = [np.unique(np.array(v, np.uint32)) for v in (x, y)]
+        for least in (0.3, 0.5, 0.8):
+            common, union = len(set(x) & set(y)), len(set(x) | set(y))
+            assert M._alike(*sets, least) == (common >= least * union - 1e-9)
+
+
 def test_floor_misses_less_than_the_bands():
     from math import comb
 
