@@ -2,12 +2,16 @@
 
 A page is read once into blocks: runs of text between block-level tags, each with the path of open elements from the
 root. For every distinct path two ratios are taken over its blocks: text length for each block, and punctuation marks
-for each block. Both are smoothed over the paths in page order, scaled to their mean and fused by a product; paths at
-or above a threshold (a share of the mean) are content paths. The outermost article and main elements are the article
-if they hold most of the content paths' text, else the deepest container (no list, no table) that holds all of it. Its
-blocks are kept, short ones too, except those in elements that are boilerplate by kind (menus, forms, asides ...) or by
-a name: a class, id or role that consists of such words (adverts, comments ...) and of neutral ones (site, left, box ...).
-A name does not bar an element that holds most of the article. The bounded lists of such names are parameters.
+for each block. Both are smoothed over the blocks in page order, averaged for each path, scaled to their mean and fused by
+a product; paths at or above a threshold (a share of the mean score of a character) are content paths.
+
+The outermost article and main elements are the article if they hold most of the content paths' text, else the deepest
+container (no list, no table) that holds all of it. Inside, a container is kept if it holds text of a content path, with
+its short blocks too; one without goes, unless it holds only headings. The cells of a table that lays out the page
+(a content block lies deeper in one of its cells) are containers. Elements go that are boilerplate by kind (menus, forms,
+asides ...) or by a name: a class, id or role that consists of such words (adverts, comments ...) and of neutral ones
+(site, left, box ...). A name does not bar an element that holds most of the article. An article's own header is a
+container, and its headings are kept. The bounded lists of such names are parameters. Text of formulas and drawings is kept.
 
 Broken markup: an unclosed inline element ends with its block, a block-level tag closes an open paragraph, end tags
 without a start are skipped, everything open is closed at the end. Whole pages are read. Null and empty pages, and pages
@@ -30,25 +34,25 @@ from risewatch.llm.common import map_texts, spare
 
 # Element names of HTML by kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template xmp iframe noembed noframes svg math".split())
+RAW = frozenset("script style textarea title noscript template xmp iframe noembed noframes desc metadata annotation annotation-xml".split())
 BLOCK = frozenset(
     "address article aside blockquote body canvas center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul caption button".split()
 )
 #: Elements that are never part of an article.
-BARRED = frozenset("nav header footer aside form menu dialog button select option script style noscript template iframe textarea head title svg math fieldset".split())
+BARRED = frozenset("nav header footer aside form menu dialog button select option script style noscript template iframe textarea head title fieldset".split())
 #: Words of class, id or role that mark boilerplate, if the whole name consists of them and of neutral words.
 WORDS = (
-    "ad ads advert adverts advertisement advertising banner promo promoted promotion sponsor sponsored comment comments commentlist disqus reply replies respond "
+    "ad ads advert adverts advertisement advertising banner promo promoted promotion sponsor sponsored comment comments commentlist thread threads disqus reply replies respond "
     "sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead cookie cookies consent notice notices gdpr newsletter subscribe subscription signup login "
     "share sharing social related recommended popular widget popup modal overlay toolbar pagination pager skip copyright complementary contentinfo search form alert"
 ).split()
 #: Words of a discussion, which may be longer than its article.
-TALK = frozenset("comment comments commentlist disqus reply replies respond".split())
+TALK = frozenset("comment comments commentlist thread threads disqus reply replies respond".split())
 NEUTRAL = frozenset(
     "site page main global top bottom left right center inner outer primary secondary first last small large mobile desktop sticky fixed inline section area block box bar row col column panel container "
     "wrapper wrap holder region zone slot unit group list lists item items link links button buttons icon icons text title heading header body post posts entry article articles story stories news "
-    "content contents media image form field input policy message the of".split()
+    "content contents media image form field input policy message user users the of".split()
 )
 #: Whole classes or ids that do.
 NAMES = frozenset("header site-header page-header siteheader topbar top-bar side-bar leftbar rightbar".split())
@@ -213,6 +217,8 @@ def blocks(page: str, words: frozenset[str]) -> list[tuple[str, tuple[int, ...],
         above = stack[-1][2] if stack else None
         # below an element barred by its kind nothing can be kept
         bar = 0 if above and above[1] == KIND else barred(name, attributes, words)
+        if name == "header" and bar == KIND and any(t in SAID for t, _, _ in stack):
+            bar = 0  # the article's own
         if bar and name not in BLOCK and not above:
             flush()
         stack.append((name, count, (count, bar, above) if bar else above))
@@ -221,36 +227,39 @@ def blocks(page: str, words: frozenset[str]) -> list[tuple[str, tuple[int, ...],
 
 
 def smooth(v: np.ndarray, radius: int = 1) -> np.ndarray:
-    """Gaussian smoothing with mirrored ends."""
-    if len(v) < 2:
-        return v
-    radius = min(radius, len(v) - 1)
-    kernel = np.exp(-0.5 * np.arange(-radius, radius + 1.0) ** 2)
-    mirrored = np.concatenate([v[radius:0:-1], v, v[-2 : -2 - radius : -1]])
-    return np.convolve(mirrored, kernel / kernel.sum(), "valid")
+    """Gaussian smoothing with repeated ends; light, as a menu may be next to the article."""
+    kernel = np.exp(-2.0 * np.arange(-radius, radius + 1.0) ** 2)
+    return np.convolve(np.pad(v, radius, mode="edge"), kernel / kernel.sum(), "valid")
 
 
 def path_scores(found: list, radius: int = 1) -> dict[tuple[str, ...], float]:
     """Fused ratio of each tag path: mean 1 before the product."""
-    size, marks, n = defaultdict(int), defaultdict(int), defaultdict(int)
-    for text, _, path, bar in found:
-        if not bar:
-            size[path] += len(text)
-            marks[path] += len(_PUNCTUATION.findall(text))
-            n[path] += 1
-    paths = list(n)
-    if not paths:
+    own = [b for b in found if not b[3]]
+    if not own:
         return {}
-    both = []
-    for total in (size, marks):
-        v = smooth(np.array([total[p] / n[p] for p in paths]), radius)
-        both.append(v / v.mean() if v.mean() > 0 else np.ones(len(v)))
-    return dict(zip(paths, (both[0] * both[1]).tolist()))
+    number: dict[tuple[str, ...], int] = {}
+    at = np.array([number.setdefault(b[2], len(number)) for b in own])
+    n, fused = np.bincount(at), np.ones(len(number))
+    for total in ([len(b[0]) for b in own], [len(_PUNCTUATION.findall(b[0])) for b in own]):
+        ratio = np.bincount(at, total) / n
+        v = np.bincount(at, smooth(ratio[at], radius)) / n
+        fused *= v / v.mean() if v.mean() > 0 else 1.0
+    return dict(zip(number, fused.tolist()))
+
+
+def content_paths(found: list, threshold: float, radius: int) -> frozenset[tuple[str, ...]]:
+    """Paths whose score is at least a share of the mean score of a character."""
+    scores = path_scores(found, radius)
+    own = [b for b in found if not b[3]]
+    mean = sum(scores[b[2]] * len(b[0]) for b in own) / max(1, sum(len(b[0]) for b in own))
+    return frozenset(p for p, score in scores.items() if score >= threshold * mean)
 
 
 #: Elements that are parts of an article, not its container.
 PARTS = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl li dt dd table caption thead tbody tfoot tr td th pre blockquote figure figcaption".split())
 SAID = ("article", "main")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+CELLS = ("td", "th")
 
 
 def cleared(found: list, threshold: float, share: float, radius: int) -> frozenset[int]:
@@ -261,8 +270,8 @@ def cleared(found: list, threshold: float, share: float, radius: int) -> frozens
     rest = [b for b in found if all(why == NAME for _, why in b[3])] or [b for b in found if all(why != KIND for _, why in b[3])]
     own = [b for b in rest if not set(SAID).isdisjoint(b[2])]
     if not own:
-        scores = path_scores([(*b[:3], ()) for b in rest], radius)
-        own = [b for b in rest if scores[b[2]] >= threshold * sum(scores.values()) / len(scores)]
+        content = content_paths([(*b[:3], ()) for b in rest], threshold, radius)
+        own = [b for b in rest if b[2] in content]
     inside: dict[int, int] = defaultdict(int)
     for text, _, _, bars in own:
         for number, _ in bars:
@@ -271,16 +280,41 @@ def cleared(found: list, threshold: float, share: float, radius: int) -> frozens
     return frozenset(n for n, size in inside.items() if size > share * total)
 
 
+def layout_tables(chosen: list) -> frozenset[int]:
+    """Tables with a content block that lies deeper in a cell."""
+    out = set()
+    for _, numbers, path, _ in chosen:
+        table, deeper = 0, False
+        for n, t in zip(reversed(numbers), reversed(path)):
+            if t == "table" and table < 0:
+                out.add(n)
+            # the cell counts for the table around it, if another element lies between it and the text
+            table = -1 if t in CELLS and deeper else 0 if t == "table" else table
+            deeper = t != "table"
+    return frozenset(out)
+
+
+def holder(numbers: tuple[int, ...], path: tuple[str, ...], layout: frozenset[int]) -> tuple[int, str]:
+    """The container of a block: its innermost element that is no part of an article; (0, "") is the page."""
+    table, cell = 0, (0, "")
+    for n, t in zip(reversed(numbers), reversed(path)):
+        if t == "table" and n in layout and cell[0]:
+            return cell
+        if t not in PARTS:
+            return n, t
+        cell = (0, "") if t == "table" else (n, t) if t in CELLS else cell
+    return 0, ""
+
+
 def extract(page: str | None, words: frozenset[str] = frozenset(WORDS), threshold: float = 0.3, share: float = 0.5, radius: int = 1) -> str:
     """Blocks of the article, one a line."""
     found = blocks(page or "", words)
     free = cleared(found, threshold, share, radius)
     found = [(*b[:3], any(n not in free for n, _ in b[3])) for b in found]
-    scores = path_scores(found, radius)
-    if not scores:
+    content = content_paths(found, threshold, radius)
+    if not content:
         return ""
-    least = threshold * sum(scores.values()) / len(scores)
-    chosen = [b for b in found if not b[3] and scores[b[2]] >= least]
+    chosen = [b for b in found if not b[3] and b[2] in content]
     inside: dict[int, int] = defaultdict(int)
     total = sum(len(b[0]) for b in chosen)
     for text, numbers, _, _ in chosen:
@@ -292,7 +326,13 @@ def extract(page: str | None, words: frozenset[str] = frozenset(WORDS), threshol
         said = set()
     groups = {n for b in chosen for n, t in zip(b[1], b[2]) if t not in PARTS}
     roots = said or {max((n for n in groups if inside[n] == total), default=0)}  # numbers grow inwards
-    return "\n".join(text for text, numbers, _, bar in found if not bar and (0 in roots or not roots.isdisjoint(numbers)))
+    rest = [b for b in found if not b[3] and (0 in roots or not roots.isdisjoint(b[1]))]
+    layout = layout_tables(chosen)
+    homes = [holder(b[1], b[2], layout) for b in rest]
+    heads = [not HEADINGS.isdisjoint(b[2]) for b in rest]
+    mixed = {n for (n, _), head in zip(homes, heads) if not head}
+    inside[0] = total
+    return "\n".join(b[0] for b, (n, name), head in zip(rest, homes, heads) if inside[n] or head and (n not in mixed or name == "header"))
 
 
 def extract_pages(df: DataFrame, column: str, **settings) -> DataFrame:

@@ -2,6 +2,7 @@ import time
 
 import pytest
 
+from risewatch.llm import tag_paths
 from risewatch.llm.tag_paths import WORDS, blocks, extract
 
 LONG = "Lorem ipsum dolor sit amet, consectetur adipiscing elit; sed do eiusmod tempor incididunt. "
@@ -93,3 +94,48 @@ def test_tags_with_quotes_and_without_an_end():
     assert text("<p>a <b 'c</p>") == ["a <b 'c"]
     assert text("a<!-- <p>x</p> -->b<!-- open") == ["ab"]
     assert text("<style>p > a {}</style >kept<script>x") == ["kept"]
+
+
+MENU = "<ul><li><a href=/>Home</a></li><li><a href=/a>About us</a></li></ul>"
+SELECTED = {
+    "menu and copyright without names": f"<body><div id=top1>{MENU}</div><div><h1>Head</h1>{BODY}<p>Short</p></div><div id=bot>Copyright 2020, all rights reserved.</div></body>",
+    "inside an article": f"<article><h1>Head</h1><div>{MENU}</div>{BODY}<p>Short</p><div>Posted in: news</div></article>",
+    "heading in a container": f"<article><div><h1>Head</h1></div><div>{BODY}<p>Short</p></div><div><h2>More</h2>{MENU}</div></article>",
+    "cell of a layout table": f"<table><tr><td>{MENU}</td><td><h1>Head</h1>{BODY}<p>Short</p></td></tr></table>",
+    "header of an article": f"<header><h1>Site</h1></header><article><header><h1>Head</h1><p>By A. Writer</p></header>{BODY}<p>Short</p></article>",
+    "comments of users": f"<article><h1>Head</h1>{BODY}<p>Short</p><div class=user-comments>{FOUR}</div><div id=c-thread>{FOUR}</div></article>",
+}
+
+
+@pytest.mark.parametrize("name", SELECTED)
+def test_ratios_select_containers(name):
+    assert extract(SELECTED[name]).split("\n") == ["Head", *PARAGRAPHS, "Short"]
+
+
+def test_flat_scores_change_the_result(monkeypatch):
+    got = [extract(page) for page in SELECTED.values()]
+    monkeypatch.setattr(tag_paths, "path_scores", lambda found, radius=1: {b[2]: 1.0 for b in found if not b[3]})
+    assert [a != extract(page) for a, page in zip(got, SELECTED.values())] == [True] * 5 + [False]
+
+
+def test_short_cells_of_a_data_table_stay():
+    table = "".join(f"<tr><th>{i}</th><td>x</td></tr>" for i in range(5))
+    assert extract(f"<article>{BODY}<table>{table}</table></article>").split("\n") == [*PARAGRAPHS, *(x for i in range(5) for x in (str(i), "x"))]
+
+
+def test_formulas_and_drawings():
+    page = f"<article><p>As <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math> and <svg><title>icon</title><path d='M0'/><text>mark</text></svg> show: {LONG}</p></article>"
+    assert extract(page) == f"As x=1 and mark show: {LONG}".strip()
+
+
+def test_path_scores_like_a_plain_walk():
+    found = [("a, b.", (1,), ("p",), ()), ("c" * 9, (2,), ("li",), ()), ("d, " * 9, (3,), ("p",), ()), ("e", (4,), ("nav",), ((4, 1),))]
+    e = 2.718281828459045**-2
+    ratios = {"p": ((5 + 27) / 2, (2 + 9) / 2), "li": (9.0, 0.0)}
+    order, want = ["p", "li", "p"], {"p": 1.0, "li": 1.0}
+    for k in (0, 1):
+        r = [ratios[x][k] for x in order]
+        v = [(r[i] + e * (r[max(i - 1, 0)] + r[min(i + 1, 2)])) / (1 + 2 * e) for i in range(3)]
+        own = {"p": (v[0] + v[2]) / 2, "li": v[1]}
+        want = {x: want[x] * own[x] * 2 / sum(own.values()) for x in own}
+    assert tag_paths.path_scores(found) == pytest.approx({(x,): y for x, y in want.items()})
