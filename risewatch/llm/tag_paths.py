@@ -306,7 +306,7 @@ def holder(numbers: tuple[int, ...], path: tuple[str, ...], layout: frozenset[in
     return 0, ""
 
 
-def extract(page: str | None, words: frozenset[str] = frozenset(WORDS), threshold: float = 0.3, share: float = 0.5, radius: int = 1) -> str:
+def extract(page: str | None, words: frozenset[str] = frozenset(WORDS), threshold: float = 1 / 3, share: float = 0.5, radius: int = 1) -> str:
     """Blocks of the article, one a line."""
     found = blocks(page or "", words)
     free = cleared(found, threshold, share, radius)
