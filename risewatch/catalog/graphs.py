@@ -27,11 +27,11 @@ facts AS (SELECT a AS head, 'relates_to' AS relation, b AS tail, time FROM once
 
 
 def docs(spark, d):
-    return durable(G.doc_concepts(B.concept_triples(spark, d)))
+    return G.doc_concepts(B.concept_triples(spark, d))
 
 
 def facts(spark, d, hub_size=G.HUB_SIZE):
-    return G.project_cooccurrence(B.concept_triples(spark, d), hub_size=hub_size)
+    return G.project_cooccurrence(B.concept_triples(spark, d), hub_size=hub_size, counted=True)
 
 
 @query("join_06_pair_support", f"WITH {PAIRS} SELECT a, b, n FROM pairs")
@@ -46,12 +46,12 @@ def _(spark, d):
 
 @query("grf_01_cooccurrence_facts", f"WITH {FACTS} SELECT head, relation, tail, time, count(*) AS n FROM facts GROUP BY ALL")
 def _(spark, d):
-    return facts(spark, d).groupBy("head", "relation", "tail", "time").agg(F.count(F.lit(1)).alias("n"))
+    return facts(spark, d)
 
 
 @query("grf_01_cooccurrence_facts_hubs", f"WITH {FACTS} SELECT head, relation, tail, time, count(*) AS n FROM facts GROUP BY ALL")
 def _(spark, d):
-    return facts(spark, d, hub_size=4).groupBy("head", "relation", "tail", "time").agg(F.count(F.lit(1)).alias("n"))
+    return facts(spark, d, hub_size=4)
 
 
 @query(

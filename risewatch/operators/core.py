@@ -32,6 +32,11 @@ def attach(df: DataFrame, summary: DataFrame, by: Sequence[str] = (), bounded: b
     return out.select(*df.columns, *[F.col("_one")[c].alias(c) for c in summary.columns])
 
 
+def occurrences(df: DataFrame) -> Column:
+    """How many facts a group holds: rows, or the sum of ``n`` where equal facts were counted into one row."""
+    return F.sum("n") if "n" in df.columns else F.count(F.lit(1))
+
+
 def total(df: DataFrame, name: str = "n") -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias(name))
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from risewatch.operators.core import small
+from risewatch.operators.core import occurrences, small
 from risewatch.operators.links import train_entities
 from risewatch.session import durable
 
@@ -37,7 +37,7 @@ def start(entities: DataFrame, dim: int, seed: int) -> DataFrame:
 def _edges(train: DataFrame, by: Sequence[str]) -> tuple[DataFrame, dict[str, DataFrame | None]]:
     """Counted edges with the number of parts of each end and the edge's part in it; the ends of several parts, if any."""
     hot: dict[str, DataFrame | None] = {}
-    edges = durable(train.groupBy(group_key(by).alias("_g"), "head", "tail").agg(F.count(F.lit(1)).cast("double").alias("c")))
+    edges = durable(train.groupBy(group_key(by).alias("_g"), "head", "tail").agg(occurrences(train).cast("double").alias("c")))
     for end, other in (("head", "tail"), ("tail", "head")):
         many = edges.groupBy("_g", end).agg(F.count(F.lit(1)).alias("_d")).where(F.col("_d") > SPLIT)
         parts = durable(many.select("_g", end, F.ceil(F.col("_d") / SPLIT).cast("int").alias(f"_{end}_parts")))

@@ -8,12 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from risewatch.operators.core import attach, global_rank, total
-from risewatch.operators.pairs import cells_of_pairs, frequent_cells, pairs_in
+from risewatch.operators import pairs as P
+from risewatch.operators.core import attach, global_rank, occurrences, total
 from risewatch.schemas import DIRECTED_TYPES, DOC_TYPES, EDGE_RELATIONS, NODE_TYPES, PAIR_RELATIONS
 from risewatch.session import durable
 
-HUB_SIZE = 256  # a document with more distinct concepts than this takes the hub path
+HUB_SIZE = 256  # a document with more distinct concepts than this is cut into blocks of as many
+WIDE = 2048  # a document with more distinct concepts than this is never expanded alone
 SALTS = 16
 
 
@@ -23,33 +24,36 @@ def doc_concepts(triples: DataFrame, doc_types: Sequence[str] = DOC_TYPES, max_t
     rows = triples.where(F.col("head_type").isin(*doc_types) & (F.col("tail_type") == "Concept") & (F.col("tail") != ""))
     if max_time is not None:
         rows = rows.where(time <= max_time)
-    return rows.groupBy(F.col("head").alias("doc"), F.col("tail").alias("concept")).agg(
-        F.min(F.when(time != "", time)).alias("time")
-    )
+    # shuffled by document, so that the arrays of a document need no second shuffle
+    by_doc = rows.select(F.col("head").alias("doc"), F.col("tail").alias("concept"), F.when(time != "", time).alias("time")).repartition("doc")
+    return by_doc.groupBy("doc", "concept").agg(F.min("time").alias("time"))
 
 
-def _split_hubs(docs: DataFrame, hub_size: int) -> tuple[DataFrame, DataFrame]:
-    """Rows of ordinary documents as one sorted array each, and rows of hub documents as they are."""
-    sizes = docs.groupBy("doc").agg(F.count(F.lit(1)).alias("_size"))
-    hubs = sizes.where(F.col("_size") > hub_size).select("doc")
-    ordinary = docs.join(hubs, "doc", "left_anti")
-    arrays = ordinary.groupBy("doc").agg(
-        F.array_sort(F.collect_set("concept")).alias("concepts"), F.min("time").alias("time")
+def doc_arrays(docs: DataFrame) -> DataFrame:
+    """``doc, hub, time, concepts``: the sorted concepts of each document, of a hub (above ``WIDE``) in parts of ``WIDE``."""
+    own = W.partitionBy("doc").orderBy("concept")
+    whole = own.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    placed = docs.select(
+        "doc", "concept", "time", (F.count(F.lit(1)).over(whole) > WIDE).alias("hub"), F.floor((F.row_number().over(own) - 1) / WIDE).alias("_part")
     )
-    return arrays, docs.join(hubs, "doc", "left_semi")
+    arrays = placed.groupBy("doc", "hub", "_part").agg(F.min("time").alias("time"), F.array_sort(F.collect_list("concept")).alias("concepts"))
+    return arrays.select("doc", "hub", "time", "concepts")
 
 
-def _array_pairs(arrays: DataFrame) -> DataFrame:
-    """Canonical pairs of each bounded array, generated inside the row."""
-    pairs = F.flatten(
-        F.transform(
-            "concepts",
-            lambda a, i: F.transform(
-                F.slice("concepts", i + 2, F.size("concepts")), lambda b: F.struct(a.alias("a"), b.alias("b"))
-            ),
-        )
-    )
-    return arrays.select("doc", "time", F.explode(pairs).alias("p")).select("doc", "time", "p.a", "p.b")
+def _split_hubs(stored: DataFrame, hub_size: int) -> tuple[DataFrame, DataFrame]:
+    """Bounded arrays that hold each pair of a document once, and the single rows of hubs.
+
+    A document of more than ``hub_size`` concepts gives one array for each block of as many and, with the size of the
+    first as ``cut``, for each two blocks.
+    """
+    size, n = max(hub_size, 1), F.size("concepts")
+    last = F.floor((n - 1) / size).cast("int")
+    block = lambda i: F.slice("concepts", i * size + 1, size)
+    two = lambda i, j: F.struct(F.when(j > i, F.concat(block(i), block(j))).otherwise(block(i)).alias("concepts"), F.when(j > i, size).otherwise(0).alias("cut"))
+    blocks = F.flatten(F.transform(F.sequence(F.lit(0), last), lambda i: F.transform(F.sequence(i, last), lambda j: two(i, j))))
+    rows = F.when(n <= size, F.array(F.struct("concepts", F.lit(0).alias("cut")))).otherwise(blocks)
+    arrays = stored.where(~F.col("hub")).select("doc", "time", F.inline(rows))
+    return arrays, stored.where("hub").select("doc", "time", F.explode("concepts").alias("concept"))
 
 
 def _salted_pairs(rows: DataFrame) -> DataFrame:
@@ -64,29 +68,27 @@ def _salted_pairs(rows: DataFrame) -> DataFrame:
 def pair_support(docs: DataFrame, min_cooccur: int = 2, hub_size: int = HUB_SIZE) -> DataFrame:
     """Documents per unordered concept pair, pairs below ``min_cooccur`` removed.
 
-    Ordinary documents emit their pairs from one bounded array, but only pairs that may be frequent: concepts of
+    Documents emit their pairs from bounded arrays, counted inside the task, but only pairs that may be frequent: concepts of
     too few documents go first, then pairs whose hashed cell was counted too seldom, so what is shuffled is close to the
-    pairs that stay. Hub documents are never expanded alone: a pair is kept only if enough documents hold it, so hub rows
-    matter only for (1) pairs already seen in an ordinary document, looked up by both ends, and (2) concepts that occur
-    in at least ``min_cooccur`` hubs. A pair of concepts that hubs hold too is never pruned by its cell.
+    pairs that stay. Hubs (above ``WIDE``) are never expanded alone: a pair is kept only if enough documents hold it, so hub rows
+    matter only for (1) pairs already seen in another document, looked up by both ends, and (2) concepts that occur
+    in at least ``min_cooccur`` hubs. A pair of concepts that hubs hold too is never pruned.
     """
+    return _support(durable(doc_arrays(docs)), min_cooccur, hub_size)
+
+
+def _support(stored: DataFrame, min_cooccur: int, hub_size: int) -> DataFrame:
+    arrays, hubs = _split_hubs(stored, hub_size)
+    alone = hubs.isEmpty()
+    concepts = cells = always = None
     if min_cooccur > 1:
-        often = docs.groupBy("concept").agg(F.count(F.lit(1)).alias("_d")).where(F.col("_d") < min_cooccur).select("concept")
-        docs = docs.join(often, "concept", "left_anti")
-    arrays, hubs = _split_hubs(docs, hub_size)
-    if min_cooccur > 1:
-        arrays, hubs = durable(arrays), durable(hubs)
-        cells, flag = frequent_cells(arrays, min_cooccur), None
-        if not hubs.isEmpty():
-            flag = "in_hubs"
-            rows = arrays.select("doc", F.posexplode("concepts").alias("at", "concept"))
-            marked = rows.join(hubs.select("concept").distinct().withColumn(flag, F.lit(True)), "concept", "left").fillna(False, [flag])
-            flags = marked.groupBy("doc").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", flag))), lambda x: x[flag]).alias(flag))
-            arrays = arrays.join(flags, "doc")
-        pairs = pairs_in(arrays, cells, flag)
-    else:
-        pairs = _array_pairs(arrays)
-    seen = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+        concepts = P.frequent_concepts(stored.where(~F.col("hub")), min_cooccur)
+        cells = P.frequent_cells(arrays, min_cooccur, concepts)
+        always = None if alone else P.concept_cells(hubs)
+    seen = P.counted_pairs(arrays, cells, concepts, always).groupBy("a", "b").agg(F.sum("n").alias("n"))
+    if alone:
+        return seen.where(F.col("n") >= min_cooccur)
+    seen = durable(seen)
     frequent = hubs.groupBy("concept").agg(F.count(F.lit(1)).alias("_in")).where(F.col("_in") >= min_cooccur)
     only_hubs = (
         _salted_pairs(hubs.join(frequent.select("concept"), "concept", "left_semi")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("h"))
@@ -132,36 +134,48 @@ def project_cooccurrence(
     doc_types: Sequence[str] = ("Paper", "Patent", "Repo"),
     max_time: str | None = None,
     hub_size: int = HUB_SIZE,
+    counted: bool = False,
 ) -> DataFrame:
     """Document-concept quads to dated concept-concept facts, one per direction and document.
 
-    ``max_entities`` is a top-k by degree for those who ask for one; by default every entity stays.
+    ``max_entities`` is a top-k by degree for those who ask for one; by default every entity stays. With ``counted``
+    equal facts are one row with their number in ``n``.
     """
-    docs = durable(doc_concepts(triples, doc_types, max_time))
-    kept = durable(pair_support(docs, min_cooccur, hub_size))
+    # documents of one day lie together, so that their pairs are counted before they are shuffled
+    arrays = doc_arrays(doc_concepts(triples, doc_types, max_time)).hint("rebalance", "time")
+    stored = durable(arrays.sortWithinPartitions("time"))
+    kept = durable(_support(stored, min_cooccur, hub_size))
     if max_entities is not None:
         kept = durable(cap_entities(kept, max_entities))
-    return pair_facts(docs, kept, relation, hub_size)
+    facts = _facts(stored, kept, relation, hub_size)
+    return facts if counted else _repeated(facts)
 
 
 def pair_facts(docs: DataFrame, kept: DataFrame, relation: str = "relates_to", hub_size: int = HUB_SIZE) -> DataFrame:
     """One fact per direction for every dated document holding a kept pair."""
-    arrays, hubs = _split_hubs(docs, hub_size)
-    times = hubs.groupBy("doc").agg(F.min("time").alias("time"))
-    dated = pairs_in(arrays.where("time is not null"), cells_of_pairs(kept)).join(kept.select("a", "b"), ["a", "b"], "left_semi")
-    in_hubs = (
-        _hub_hits(hubs, kept.select("a", "b")).join(times.where("time is not null"), "doc").select("doc", "time", "a", "b")
-    )
-    both = dated.select("doc", "time", "a", "b").unionByName(in_hubs)
+    return _repeated(_facts(durable(doc_arrays(docs)), kept, relation, hub_size))
+
+
+def _repeated(facts: DataFrame) -> DataFrame:
+    return facts.select("head", "relation", "tail", "time", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n"))).alias("_i")).drop("_i")
+
+
+def _facts(stored: DataFrame, kept: DataFrame, relation: str, hub_size: int) -> DataFrame:
+    """Facts of the kept pairs with the number of documents in ``n``."""
+    arrays, hubs = _split_hubs(stored, hub_size)
+    pairs = P.counted_pairs(arrays.where("time is not null"), P.cells_of_pairs(kept), timed=True)
+    if not hubs.isEmpty():
+        times = hubs.groupBy("doc").agg(F.min("time").alias("time")).where("time is not null")
+        found = _hub_hits(hubs, kept.select("a", "b")).join(times, "doc")
+        pairs = pairs.unionByName(found.select("time", "a", "b", F.lit(1).cast("bigint").alias("n")))
+    both = pairs.groupBy("time", "a", "b").agg(F.sum("n").alias("n")).join(kept.select("a", "b"), ["a", "b"], "left_semi")
     ends = F.explode(
         F.array(
             F.struct(F.col("a").alias("head"), F.col("b").alias("tail")),
             F.struct(F.col("b").alias("head"), F.col("a").alias("tail")),
         )
     )
-    return both.select(ends.alias("e"), "time").select(
-        "e.head", F.lit(relation).alias("relation"), "e.tail", "time"
-    )
+    return both.select(ends.alias("e"), "time", "n").select("e.head", F.lit(relation).alias("relation"), "e.tail", "time", "n")
 
 
 def directed_facts(
@@ -188,12 +202,12 @@ def directed_facts(
 
 
 def temporal_split(facts: DataFrame, train: float = 0.7, val: float = 0.1) -> DataFrame:
-    """``role`` train / val / test by whole timestamps, no timestamp is split.
+    """``role`` train / val / test by whole timestamps, no timestamp is split; counted facts weigh their ``n``.
 
     Days are ordered first (a calendar of them), timestamps only inside their day.
     """
     time = F.coalesce("time", F.lit(""))
-    times = facts.groupBy(time.alias("_time")).agg(F.count(F.lit(1)).alias("_c")).withColumn("_day", F.substring("_time", 1, 10))
+    times = facts.groupBy(time.alias("_time")).agg(occurrences(facts).alias("_c")).withColumn("_day", F.substring("_time", 1, 10))
     days = times.groupBy("_day").agg(F.sum("_c").alias("_d"))
     prior = W.rowsBetween(W.unboundedPreceding, -1)
     earlier_days = F.coalesce(F.sum("_d").over(prior.orderBy("_day")), F.lit(0))

@@ -8,14 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from risewatch.operators.core import attach
+from risewatch.operators.core import attach, occurrences
 from risewatch.session import durable
 
 
 def copy_history(train: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Count and share of each tail per (head, relation); sparse, one row per edge seen."""
     by = list(by)
-    edges = train.groupBy(*by, "head", "relation", "tail").agg(F.count(F.lit(1)).alias("freq"))
+    edges = train.groupBy(*by, "head", "relation", "tail").agg(occurrences(train).alias("freq"))
     sums = edges.groupBy(*by, "head", "relation").agg(F.sum("freq").alias("_all"))
     return edges.join(sums, [*by, "head", "relation"]).select(
         *by, "head", "relation", "tail", "freq", (F.col("freq") / F.col("_all")).alias("share")

@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Cells of the table of counts: eight for each pair, between these bounds (one byte a cell).
@@ -65,13 +65,18 @@ def count_cells(df: DataFrame, of: Callable[[pa.RecordBatch], Iterator[np.ndarra
     return out
 
 
-def _positions(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Rows and flat positions (row, first, second) of all pairs inside the arrays, rows of one size at a time."""
-    size = column.value_lengths().to_numpy(zero_copy_only=False)
+def _positions(column: pa.Array, cut: pa.Array | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows and flat positions (row, first, second) of all pairs inside the arrays, rows of one shape at a time.
+
+    A row with a ``cut`` above 0 stands for the pairs of its first ``cut`` entries with the others.
+    """
+    size = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
     start = np.concatenate([[0], np.cumsum(size)[:-1]])
-    for n in np.unique(size[size > 1]):
-        rows = np.flatnonzero(size == n)
-        i, j = np.triu_indices(n, 1)
+    cuts = np.zeros(len(size), np.int64) if cut is None else cut.to_numpy().astype(np.int64)
+    shape = size * (1 << 32) + cuts
+    for key in np.unique(shape[size > 1]):
+        rows, n, c = np.flatnonzero(shape == key), int(key >> 32), int(key & 0xFFFFFFFF)
+        i, j = np.indices((c, n - c)).reshape(2, -1) + [[0], [c]] if c else np.triu_indices(n, 1)
         step = max(1, 4_000_000 // len(i))
         for lo in range(0, len(rows), step):
             some = rows[lo : lo + step]
@@ -82,19 +87,53 @@ def with_hashes(arrays: DataFrame) -> DataFrame:
     return arrays.withColumn("hashes", F.transform("concepts", lambda c: F.xxhash64(c)))
 
 
-def frequent_cells(arrays: DataFrame, least: int) -> np.ndarray:
-    """Whether a cell was counted at least ``least`` times over the pairs of all ``concepts`` arrays."""
-    n = arrays.agg(F.coalesce(F.sum(F.size("concepts").cast("bigint") * (F.size("concepts") - 1) / 2), F.lit(0.0)).cast("bigint")).first()[0]
+def _cut(arrays: DataFrame) -> Column:
+    return F.col("cut") if "cut" in arrays.columns else F.lit(0)
+
+
+def frequent_concepts(arrays: DataFrame, least: int) -> np.ndarray:
+    """Whether a concept cell was counted at least ``least`` times over all ``concepts`` arrays."""
+    n = arrays.agg(F.coalesce(F.sum(F.size("concepts").cast("bigint")), F.lit(0))).first()[0]
     cells = cells_for(n)
 
     def of(batch):
         hashes = batch.column(0).flatten().to_numpy()
-        for _, i, j in _positions(batch.column(0)):
-            yield pair_cells(hashes[i], hashes[j], cells)
+        yield pair_cells(hashes, hashes, cells)
 
     return count_cells(with_hashes(arrays).select("hashes"), of, cells) >= min(least, FULL)
 
 
+def frequent_cells(arrays: DataFrame, least: int, concepts: np.ndarray | None = None) -> np.ndarray:
+    """Whether a cell was counted at least ``least`` times over the pairs of all ``concepts`` arrays.
+
+    With a table of ``concepts`` cells, only pairs of concepts that are true there are counted.
+    """
+    size, cut = F.size("concepts").cast("bigint"), _cut(arrays)
+    held = F.when(cut > 0, cut * (size - cut)).otherwise(size * (size - 1) / 2)
+    n = arrays.agg(F.coalesce(F.sum(held), F.lit(0.0)).cast("bigint")).first()[0]
+    cells = cells_for(n)
+    known = None if concepts is None else arrays.sparkSession.sparkContext.broadcast(concepts)
+
+    def of(batch):
+        hashes = batch.column(0).flatten().to_numpy()
+        ok = None if known is None else known.value[pair_cells(hashes, hashes, len(known.value))]
+        for _, i, j in _positions(batch.column(0), batch.column(1)):
+            at = pair_cells(hashes[i], hashes[j], cells)
+            yield at if ok is None else at[ok[i] & ok[j]]
+
+    return count_cells(with_hashes(arrays).select("hashes", cut.alias("cut")), of, cells) >= min(least, FULL)
+
+
+def concept_cells(concepts: DataFrame, cells: int = CELLS[0]) -> np.ndarray:
+    """Whether a concept cell holds one of the given concepts."""
+
+    def of(batch):
+        hashes = batch.column(0).to_numpy()
+        yield pair_cells(hashes, hashes, cells)
+
+    return count_cells(concepts.select(F.xxhash64("concept")), of, cells) > 0
+
+
 def cells_of_pairs(pairs: DataFrame) -> np.ndarray:
     """Whether a cell holds one of the given pairs (a, b)."""
     cells = cells_for(pairs.count())
@@ -125,3 +164,53 @@ def pairs_in(arrays: DataFrame, cells: np.ndarray, always: str | None = None) ->
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), concepts.take(i), concepts.take(j)], names)
 
     return with_hashes(arrays).select(*columns).mapInArrow(run, f"doc {doc}, time string, a string, b string")
+
+
+def counted_pairs(
+    arrays: DataFrame, cells: np.ndarray | None = None, concepts: np.ndarray | None = None, always: np.ndarray | None = None, timed: bool = False
+) -> DataFrame:
+    """``a, b, n``, or ``time, a, b, n`` when ``timed``: pairs counted inside each batch, to be summed by the caller.
+
+    Pairs are those of true ``cells`` and true ``concepts`` cells, where given, and those of two concepts in the concept
+    cells ``always``.
+    """
+    context = arrays.sparkSession.sparkContext
+    tables = context.broadcast((cells, concepts, always))
+    names = [*(["time"] if timed else []), "a", "b", "n"]
+    most = 8_000_000
+
+    def run(batches):
+        wanted, known, kept = tables.value
+        for batch in batches:
+            texts, hashes = batch.column(1).flatten().dictionary_encode(), batch.column(2).flatten().to_numpy()
+            word, times = texts.indices.to_numpy().astype(np.int64), batch.column(0).dictionary_encode()
+            when, width = times.indices.to_numpy().astype(np.int64) if timed else None, max(1, len(texts.dictionary))
+            inside = lambda table: table[pair_cells(hashes, hashes, len(table))]
+            ok, both = (None if t is None else inside(t) for t in (known, kept))
+            waiting, n = [], 0
+
+            def counted():
+                key, count = np.unique(np.concatenate(waiting), return_counts=True)
+                ends = [texts.dictionary.take(pa.array(x)) for x in (key // width % width, key % width)]
+                first = [times.dictionary.take(pa.array(key // (width * width)))] if timed else []
+                return pa.RecordBatch.from_arrays([*first, *ends, pa.array(count, pa.int64())], names)
+
+            for row, i, j in _positions(batch.column(1), batch.column(3)):
+                good = np.ones(len(i), bool)
+                if wanted is not None:
+                    good &= wanted[pair_cells(hashes[i], hashes[j], len(wanted))]
+                if ok is not None:
+                    good &= ok[i] & ok[j]
+                if both is not None:
+                    good |= both[i] & both[j]
+                key = word[i[good]] * width + word[j[good]]
+                waiting.append(key + when[row[good]] * (width * width) if timed else key)
+                n += len(key)
+                if n > most:
+                    yield counted()
+                    waiting, n = [], 0
+            if n:
+                yield counted()
+
+    rows = with_hashes(arrays).select("time", "concepts", "hashes", _cut(arrays).alias("cut"))
+    return rows.mapInArrow(run, f"{'time string, ' if timed else ''}a string, b string, n bigint")

@@ -184,3 +184,14 @@ def test_fusion_baseline_reads_blended_scores(spark):
     truth = [r.entity for r in growth_topk(cdf, 3, 3).collect()]
     assert row.precision_at_k == pytest.approx(len(set(best) & set(truth)) / 3)
     assert [r.entity for r in fusion.fuse(share_momentum(cdf, holdout=3), frame(tkg), frame(forecast), k=3).orderBy("pos").collect()] == best
+
+
+def test_counted_facts_score_like_repeated_ones(spark):
+    rng = random.Random(9)
+    rows = [(f"e{rng.randrange(7)}", "relates_to", f"e{rng.randrange(7)}", f"2024-{rng.randrange(1, 13):02d}-01") for _ in range(400)]
+    plain = spark.createDataFrame(rows, "head string, relation string, tail string, time string")
+    counted = plain.groupBy("head", "relation", "tail", "time").agg(F.count("*").alias("n"))
+    assert counted.count() < 400
+    for score in (collaborate.link_scores, lambda f: collaborate.blended_link_scores(f, dim=3, max_iter=2)):
+        want, got = ({r.entity: r.score for r in score(f).collect()} for f in (plain, counted))
+        assert got == pytest.approx(want)

@@ -59,3 +59,29 @@ def test_counts_saturate(spark):
     arrays = durable(spark.createDataFrame([(f"d{i}", ["a", "b"], None) for i in range(700)], "doc string, concepts array<string>, time string"))
     assert pairs.frequent_cells(arrays, 700).sum() == 1
     assert pairs.frequent_cells(arrays.where("false"), 2).sum() == 0
+
+
+@pytest.mark.parametrize("wide", [4, 12])
+@pytest.mark.parametrize("hub", [3, 256])
+def test_documents_wider_than_wide_are_looked_up(spark, monkeypatch, wide, hub):
+    monkeypatch.setattr(graph, "WIDE", wide)
+    rng = random.Random(wide + hub)
+    rows = sorted({(f"d{i}", f"c{rng.randrange(40):02d}", "2024-01") for i in range(60) for _ in range(rng.choice([2, 5, 25]))})
+    docs = durable(spark.createDataFrame(rows, "doc string, concept string, time string"))
+    got = {(r.a, r.b): r.n for r in graph.pair_support(docs, 2, hub).collect()}
+    assert got == {p: n for p, n in plain(rows).items() if n >= 2}
+    kept = spark.createDataFrame([(a, b) for a, b in got], "a string, b string")
+    facts = graph.pair_facts(docs, kept, hub_size=hub).groupBy("head", "tail").count().collect()
+    assert {(r.head, r["tail"]): r["count"] for r in facts} == {e: n for (a, b), n in got.items() for e in ((a, b), (b, a))}
+
+
+def test_repeated_pairs_are_counted_before_the_shuffle(spark):
+    """4,000 documents of 7 of 16 concepts on two days, all above the hub size: what leaves the tasks are days x pairs, not documents x pairs."""
+    rng = random.Random(4)
+    rows = [(f"d{i}", f"c{c:02d}", f"2024-01-0{1 + i % 2}") for i in range(4000) for c in rng.sample(range(16), 7)]
+    stored = durable(graph.doc_arrays(spark.createDataFrame(rows, "doc string, concept string, time string")).coalesce(1).sortWithinPartitions("time"))
+    arrays, hubs = graph._split_hubs(stored, 4)
+    assert hubs.isEmpty()
+    sent = durable(pairs.counted_pairs(arrays, timed=True))
+    assert sent.agg(F.sum("n")).first()[0] == 4000 * 21
+    assert sent.count() <= 8 * 120
