@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import html
+import re
+from html.entities import html5
 
 import pandas as pd
 from pyspark.sql import Column
@@ -32,6 +34,16 @@ def decode_entities(s: pd.Series) -> pd.Series:
     return s.map(lambda t: html.unescape(t) if t is not None and "&" in t else t)
 
 
+_CLOSED = re.compile(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);")
+
+
+@F.pandas_udf(T.StringType())
+def decode_closed(s: pd.Series) -> pd.Series:
+    """References that end in a semicolon; a name without one (``&amp``, ``&copy=1``) stays as written."""
+    one = lambda m: html.unescape(m[0]) if m[0][1] == "#" or m[0][1:] in html5 else m[0]
+    return s.map(lambda t: _CLOSED.sub(one, t) if t is not None and "&" in t else t)
+
+
 def _squeeze(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)\s+", " ")
 
@@ -40,14 +52,16 @@ def _strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
-def plain_abstract(c: Column) -> Column:
-    """Decode first, then drop tags; blank becomes null."""
-    return blank_to_null(_strip(_squeeze(F.regexp_replace(decode_entities(c), "<[^>]+>", " "))))
+def plain_abstract(c: Column, closed: bool = False) -> Column:
+    """Decode first, then drop tags; blank becomes null. ``closed`` decodes only references that end in a semicolon."""
+    decode = decode_closed if closed else decode_entities
+    return blank_to_null(_strip(_squeeze(F.regexp_replace(decode(c), "<[^>]+>", " "))))
 
 
-def plain_summary(c: Column) -> Column:
-    """Drop tags first, then decode (feed items); blank stays an empty string."""
-    return _strip(decode_entities(_squeeze(F.regexp_replace(F.coalesce(c, F.lit("")), "<[^>]+>", " "))))
+def plain_summary(c: Column, closed: bool = False) -> Column:
+    """Drop tags first, then decode (feed items); blank stays an empty string. ``closed`` as for abstracts."""
+    decode = decode_closed if closed else decode_entities
+    return _strip(decode(_squeeze(F.regexp_replace(F.coalesce(c, F.lit("")), "<[^>]+>", " "))))
 
 
 def fallback_id(source: Column, node_type: Column, name: Column) -> Column:

@@ -192,3 +192,12 @@ def test_text_functions(spark):
     df = spark.createDataFrame([(None, " ", "Ann", "Lee"), ("Org", None, "x", "y"), (None, None, None, None)], "o string, n string, f string, l string")
     got = [r.r for r in df.select(text.address_name(F.col("o"), F.col("n"), F.col("f"), F.col("l")).alias("r")).collect()]
     assert got == ["Ann Lee", "Org", None]
+
+
+def test_closed_references(spark):
+    """A name without its semicolon is text, as in the SQL of the plain queries; the open form decodes it."""
+    cases = {"a&amp </p>b": "a&amp b", "x &copy=1 &quo": "x &copy=1 &quo", "&amp;amp; &notit; &#65; &#x41;&middot;": "&amp; &notit; A A·"}
+    for raw, want in cases.items():
+        assert one(spark, lambda c: text.plain_summary(c, closed=True), raw) == want
+        assert one(spark, lambda c: text.plain_abstract(c, closed=True), raw) == want
+    assert one(spark, text.plain_summary, "a&amp </p>b") == "a& b"
