@@ -58,16 +58,18 @@ def purge(samples: DataFrame, t0: Column | int, horizon: int = 6, gap: int = 6)
 
 def _fit_predict(train: DataFrame, test: DataFrame, max_iter: int, seed: int) -> DataFrame:
     vec = lambda df: df.withColumn("fv", array_to_vector(F.col("features")))
-    model = GBTRegressor(featuresCol="fv", labelCol="label", predictionCol="forecast", maxIter=max_iter, seed=seed)
-    rows = durable(vec(train).select("fv", "label"))
+    model = GBTRegressor(featuresCol="fv", labelCol="label", weightCol="weight", predictionCol="forecast", maxIter=max_iter, seed=seed)
+    # Series of small counts repeat the same few bins: equal samples are one row with their number as its weight.
+    equal = train.groupBy("features", "label").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    rows = durable(vec(equal).select("fv", "label", "weight"))
     # every split of every tree is a job: few rows in many partitions would be all overhead
     rows = rows.coalesce(1 + rows.count() // 50_000)
     return model.fit(rows).transform(vec(test)).drop("fv")
 
 
-def select_arrays(counts: DataFrame, k: int | None = None, until: int | None = None) -> DataFrame:
+def select_arrays(counts: DataFrame, k: int | None = None, until: int | None = None, arrays: DataFrame | None = None) -> DataFrame:
     """Arrays of every entity, or of the ``k`` most active, by activity before bin position ``until`` when given."""
-    arrays = series_arrays(counts)
+    arrays = series_arrays(counts) if arrays is None else arrays
     if k is None:
         return arrays
     if until is None:
@@ -117,9 +119,10 @@ def regression_fold(
     past_only: bool = True,
     max_iter: int = 50,
     seed: int = 42,
+    arrays: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Train and test samples of one forecast start; entities chosen by activity before it."""
-    arrays = select_arrays(counts, k, t0 if past_only else None)
+    """Train and test samples of one forecast start; entities chosen by activity before it. Stored ``arrays`` are not made again."""
+    arrays = select_arrays(counts, k, t0 if past_only else None, arrays)
     samples = lag_samples(arrays, lag, horizon)
     return purge(samples, t0, horizon, gap), samples.where(F.col("t") == t0)
 

@@ -122,6 +122,17 @@ def series_arrays(
     )
 
 
+def running_arrays(counts: DataFrame) -> DataFrame:
+    """``series_arrays`` of the running totals, each array spread from its sparse cells without the dense grid."""
+    own = W.partitionBy("entity").orderBy("ord")
+    cells = indexed(counts).select("entity", "n_bins", F.struct("ord", F.sum("cnt").over(own).cast("double").alias("cum")).alias("_c"))
+    rows = cells.groupBy("entity").agg(F.first("n_bins").cast("int").alias("n"), F.array_sort(F.collect_list("_c")).alias("_cells"))
+    until = lambda i: F.coalesce(F.get("_cells", i + 1)["ord"], F.col("n") + 1)
+    spans = F.transform("_cells", lambda c, i: F.array_repeat(c["cum"], (until(i) - c["ord"]).cast("int")))
+    ahead = F.array_repeat(F.lit(0.0), (F.col("_cells")[0]["ord"] - 1).cast("int"))
+    return rows.select("entity", "n", F.concat(ahead, F.flatten(spans)).alias("x"))
+
+
 def _ema_weight(span: int, ordinal: Column, n: Column) -> Column:
     """Weight of the value at ``ordinal`` in an average seeded with the first value; 0 beyond ``n``."""
     alpha = 2.0 / (span + 1.0)

@@ -239,14 +239,19 @@ def backtest_regression(
     step: int = 1,
     max_iter: int = 50,
     past_only: bool = True,
+    arrays: DataFrame | None = None,
 ) -> DataFrame:
-    """MAE, RMSE and MAPE per forecast start. One model is fitted per fold, so the few folds run in turn."""
+    """MAE, RMSE and MAPE per forecast start. One model is fitted per fold, so the few folds run in turn.
+
+    All folds read the same stored ``arrays``, by default those of the counts.
+    """
     origins = regression_origins(bin_axis(counts), horizon, n_splits, step).collect()  # n_splits rows
+    arrays = durable(series.series_arrays(counts) if arrays is None else arrays)
     out: DataFrame | None = None
     for o in origins:
         if o["n_bins"] < min_history + horizon or o["t0"] + horizon > o["n_bins"] or o["t0"] < lag:
             continue
-        train, test = F_.regression_fold(counts, o["t0"], horizon, k, lag, gap, past_only)
+        train, test = F_.regression_fold(counts, o["t0"], horizon, k, lag, gap, past_only, arrays=arrays)
         if train.limit(2).count() < 2:
             continue
         pred = F_.fit_fold(train, test, max_iter)
@@ -272,8 +277,7 @@ def citation_report(facts: DataFrame, horizon: int = 6, max_iter: int = 50, **sa
     bins = bin_axis(kept).count()  # calendar bins
     folds = None
     if bins >= horizon + 2:
-        cumulative = durable(series.cumulate(kept).select("entity", "bin", F.col("cum").alias("cnt")))
-        folds = backtest_regression(cumulative, horizon=horizon, max_iter=max_iter)
+        folds = backtest_regression(kept, horizon=horizon, max_iter=max_iter, arrays=series.running_arrays(kept))
     return folds, stages, curves
 
 

@@ -6,10 +6,13 @@ import random
 import pytest
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import GBTRegressor
+from pyspark.sql import functions as F
 
 from risewatch.catalog import ORACLES, QUERIES
 from risewatch.operators import forecast as FC
+from risewatch.operators import series
 from risewatch.plans import backtest
+from risewatch.session import durable
 
 BINS, LAG, H, GAP, ROUNDS = 30, 6, 6, 6, 3
 
@@ -81,3 +84,23 @@ def test_citation_report_has_folds_beside_curves(spark):
 def test_fitted_columns_are_registered():
     names = {"bt_03_regression_errors", "bt_04_forecast_values", "bt_06_citation_report"}
     assert names <= set(QUERIES) and not names & set(ORACLES)
+
+
+def test_running_arrays_are_arrays_of_running_totals(spark):
+    rng = random.Random(5)
+    cells = [(f"e{i}", f"2001-{b:02d}", rng.randint(1, 4)) for i in range(6) for b in range(1, 13) if rng.random() < 0.4 or (i, b) in ((0, 1), (1, 12))]
+    counts = durable(spark.createDataFrame(cells, "entity string, bin string, cnt bigint"))
+    summed = series.cumulate(counts).select("entity", "bin", F.col("cum").alias("cnt"))
+    want, got = ({r["entity"]: (r["n"], r["x"]) for r in a.collect()} for a in (series.series_arrays(durable(summed)), series.running_arrays(counts)))
+    assert got == want
+
+
+def test_equal_samples_are_fitted_once(spark, monkeypatch):
+    """40 copies of each entity: the model sees no more rows than for one, and gives the same forecasts."""
+    x = dense(6, 4)
+    copies = {f"{e}:{c}": v for e, v in x.items() for c in range(40)}
+    seen, stored = [], FC.durable
+    monkeypatch.setattr(FC, "durable", lambda df: seen.append(stored(df)) or seen[-1])
+    one, many = ({r["entity"]: r["forecast"] for r in FC.forecast(table(spark, t), max_iter=ROUNDS).collect()} for t in (x, copies))
+    assert seen[1].count() == seen[0].count()
+    assert many == pytest.approx({f"{e}:{c}": one[e] for e in x for c in range(40)}, abs=1e-6)
