@@ -327,7 +327,8 @@ def _(spark, d):
 # Fitted factors are beyond SQL: tests/test_blended.py holds the blended queries against plain versions.
 @query("bt_02_blended_links")
 def _(spark, d):
-    return backtest.backtest_blended_links(durable(B.directed(spark, d).select("head", "relation", "tail", "time")))
+    days = B.directed(spark, d).groupBy("head", "relation", "tail", "time").agg(F.count(F.lit(1)).alias("n"))
+    return backtest.backtest_blended_links(durable(days))
 
 
 @query("grf_18_blended_link_scores")

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from risewatch.operators.core import occurrences
 from risewatch.operators.factors import group_key
 from risewatch.operators.graph import encode_entities
 from risewatch.operators.links import copy_history, known_tails
@@ -195,7 +196,7 @@ def blend_ranks(
         .join(ladder.toDF(*line, "lo", "known_lo"), [*line, "lo"])
     )
     others = F.col("tie_all") - (F.col("known_lo") - F.col("known_hi"))
-    weights = test.groupBy(*edge).agg(F.count(F.lit(1)).alias("times"))
+    weights = test.groupBy(*edge).agg(occurrences(test).alias("times"))
     return placed.join(weights, edge).select(
         *edge, "times", "score", (F.col("above_all") - F.col("known_hi") + 1 + others / 2).alias("rank")
     )

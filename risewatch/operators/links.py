@@ -81,7 +81,7 @@ def filtered_rank(
     universe = entities.groupBy(*by).agg(F.count(F.lit(1)).alias("n_entities")) if by else entities.agg(
         F.count(F.lit(1)).alias("n_entities")
     )
-    distinct_q = queries.groupBy(*edge).agg(F.count(F.lit(1)).alias("times"))
+    distinct_q = queries.groupBy(*edge).agg(occurrences(queries).alias("times"))
     scored = durable(
         distinct_q.join(positive, edge, "left")
         .withColumn("score", F.coalesce("score", F.lit(0.0)))

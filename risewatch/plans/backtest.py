@@ -10,7 +10,7 @@ from risewatch.functions.dates import month_add
 from risewatch.operators import citations, generate, lifecycle, links, metrics, series
 from risewatch.operators import forecast as F_
 from risewatch.operators.bursts import burst_topk
-from risewatch.operators.core import small, top_k
+from risewatch.operators.core import occurrences, small, top_k
 from risewatch.operators.factors import fit_factors
 from risewatch.operators.series import bin_axis, share_momentum
 from risewatch.session import durable
@@ -179,7 +179,8 @@ def backtest_blended_links(
     """
     by = ["fold"]
     sizes, train, test = _link_folds(facts, n_splits, test_months, step_months, embargo, mode, window, min_train)
-    train, test = durable(train.select("fold", "head", "relation", "tail")), durable(test.select("fold", "head", "relation", "tail"))
+    edge = ["fold", "head", "relation", "tail"]
+    train, test = (durable(f.groupBy(*edge).agg(occurrences(f).alias("n"))) for f in (train, test))
     pair = tuple(durable(f) for f in fit_factors(train, by, dim, max_iter=max_iter))
     ranks = generate.blend_ranks(links.known_queries(test, train, by), train, pair, alpha, by)
     named = lambda df, p: df.select("fold", *[F.col(c).alias(f"{p}_{c}") for c in ("mrr", "hits_at_1", "hits_at_3", "hits_at_10")])
@@ -188,15 +189,16 @@ def backtest_blended_links(
 
 
 def _link_folds(facts: DataFrame, n_splits, test_months, step_months, embargo, mode, window, min_train) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Sizes and span of every fold in use, and its train and test facts."""
+    """Sizes and span of every fold in use, and its train and test facts; counted facts weigh their ``n``."""
+    n = F.col("n") if "n" in facts.columns else F.lit(1)
     folds = walk_forward(facts, rolling_origins(facts, n_splits, test_months, step_months), embargo, mode, window)
     m = F.substring("time", 1, 7)
     train, test = F.col("role") == "train", F.col("role") == "test"
     sizes = (
         folds.groupBy("fold")
         .agg(
-            F.count_if(train).alias("n_train"),
-            F.count_if(test).alias("n_test"),
+            F.sum(F.when(train, n).otherwise(0)).alias("n_train"),
+            F.sum(F.when(test, n).otherwise(0)).alias("n_test"),
             F.max(F.when(train, m)).alias("train_end"),
             F.min(F.when(test, m)).alias("test_start"),
             F.max(F.when(test, m)).alias("test_end"),

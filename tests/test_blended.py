@@ -195,3 +195,15 @@ def test_counted_facts_score_like_repeated_ones(spark):
     for score in (collaborate.link_scores, lambda f: collaborate.blended_link_scores(f, dim=3, max_iter=2)):
         want, got = ({r.entity: r.score for r in score(f).collect()} for f in (plain, counted))
         assert got == pytest.approx(want)
+
+
+def test_backtest_of_counted_facts(spark):
+    rng = random.Random(10)
+    rows = [(f"e{rng.randrange(6)}", "uses", f"e{rng.randrange(6)}", f"2024-{rng.randrange(1, 9):02d}-01") for _ in range(500)]
+    plain = durable(spark.createDataFrame(rows, "head string, relation string, tail string, time string"))
+    counted = durable(plain.groupBy("head", "relation", "tail", "time").agg(F.count("*").alias("n")))
+    assert counted.count() < 400
+    want, got = (sorted(backtest.backtest_blended_links(f, n_splits=2, min_train=50, dim=3, max_iter=1).collect()) for f in (plain, counted))
+    assert len(got) == len(want) == 2
+    for a, b in zip(got, want):
+        assert [x for x in a] == [pytest.approx(y) if isinstance(y, float) else y for y in b]
