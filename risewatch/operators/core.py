@@ -19,6 +19,19 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+#: Rows of one task where the number of tasks follows the rows.
+TASK_ROWS, FEW_TASKS = 500_000, 32
+
+
+def spread(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """``df`` by ``keys`` in as many tasks as ``rows`` (those of the larger side of a join) ask for; rows of few tasks are left to Spark.
+
+    Partitions that Spark merges by their compressed size may hold many millions of narrow rows, all sorted in one task.
+    For keys of few rows each: a partition of a given number is not split when a key is hot.
+    """
+    return df.repartition(-(-rows // TASK_ROWS), *keys) if rows > FEW_TASKS * TASK_ROWS else df
+
+
 def attach(df: DataFrame, summary: DataFrame, by: Sequence[str] = (), bounded: bool = True) -> DataFrame:
     """Add the columns of a summary holding one row per ``by`` group (one row in all when ``by`` is empty).
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from risewatch.functions.text import blank_to_null, fallback_id, normalize_name
-from risewatch.operators.core import small
+from risewatch.operators.core import small, spread
 from risewatch.schemas import MATCH_TARGET
 from risewatch.session import durable
 
@@ -30,11 +30,10 @@ def align_doi(nodes: DataFrame, anchor_sources: tuple[str, ...] = ("openalex",))
         .groupBy("_doi")
         .agg(F.min_by("entity_id", "id").alias("_anchor"))
     )
-    joined = keyed.join(anchors, "_doi", "left")
-    own = F.col("source").isin(*anchor_sources)
-    return joined.withColumn(
-        "entity_id", F.when(~own & F.col("_anchor").isNotNull(), F.col("_anchor")).otherwise(F.col("entity_id"))
-    ).select(*nodes.columns)
+    # only nodes that an anchor may rename are joined; a null DOI would be one hot key
+    asks = F.col("_doi").isNotNull() & F.coalesce(~F.col("source").isin(*anchor_sources), F.lit(False))
+    renamed = keyed.where(asks).join(anchors, "_doi", "left").withColumn("entity_id", F.coalesce("_anchor", "entity_id"))
+    return keyed.where(~asks).select(*nodes.columns).unionByName(renamed.select(*nodes.columns))
 
 
 def anchor_index(nodes: DataFrame) -> DataFrame:
@@ -200,11 +199,14 @@ def align_nodes(nodes: DataFrame, threshold: float = 0.90) -> DataFrame:
     found = resolve_names(keyed, threshold).select(
         F.col("type").alias("_target"), F.col("norm").alias("_norm"), "anchor_entity", "anchor_id"
     )
-    named = keyed.withColumn(
-        "_target", F.when(F.col("entity_id").isNull(), _target(F.col("type")))
-    ).withColumn("_norm", normalize_name(F.col("name")))
-    joined = named.join(found, ["_target", "_norm"], "left")
     open_ = F.col("entity_id").isNull()
+    # nodes that cannot fold stay out of the join; without a target and a name they would be one hot key
+    keyed = keyed.withColumn("_target", F.when(open_, _target(F.col("type"))))
+    cols = [*keyed.columns, "anchor_entity", "anchor_id"]
+    named = keyed.where(F.col("_target").isNotNull()).withColumn("_norm", normalize_name(F.col("name")))
+    none = F.lit(None).cast("string")
+    rest = keyed.where(F.col("_target").isNull()).withColumns({"anchor_entity": none, "anchor_id": none})
+    joined = named.join(found, ["_target", "_norm"], "left").select(*cols).unionByName(rest.select(*cols))
     hit = open_ & F.col("anchor_entity").isNotNull()
     hashed = fallback_id(F.coalesce("source", F.lit("unknown")), F.col("type"), F.coalesce("name", F.lit("")))
     return joined.select(
@@ -230,12 +232,17 @@ def alignment_counts(aligned: DataFrame) -> DataFrame:
     )
 
 
-def rewrite_triples(triples: DataFrame, aligned: DataFrame) -> DataFrame:
-    """Both ends mapped to entity ids and folded types; a triple without both nodes is dropped."""
+def rewrite_triples(triples: DataFrame, aligned: DataFrame, rows: int = 0) -> DataFrame:
+    """Both ends mapped to entity ids and folded types; a triple without both nodes is dropped.
+
+    ``rows`` is the number of triples where it is known and no tail is hot; the tasks of their join then follow it.
+    """
     ends = aligned.select("id", F.col("raw_type").alias("rt"), "entity_id", "type")
     h = ends.toDF("head", "head_type", "head_id", "_ht")
     t = ends.toDF("tail", "tail_type", "tail_id", "_tt")
-    joined = triples.join(h, ["head", "head_type"]).join(t, ["tail", "tail_type"])
+    by = lambda df, *keys: spread(df, rows, *keys)
+    joined = triples.join(h, ["head", "head_type"])
+    joined = by(joined, "tail", "tail_type").join(by(t, "tail", "tail_type"), ["tail", "tail_type"])
     rest = [c for c in triples.columns if c not in ("head", "head_type", "tail", "tail_type")]
     return joined.select(
         "head", F.col("_ht").alias("head_type"), "tail", F.col("_tt").alias("tail_type"), *rest, "head_id", "tail_id"
