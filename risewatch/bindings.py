@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from risewatch.operators.core import spread
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -14,13 +16,19 @@ def iso(c: str):
     return F.date_format(c, "yyyy-MM-dd")
 
 
+def with_orders(spark: SparkSession, folder: str, lines: DataFrame, orders: DataFrame) -> DataFrame:
+    """Lines joined with their orders, the tasks as many as the lines ask for."""
+    rows = table(spark, folder, "lineitem").count()  # from the file footers
+    return spread(lines, rows, "l_orderkey").join(spread(orders, rows, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+
+
 def mentions(spark: SparkSession, folder: str) -> DataFrame:
     """One row per concept mention of a document: order lines with the part name as the concept."""
     o = table(spark, folder, "orders").select("o_orderkey", iso("o_orderdate").alias("time"))
     l = table(spark, folder, "lineitem").select("l_orderkey", "l_partkey", "l_extendedprice", "l_linenumber")
     p = table(spark, folder, "part").select("p_partkey", F.col("p_name").alias("entity"))
     return (
-        l.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+        with_orders(spark, folder, l, o)
         .join(p, F.col("l_partkey") == F.col("p_partkey"))
         .select(
             F.col("o_orderkey").alias("doc_id"),
@@ -49,7 +57,7 @@ def backward_citations(spark: SparkSession, folder: str) -> DataFrame:
     """A part cited by an order at the order date."""
     o = table(spark, folder, "orders").select("o_orderkey", iso("o_orderdate").alias("citing_date"))
     l = table(spark, folder, "lineitem").select("l_orderkey", "l_partkey")
-    return l.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(
+    return with_orders(spark, folder, l, o).select(
         F.col("l_orderkey").cast("string").alias("citing"),
         "citing_date",
         F.col("l_partkey").cast("string").alias("cited"),
@@ -74,16 +82,17 @@ def directed(spark: SparkSession, folder: str) -> DataFrame:
         .when(digit == "4", "targets")
         .otherwise("competes")
     )
+    # orders meet their customers and lines their suppliers first, so that only narrow rows meet by order
+    placed = o.join(c, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", relation.alias("relation"), "time", "c_nationkey")
+    supplied = l.join(s, F.col("l_suppkey") == F.col("s_suppkey")).select("l_orderkey", "s_nationkey")
     return (
-        l.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(s, F.col("l_suppkey") == F.col("s_suppkey"))
-        .join(c, F.col("o_custkey") == F.col("c_custkey"))
+        with_orders(spark, folder, supplied, placed)
         .join(head, "s_nationkey")
         .join(tail, "c_nationkey")
         .select(
             "head",
             F.lit("Concept").alias("head_type"),
-            relation.alias("relation"),
+            "relation",
             "tail",
             F.lit("Concept").alias("tail_type"),
             "time",
