@@ -222,15 +222,27 @@ def temporal_split(facts: DataFrame, train: float = 0.7, val: float = 0.1) -> Da
 
 
 def ordered_split(facts: DataFrame, ratio: float = 0.8) -> DataFrame:
-    """Earliest ``int(n * ratio)`` facts are train, the rest test; equal times in edge order."""
+    """Earliest ``int(n * ratio)`` facts are train, the rest test; equal times in edge order.
+
+    Days are ordered by their counts (a calendar of them); only facts of the day in which the cut falls are ranked.
+    """
     keys = ["time", "head", "relation", "tail"]
-    copies = facts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c"))
-    expanded = copies.select(*keys, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_c"))).alias("copy"))
-    ranked = global_rank(expanded, [F.asc(c) for c in [*keys, "copy"]])
-    return attach(ranked, total(facts, "_n")).select(
-        "head", "relation", "tail", "time",
-        F.when(F.col("rn") <= F.floor(F.col("_n") * F.lit(ratio)), "train").otherwise("test").alias("role"),
+    copies = durable(facts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c")))
+    # a null time comes first; a day is a prefix of its times, so days are in the order of the times
+    copies = copies.withColumn("_day", F.coalesce(F.concat(F.lit("t"), F.substring("time", 1, 10)), F.lit("")))
+    days = copies.groupBy("_day").agg(F.sum("_c").alias("_d"))
+    days = attach(days.withColumn("_end", F.sum("_d").over(W.orderBy("_day"))), days.agg(F.floor(F.sum("_d") * F.lit(ratio)).alias("_cut")))
+    past = F.col("_end") > F.col("_cut")
+    first = days.where(past).agg(F.min("_day").alias("_at"), F.min_by(F.col("_cut") - F.col("_end") + F.col("_d"), "_day").alias("_left"))
+    placed = attach(copies, durable(first))
+    whole = placed.where(F.col("_at").isNull() | (F.col("_day") != F.col("_at"))).withColumn(
+        "role", F.when(F.col("_at").isNull() | (F.col("_day") < F.col("_at")), "train").otherwise("test")
     )
+    each = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_c"))).alias("copy")
+    ranked = global_rank(placed.where(F.col("_day") == F.col("_at")).select(*keys, "_left", each), [F.asc(c) for c in [*keys, "copy"]])
+    cut = ranked.withColumn("role", F.when(F.col("rn") <= F.col("_left"), "train").otherwise("test"))
+    cols = ["head", "relation", "tail", "time", "role"]
+    return whole.select(*cols, each).drop("copy").unionByName(cut.select(*cols))
 
 
 def hash_split(facts: DataFrame, ratio: float = 0.8, seed: int = 42) -> DataFrame:
