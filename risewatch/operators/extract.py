@@ -245,7 +245,10 @@ def dedupe_earliest(triples: DataFrame) -> DataFrame:
 
 
 def merge_nodes(nodes: DataFrame, order: Column) -> DataFrame:
-    """One row per (type, id); every attribute is its first non-null, non-blank value in ``order``."""
+    """One row per (type, id); every attribute is its first non-null, non-blank value in ``order``.
+
+    Equal rows are met once: repeats go in a hash aggregate inside the tasks, so that few rows are sorted for the merge.
+    """
     attrs = [c for c in nodes.columns if c not in ("type", "id")]
     text = {f.name for f in nodes.schema.fields if f.dataType.simpleString() == "string"}
 
@@ -254,7 +257,7 @@ def merge_nodes(nodes: DataFrame, order: Column) -> DataFrame:
         return F.min_by(F.when(filled, F.col(c)), F.when(filled, order)).alias(c)
 
     keep = F.col("id").isNotNull() & (F.col("id") != "") & F.col("type").isNotNull()
-    return nodes.where(keep).groupBy("type", "id").agg(*[first_value(c) for c in attrs]).select(*nodes.columns)
+    return nodes.where(keep).distinct().groupBy("type", "id").agg(*[first_value(c) for c in attrs]).select(*nodes.columns)
 
 
 def relation_counts(triples: DataFrame) -> DataFrame:
