@@ -75,8 +75,9 @@ def patent_files(spark, d):
         F.col("o_orderpriority"), "</p><p>more</p></abstract>", F.when(F.col("o_orderkey") % 10 != 0, "</us-patent-grant>").otherwise(""), "\n",
     )
     folder = stream_folder(spark, "patents")
-    orders(spark, d).select(body.alias("value")).write.text(folder)
-    return durable(patents.read_concat_xml(spark, f"{folder}/*.txt"))
+    # compressed, as the bulk files are; a compressed file is read by one task, so each holds a bounded number of documents
+    orders(spark, d).select(body.alias("value")).write.option("maxRecordsPerFile", 100_000).text(folder, compression="gzip")
+    return durable(patents.read_concat_xml(spark, f"{folder}/*.txt.gz"))
 
 
 @query("src_07_patent_documents", "SELECT o_orderkey::VARCHAR AS number, true AS bare FROM orders WHERE o_orderkey % 10 <> 0")
