@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from risewatch.functions.text import blank_to_null, fallback_id, tail_id
+from risewatch.operators.core import spread
 from risewatch.schemas import FRAGMENT_RELATIONS, FRAGMENTS, PAIR_RELATIONS, PAIRS, TECH_TYPES
 
 NODE_COLUMNS = ("id", "type", "entity_id", "name", "source", "pub_date", "doi", "kind", "url", "stars", "tone")
@@ -318,14 +319,19 @@ def validate_pairs(
     )
 
 
-def pair_candidates(works: DataFrame, exclude: Sequence[str] = (), n: int | None = None, max_time: str | None = None) -> DataFrame:
-    """Names of the concepts (the top ``n`` if given) of each work outside the screening list, first id per name."""
+def pair_candidates(works: DataFrame, exclude: Sequence[str] = (), n: int | None = None, max_time: str | None = None, rows: int = 0) -> DataFrame:
+    """Names of the concepts (the top ``n`` if given) of each work outside the screening list, first id per name.
+
+    ``rows`` is the number of concepts of all works where it is known: many are shuffled once, as one row a work.
+    """
     w = _works(works)
     if max_time is not None:
         w = w.where(F.coalesce("time", F.lit("")) <= max_time)
     kept = F.filter("concepts", lambda c: ~F.coalesce(tail_id(c["id"]), F.lit("")).isin(*exclude)) if exclude else F.col("concepts")
     named = F.transform(best_concepts(kept, n), lambda c, i: F.struct(F.trim(c["name"]).alias("name"), i.alias("pos"), tail_id(c["id"]).alias("cid")))
-    rows = w.select(F.col("head").alias("doc_id"), "time", F.explode(named).alias("c")).select(
+    # what is joined by document later needs no second shuffle
+    by_doc = spread(w.select(F.col("head").alias("doc_id"), "time", named.alias("named")), rows, "doc_id")
+    rows = by_doc.select("doc_id", "time", F.explode("named").alias("c")).select(
         "doc_id", "time", "c.name", "c.pos", "c.cid"
     ).where(F.col("cid").isNotNull() & F.col("name").isNotNull() & (F.col("name") != ""))
     return rows.groupBy("doc_id", "time", "name").agg(
@@ -335,17 +341,17 @@ def pair_candidates(works: DataFrame, exclude: Sequence[str] = (), n: int | None
 
 def pairs_to_triples(pairs: DataFrame, candidates: DataFrame) -> DataFrame:
     """Pair names back to concept ids, dated by the work."""
-    ends = candidates.select("doc_id", "time", "name", "concept_id")
-    h = ends.select("doc_id", "time", F.col("name").alias("head"), F.col("concept_id").alias("hid"))
-    t = ends.select("doc_id", F.col("name").alias("tail"), F.col("concept_id").alias("tid"))
-    joined = pairs.join(h, ["doc_id", "head"]).join(t, ["doc_id", "tail"])
+    # the candidates of a document in one row, so that pairs meet them by document only
+    ends = candidates.groupBy("doc_id").agg(F.collect_list(F.struct("time", "name", "concept_id")).alias("ends"))
+    named = lambda end: F.explode(F.filter("ends", lambda e: e["name"] == F.col(end)))
+    joined = pairs.join(ends, "doc_id").withColumn("h", named("head")).withColumn("t", named("tail"))
     return joined.select(
-        F.col("hid").alias("head"),
+        F.col("h.concept_id").alias("head"),
         F.lit("Concept").alias("head_type"),
         "relation",
-        F.col("tid").alias("tail"),
+        F.col("t.concept_id").alias("tail"),
         F.lit("Concept").alias("tail_type"),
-        "time",
+        F.col("h.time").alias("time"),
         F.lit("openalex").alias("source"),
     )
 
