@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame
@@ -60,10 +63,12 @@ def _fit_predict(train: DataFrame, test: DataFrame, max_iter: int, seed: int) ->
     vec = lambda df: df.withColumn("fv", array_to_vector(F.col("features")))
     model = GBTRegressor(featuresCol="fv", labelCol="label", weightCol="weight", predictionCol="forecast", maxIter=max_iter, seed=seed)
     # Series of small counts repeat the same few bins: equal samples are one row with their number as its weight.
-    equal = train.groupBy("features", "label").agg(F.count(F.lit(1)).cast("double").alias("weight"))
-    rows = durable(vec(equal).select("fv", "label", "weight"))
-    # every split of every tree is a job: few rows in many partitions would be all overhead
-    rows = rows.coalesce(1 + rows.count() // 50_000)
+    times = F.sum("weight") if "weight" in train.columns else F.count(F.lit(1)).cast("double")
+    equal = train.groupBy("features", "label").agg(times.alias("weight"))
+    rows = durable(vec(equal))
+    # Every split of every tree is a job: few rows in many partitions would be all overhead. Places and order follow the values,
+    # because split bins are drawn from a sample by position: equal samples give the same model, however they were counted.
+    rows = rows.repartition(1 + rows.count() // 50_000, "features", "label").sortWithinPartitions("features", "label")
     return model.fit(rows).transform(vec(test)).drop("fv")
 
 
@@ -127,7 +132,37 @@ def regression_fold(
     return purge(samples, t0, horizon, gap), samples.where(F.col("t") == t0)
 
 
+def counted_samples(arrays: DataFrame, starts: Sequence[int], lag: int = 6, horizon: int = 6, gap: int = 6) -> DataFrame:
+    """Equal samples of all forecast starts with their number ``weight``, from one pass over the arrays.
+
+    ``fold`` is a position in the ascending ``starts``: for a ``test`` row its own, for a train row the first one whose purge keeps
+    it (the later ones keep it too).
+    """
+    cuts = [t0 - gap - horizon for t0 in starts]  # train bins end before
+    # a train spot is its bin, a test spot is -1 - fold
+    spots = [*range(lag, max(cuts)), *range(-1, -1 - len(starts), -1)]
+    spot, test = F.col("spot"), F.col("spot") < 0
+    at = arrays.select("x", F.explode(F.lit(spots)).alias("spot"))
+    at = at.select("x", "spot", F.when(test, F.get(F.lit(list(starts)), -1 - spot)).otherwise(spot).alias("t"))
+    first = sum((F.when(spot >= c, 1).otherwise(0) for c in cuts), F.lit(0))
+    names = [f"lag_{i + 1}" for i in range(lag)]  # grouped as plain numbers: arrays as keys are many times slower
+    rows = at.select(
+        test.alias("test"),
+        F.when(test, -1 - spot).otherwise(first).alias("fold"),
+        *[F.get("x", F.col("t") - lag + i).alias(c) for i, c in enumerate(names)],
+        reduce(Column.__add__, [F.get("x", F.col("t") + j) for j in range(horizon)]).alias("_sum"),
+    )
+    return (
+        rows.where("_sum is not null")
+        .groupBy("test", "fold", *names, "_sum")
+        .agg(F.count(F.lit(1)).cast("double").alias("weight"))
+        .select("test", "fold", F.array(*names).alias("features"), (F.col("_sum") / horizon).alias("label"), "weight")
+    )
+
+
 def fit_fold(train: DataFrame, test: DataFrame, max_iter: int = 50, seed: int = 42) -> DataFrame:
-    return _fit_predict(train, test, max_iter, seed).select("entity", "forecast", F.col("label").alias("actual"))
+    """Forecasts of the test samples; equal ones keep their number ``weight`` where they were counted."""
+    kept = [c for c in ("entity", "weight") if c in test.columns]
+    return _fit_predict(train, test, max_iter, seed).select(*kept, "forecast", F.col("label").alias("actual"))
 
 

@@ -50,16 +50,19 @@ def hits_at(ranks: DataFrame, ks: Sequence[int] = (1, 3, 10), by: Sequence[str]
     return _agg(ranks, by, *[F.coalesce(hit(k), F.lit(0.0)).alias(f"hits_at_{k}") for k in ks])
 
 
-def regression_errors(df: DataFrame, actual: str = "actual", pred: str = "forecast", by: Sequence[str] = ()) -> DataFrame:
-    """MAE, RMSE and MAPE; zero actuals are left out of MAPE, empty input gives 0."""
+def regression_errors(
+    df: DataFrame, actual: str = "actual", pred: str = "forecast", by: Sequence[str] = (), weight: str | None = None
+) -> DataFrame:
+    """MAE, RMSE and MAPE; zero actuals are left out of MAPE, empty input gives 0. A row counts ``weight`` times."""
     a, p = F.col(actual), F.col(pred)
     zero = lambda c: F.coalesce(c, F.lit(0.0))
+    mean = lambda c: F.try_divide(F.sum(c * F.col(weight)), F.sum(F.when(c.isNotNull(), F.col(weight)))) if weight else F.avg(c)
     return _agg(
         df,
         by,
-        zero(F.avg(F.abs(a - p))).alias("mae"),
-        zero(F.sqrt(F.avg((a - p) * (a - p)))).alias("rmse"),
-        zero(F.avg(F.when(a != 0, F.abs(a - p) / F.abs(a)))).alias("mape"),
+        zero(mean(F.abs(a - p))).alias("mae"),
+        zero(F.sqrt(mean((a - p) * (a - p)))).alias("rmse"),
+        zero(mean(F.when(a != 0, F.abs(a - p) / F.abs(a)))).alias("mape"),
     )
 
 

@@ -245,22 +245,31 @@ def backtest_regression(
 ) -> DataFrame:
     """MAE, RMSE and MAPE per forecast start. One model is fitted per fold, so the few folds run in turn.
 
-    All folds read the same stored ``arrays``, by default those of the counts.
+    The samples of all folds are counted in one pass over the ``arrays``, by default those of the counts; with ``k`` every fold
+    has entities and a pass of its own.
     """
     origins = regression_origins(bin_axis(counts), horizon, n_splits, step).collect()  # n_splits rows
-    arrays = durable(series.series_arrays(counts) if arrays is None else arrays)
+    origins = [
+        o for o in origins if o["n_bins"] >= min_history + horizon and o["t0"] + horizon <= o["n_bins"] and o["t0"] >= lag
+    ]
+    arrays = series.series_arrays(counts) if arrays is None else arrays
+    arrays = arrays if k is None else durable(arrays)
     out: DataFrame | None = None
-    for o in origins:
-        if o["n_bins"] < min_history + horizon or o["t0"] + horizon > o["n_bins"] or o["t0"] < lag:
+    for group in [origins] if k is None else [[o] for o in origins]:
+        starts = [o["t0"] for o in group]
+        if not starts:
             continue
-        train, test = F_.regression_fold(counts, o["t0"], horizon, k, lag, gap, past_only, arrays=arrays)
-        if train.limit(2).count() < 2:
-            continue
-        pred = F_.fit_fold(train, test, max_iter)
-        row = metrics.regression_errors(pred).select(
-            F.lit(o["fold"]).alias("fold"), F.lit(o["t0"]).alias("t0"), "mae", "rmse", "mape"
-        )
-        out = row if out is None else out.unionByName(row)
+        chosen = F_.select_arrays(counts, k, starts[0] if past_only else None, arrays)
+        samples = durable(F_.counted_samples(chosen, starts, lag, horizon, gap))
+        for i, o in enumerate(group):
+            train = samples.where(~F.col("test") & (F.col("fold") <= i))
+            if (train.agg(F.sum("weight")).first()[0] or 0) < 2:
+                continue
+            pred = F_.fit_fold(train, samples.where(F.col("test") & (F.col("fold") == i)), max_iter)
+            row = metrics.regression_errors(pred, weight="weight").select(
+                F.lit(o["fold"]).alias("fold"), F.lit(o["t0"]).alias("t0"), "mae", "rmse", "mape"
+            )
+            out = row if out is None else out.unionByName(row)
     if out is None:
         return counts.sparkSession.createDataFrame([], "fold int, t0 int, mae double, rmse double, mape double")
     return out

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from risewatch.catalog import ORACLES, QUERIES
 from risewatch.operators import forecast as FC
-from risewatch.operators import series
+from risewatch.operators import metrics, series
 from risewatch.plans import backtest
 from risewatch.session import durable
 
@@ -104,3 +104,56 @@ def test_equal_samples_are_fitted_once(spark, monkeypatch):
     one, many = ({r["entity"]: r["forecast"] for r in FC.forecast(table(spark, t), max_iter=ROUNDS).collect()} for t in (x, copies))
     assert seen[1].count() == seen[0].count()
     assert many == pytest.approx({f"{e}:{c}": one[e] for e in x for c in range(40)}, abs=1e-6)
+
+
+def test_folds_read_equal_samples_once(spark, monkeypatch):
+    """32 copies of each entity (a power of two keeps equal gains equal): every fold fits and forecasts as few rows as for one."""
+    x = dense(7, 4)
+    seen, fit = [], backtest.F_.fit_fold
+    monkeypatch.setattr(backtest.F_, "fit_fold", lambda train, test, *a: seen.append((train.count(), test.count())) or fit(train, test, *a))
+    copies = {f"{e}:{c}": v for e, v in x.items() for c in range(32)}
+    one, many = (backtest.backtest_regression(table(spark, t), max_iter=ROUNDS).orderBy("t0").collect() for t in (x, copies))
+    assert len(seen) == 10 and seen[5:] == seen[:5]
+    for a, b in zip(one, many):
+        assert tuple(b) == pytest.approx(tuple(a), abs=1e-6)
+
+
+def test_counted_samples_are_those_of_each_fold(spark):
+    """Bins may serve a late fold for training and an early one as its test."""
+    x = dense(8, 5)
+    arrays, starts = durable(series.series_arrays(table(spark, x))), [12, 15, 21]
+    rows = FC.counted_samples(arrays, starts, 3, 2, 1).collect()
+    for i, t0 in enumerate(starts):
+        spots = {False: range(3, t0 - 3), True: [t0]}
+        for test, ts in spots.items():
+            want = sorted((tuple(v[t - 3 : t]), (v[t] + v[t + 1]) / 2) for v in x.values() for t in ts)
+            use = [r for r in rows if r["test"] == test and (r["fold"] == i if test else r["fold"] <= i)]
+            assert sorted(s for r in use for s in [(tuple(r["features"]), r["label"])] * int(r["weight"])) == want
+
+
+def test_folds_of_the_most_active_entities(spark):
+    x = dense(9, 6)
+    top = sorted(x, key=lambda e: -sum(x[e][: BINS - H - 4]))[:2]
+    got, want = (backtest.backtest_regression(table(spark, t), k=k, max_iter=ROUNDS).orderBy("t0").collect() for t, k in ((x, 2), ({e: x[e] for e in top}, None)))
+    assert [tuple(r) for r in got] == [pytest.approx(tuple(r), abs=1e-6) for r in want] and len(got) == 5
+
+
+def test_weighted_errors_are_those_of_repeated_rows(spark):
+    rows = [(0.0, 1.0, 2.0), (4.0, 1.0, 3.0), (5.0, 5.5, 1.0)]
+    plain = spark.createDataFrame([(a, p) for a, p, n in rows for _ in range(int(n))], "actual double, forecast double")
+    counted = spark.createDataFrame(rows, "actual double, forecast double, weight double")
+    assert tuple(metrics.regression_errors(counted, weight="weight").first()) == pytest.approx(tuple(metrics.regression_errors(plain).first()))
+    assert tuple(metrics.regression_errors(counted.limit(0), weight="weight").first()) == (0.0, 0.0, 0.0)
+
+
+def test_model_does_not_follow_the_order_of_rows(spark):
+    """Above 10,000 rows the fit draws its split bins from a sample of them."""
+    rng = random.Random(10)
+    rows = [([float(rng.randint(0, 60)) for _ in range(LAG)], rng.random() * 60) for _ in range(14_000)]
+    test = spark.createDataFrame([(f"e{i}", r[0], r[1]) for i, r in enumerate(rows[:50])], "entity string, features array<double>, label double")
+    fits = []
+    for parts in (1, 5):
+        rng.shuffle(rows)
+        train = spark.createDataFrame(rows, "features array<double>, label double").repartition(parts)
+        fits.append({r["entity"]: r["forecast"] for r in FC.fit_fold(train, test, 2).collect()})
+    assert fits[0] == pytest.approx(fits[1], abs=1e-9)
